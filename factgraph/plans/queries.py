@@ -4,8 +4,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factgraph import schema as S
 from factgraph.functions.storage import Scratch
-from factgraph.operators import checks, lookups, resolve, store, subgraph, summary
+from factgraph.operators import (checks, domains as domain_ops, incremental, lookups, louvain, resolve,
+                                 search, store, subgraph, summary)
+from factgraph.sources import extract, generated, tree
 from factgraph.sources.tables import table, table_edges, table_nodes
+from factgraph.streaming import changes
 
 
 _kept = {}
@@ -117,5 +120,280 @@ CORE = {
 }
 
 
+
+
+# -- files and extraction ---------------------------------------------------
+
+def document_files(spark, sf):
+    """Documents as files; some sources sit in directories a scan skips."""
+    docs = table(spark, sf, "documents").selectExpr(
+        "CASE source WHEN 'src1' THEN 'build' WHEN 'src2' THEN '.git' ELSE source END || '/' || lang || '/' || doc_id || "
+        "CASE lang WHEN 'en' THEN '.java' WHEN 'fr' THEN '.PY' WHEN 'de' THEN '.py' ELSE '.txt' END AS filepath",
+        "text AS content")
+    return tree.as_files(docs)
+
+
+def _document_query(fn):
+    return lambda spark, sf: fn(document_files(spark, sf))
+
+
+def _results(spark, sf, name, files):
+    return _once(name, spark, sf, lambda: [extract.extract_facts(files(spark, sf))])[0]
+
+
+def java_results(spark, sf):
+    return _results(spark, sf, "java", generated.java_files)
+
+
+def python_results(spark, sf):
+    return _results(spark, sf, "python", generated.python_files)
+
+
+def _extracted_nodes(files):
+    return lambda spark, sf: extract.result_nodes(extract.extract_facts(files(spark, sf)))
+
+
+def _extracted_edges(results):
+    return lambda spark, sf: extract.result_edges(results(spark, sf)).drop("raw_target")
+
+
+def _run_report(spark, sf):
+    nodes, edges, errors = extract.explode_result(java_results(spark, sf))
+    return summary.run_report(document_files(spark, sf).unionByName(generated.java_files(spark, sf)),
+                              nodes, edges, errors)
+
+
+def _syntax_errors(spark, sf):
+    # prose is no Java and no Python: every such file gives an error or an outline
+    results = extract.extract_facts(document_files(spark, sf).where("language = 'python'"))
+    return extract.result_errors(results).select("filepath")
+
+
+FILES = {
+    "file_scan_prune": _document_query(lambda f: tree.prune_paths(f).select("filepath", "name", "ext")),
+    "language_route": _document_query(lambda f: tree.language_counts(f.select("filepath"))),
+    "content_hash": _document_query(lambda f: f.select("filepath", "file_hash")),
+    "line_count": _document_query(lambda f: f.select("filepath", "n_lines")),
+    "file_nodes": _document_query(lambda f: f.select(F.inline(F.array(extract.file_node())))),
+    "extract_java": _extracted_nodes(generated.java_files),
+    "extract_java_edges": _extracted_edges(java_results),
+    "extract_python": _extracted_nodes(generated.python_files),
+    "extract_python_edges": _extracted_edges(python_results),
+    "extract_errors": _syntax_errors,
+    "run_report": _run_report,
+}
+
+
+# -- incremental --------------------------------------------------------------
+
+def _diff(spark, sf):
+    return incremental.diff_files(generated.java_files(spark, sf), generated.java_files_after(spark, sf))
+
+
+def _updated(spark, sf):
+    """Java graph brought from its first to its later state."""
+    nodes, edges, errors = extract.explode_result(java_results(spark, sf))
+    before = incremental.Graph(nodes, resolve.resolve_calls(nodes, edges), errors)
+    diff = _once("diff", spark, sf, lambda: [_diff(spark, sf)])[0]
+    changed = diff.where("status IN ('changed', 'added')").select("filepath")
+    deleted = diff.where("status = 'deleted'").select("filepath")
+    return incremental.update_graph(before, changed, deleted, generated.java_files_after(spark, sf))
+
+
+def _stale(spark, sf):
+    marked = incremental.mark_stale(extract.result_nodes(java_results(spark, sf)), _diff(spark, sf))
+    return marked.groupBy("node_type", "stale").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _snapshot_diff(spark, sf):
+    nodes = stored(spark, sf)[0]
+    # later: returned lines of small quantity lose their branch, pending orders
+    # change their signature, regions' suppliers stay
+    after = nodes.where("NOT (node_type = 'ConditionalBranch' AND docstring LIKE '%> 1)')").withColumn(
+        "signature", F.expr("CASE WHEN signature = 'order(P)' THEN 'order(F)' ELSE signature END"))
+    before = nodes.where("NOT (node_type = 'Function' AND docstring LIKE '%ECONOMY')")
+    return incremental.snapshot_diff(before, after)
+
+
+INCREMENTAL = {
+    "diff_files": _diff,
+    "incremental_update": lambda spark, sf: _updated(spark, sf).edges.drop("raw_target"),
+    "incremental_nodes": lambda spark, sf: summary.node_summary(_updated(spark, sf).nodes),
+    "mark_stale": _stale,
+    "snapshot_diff": _snapshot_diff,
+}
+
+
+# -- search ---------------------------------------------------------------------
+
+def document_nodes(spark, sf):
+    return table(spark, sf, "documents").selectExpr(
+        "'doc:' || doc_id AS uid", "'doc_' || doc_id || ' ' || lang AS name", "'d' || doc_id AS qualified_name",
+        "CASE lang WHEN 'en' THEN 'Function' WHEN 'fr' THEN 'Class' WHEN 'de' THEN 'Interface' ELSE 'Constructor' END "
+        "AS node_type", "source || '/' || lang || '/' || doc_id || '.py' AS filepath", "1 AS start_line",
+        "1 AS end_line", "text AS docstring", "'read(' || source || ')' AS signature", "CAST(NULL AS STRING) AS file_hash")
+
+
+def search_tables(spark, sf):
+    def build():
+        index = search.build_search_index(document_nodes(spark, sf))
+        return [index.postings, index.stats]
+
+    return search.SearchIndex(*_once("index", spark, sf, build))
+
+
+def _expanded(spark, sf):
+    nodes, edges = stored(spark, sf)
+    hits = search.search_index(search.build_search_index(nodes), "supplier 000000001 ring", 10)
+    return subgraph.neighbours_of_hits(nodes, edges, hits)
+
+
+SEARCH = {
+    "search_topk": lambda spark, sf: search.search_nodes(document_nodes(spark, sf), "The merge src7 und doc_12"),
+    "search_indexed": lambda spark, sf: search.search_index(search_tables(spark, sf), "la queue und src3", 25),
+    "search_wildcard": lambda spark, sf: search.search_index(search_tables(spark, sf), "th?r* *mentent doc_1*", 50),
+    "search_vocabulary": lambda spark, sf: search.vocabulary(
+        search.build_search_index(document_nodes(spark, sf))),
+    "search_neighbours": _expanded,
+}
+
+
+# -- changes ------------------------------------------------------------------------
+
+def event_changes(spark, sf):
+    """Events as file changes; the session time zone is not involved, since
+    the time column is read as it stands."""
+    path = ("CASE WHEN user_id < 10 THEN '/repo/target/u' WHEN user_id < 20 THEN '/repo/.cache/u' "
+            "ELSE '/repo/src/u' END || user_id || CASE WHEN value < 5 THEN '.md' WHEN value < 20 THEN '.py' "
+            "ELSE '.Java' END")
+    return table(spark, sf, "events").selectExpr(
+        "CAST(ts AS TIMESTAMP) AS ts",
+        "CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'moved' WHEN 'click' THEN 'created' "
+        "ELSE 'modified' END AS event_type",
+        f"{path} AS src_path",
+        "CASE WHEN event_type = 'signup' THEN '/repo/src/moved' || user_id || '.py' END AS dest_path",
+        "event_type = 'view' AND user_id > 140 AS is_directory")
+
+
+def _text_time(df, c):
+    return df.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+
+
+def _changes_query(fn):
+    return lambda spark, sf: fn(event_changes(spark, sf))
+
+
+CHANGES = {
+    "changes_filter": _changes_query(lambda c: changes.file_changes(c).groupBy("kind", "path").agg(
+        F.count(F.lit(1)).alias("n"))),
+    "changes_moves": _changes_query(lambda c: changes.expand_moves(c.where("event_type = 'moved'")).groupBy(
+        "kind", "path").agg(F.count(F.lit(1)).alias("n"))),
+    "changes_relative": _changes_query(lambda c: incremental.relativise(
+        changes.file_changes(c).select(F.col("path").alias("filepath")).distinct(), "/repo/src")),
+    "changes_collapse": _changes_query(lambda c: changes.collapse(changes.file_changes(c))),
+    "changes_coalesce": _changes_query(lambda c: _text_time(changes.coalesce_changes(
+        changes.file_changes(c), "1 hour"), "batch_start")),
+    "changes_bursts": _changes_query(lambda c: _text_time(changes.coalesce_changes(
+        changes.file_changes(c), gap="6 hours"), "batch_start")),
+}
+
+
+# -- domains -----------------------------------------------------------------------------
+
+def nation_domains(spark, sf):
+    """A fixed membership: customers and orders belong to their nation."""
+    nodes = stored(spark, sf)[0]
+    membership = nodes.where("node_type IN ('Class', 'Function') AND filepath <> 'lib'").select(
+        "uid", F.concat(F.lit("Domain_"), F.substr("filepath", F.lit(4))).alias("domain_uid"))
+    domains = table(spark, sf, "nation").selectExpr(
+        "'Domain_' || n_nationkey AS uid", "'Domain ' || n_nationkey AS name", "n_name AS summary",
+        "CAST(NULL AS BIGINT) AS member_count").unionByName(spark.createDataFrame(
+            [("Domain_none", "Domain none", "no members", None)], S.DOMAIN))
+    return domains, membership, nodes
+
+
+def _domain_query(fn):
+    return lambda spark, sf: fn(*nation_domains(spark, sf))
+
+
+def _changed_domains(d, m, n):
+    # all of Domain_3 moves to Domain_4
+    moved = m.withColumn("domain_uid", F.expr("CASE WHEN domain_uid = 'Domain_3' THEN 'Domain_4' ELSE domain_uid END"))
+    return domain_ops.changed_domains(m, moved)
+
+
+def _communities(spark, sf):
+    def build():
+        nodes, edges = subgraph.domain_projection(*stored(spark, sf))
+        return [louvain.louvain(nodes, edges)]
+
+    return _once("communities", spark, sf, build)[0]
+
+
+def _detected(spark, sf):
+    nodes = stored(spark, sf)[0]
+    domains, membership = domain_ops.name_domains(_communities(spark, sf))
+    return domain_ops.summarise(domains, membership, nodes)
+
+
+def _modularity(spark, sf):
+    edges = subgraph.domain_projection(*stored(spark, sf))[1]
+    return louvain.modularity(_communities(spark, sf), edges)
+
+
+DOMAINS = {
+    "domain_listing": _domain_query(lambda d, m, n: domain_ops.get_domains(d, m)),
+    "domain_detail": _domain_query(lambda d, m, n: domain_ops.get_domain(d, m, n)),
+    "domain_of_symbol": _domain_query(lambda d, m, n: domain_ops.domain_of(m, d, n)),
+    "domain_members": _domain_query(lambda d, m, n: domain_ops.attach_members(m, n)),
+    "domain_context": _domain_query(lambda d, m, n: domain_ops.domain_context(m, n)),
+    "domain_summary": _domain_query(lambda d, m, n: domain_ops.summarise(d, m, n)),
+    "domain_subgraph": lambda spark, sf: domain_ops.domain_subgraph(
+        nation_domains(spark, sf)[1], stored(spark, sf)[1], "Domain_7").select(*S.EDGE_KEY),
+    "community_sizes": _domain_query(lambda d, m, n: domain_ops.community_sizes(
+        m.withColumnRenamed("domain_uid", "community"))),
+    "changed_domains": _domain_query(_changed_domains),
+    "louvain": _detected,
+    "louvain_modularity": _modularity,
+}
+
+
+# -- other tables --------------------------------------------------------------------------
+
+def page_graph(spark, sf):
+    """Pages as files, their links as imports."""
+    pages = table(spark, sf, "pages").select(
+        F.regexp_replace("url", r"^https?://[^/]*|[?#].*$", "").alias("uid"), "html")
+    links = pages.select(
+        F.col("uid").alias("source_uid"),
+        F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target_uid"))
+    edges = links.select("source_uid", "target_uid", F.lit(S.IMPORTS).alias("edge_type"),
+                         F.col("source_uid").alias("filepath"), F.lit(None).cast("int").alias("line"),
+                         F.col("target_uid").alias("raw_target"))
+    nodes = pages.select("uid", F.lit(S.FILE).alias("node_type"))
+    return nodes, edges
+
+
+def _conversation_check(spark, sf):
+    """Turns contained in their conversation; a turn said twice or opened by a
+    reply to nothing shows up."""
+    turns = table(spark, sf, "conversations").selectExpr(
+        "'conv' || conv_id AS conv", "'conv' || conv_id || '.t' || turn AS uid", "role")
+    nodes = turns.selectExpr("uid", "'Function' AS node_type").unionByName(
+        turns.selectExpr("conv AS uid", "'Class' AS node_type").distinct())
+    edges = turns.selectExpr("conv AS source_uid", "uid AS target_uid", "'contains' AS edge_type")
+    return checks.contains_violations(nodes, edges)
+
+
+OTHER = {
+    "page_placeholders": lambda spark, sf: store.placeholders(*page_graph(spark, sf)).select("uid", "node_type"),
+    "page_links": lambda spark, sf: store.upsert_edges(
+        store.empty_graph(spark)[1], page_graph(spark, sf)[1]).select(*S.EDGE_KEY),
+    "conversation_tree_check": _conversation_check,
+    "page_of_symbols": lambda spark, sf: lookups.page(
+        lookups.find_symbol(stored(spark, sf)[0]).select("name", "uid"), ["name", "uid"], 100, 50),
+}
+
+
 def all_queries():
-    return dict(CORE)
+    return {**CORE, **FILES, **INCREMENTAL, **SEARCH, **CHANGES, **DOMAINS, **OTHER}
