@@ -75,6 +75,7 @@ def ingest(current_nodes: DataFrame, current_edges: DataFrame, nodes: DataFrame,
     Placeholders are worked out anew from the merged edges: one goes away as
     soon as its uid is defined, or once nothing points to it.
     """
+    # merged edges are asked twice: for the table and for its loose ends
     merged_edges = upsert_edges(current_edges, edges)
     defined = current_nodes.where(~F.col("node_type").isin(S.UNRESOLVED, UNLABELLED))
     merged_nodes = upsert_nodes(defined, nodes)
@@ -121,6 +122,16 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     edges.select(*S.EDGE_COLS).write.mode("overwrite").partitionBy("edge_type").parquet(f"{folder}/edges")
 
 
+def graph_exists(spark: SparkSession, folder: str) -> bool:
+    try:
+        spark.read.schema(S.NODE).parquet(f"{folder}/nodes")
+        return True
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return False
+        raise
+
+
 def read_graph(spark: SparkSession, folder: str):
     nodes = spark.read.schema(S.NODE).parquet(f"{folder}/nodes").select(*S.NODE_COLS)
     edges = spark.read.schema(S.EDGE).parquet(f"{folder}/edges").select(*S.EDGE_COLS)
