@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 _local_folder = None
@@ -45,6 +45,13 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
 
+    def keep_counting(self, df: DataFrame, name: str, **sums) -> tuple[DataFrame, dict]:
+        """``keep``, with aggregates over the rows taken while they are written."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, *[c.alias(k) for k, c in sums.items()]), name)
+        return kept, seen.get
+
+
 def keep(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back."""
     return Scratch(df.sparkSession, label).keep(df)
