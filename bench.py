@@ -47,8 +47,12 @@ def main():
     nodes, edges = timed("derive_graph", lambda: keep(*Q.graph(spark, sf)), lambda o: sum(d.count() for d in o))
     n_edges = edges.count()
     linked, = timed("resolve_calls", lambda: keep(resolve.resolve_calls(nodes, edges)), n_edges)
-    nodes, edges = timed("ingest", lambda: keep(*store.ingest(*store.empty_graph(spark), nodes, linked)),
-                         nodes.count() + n_edges)
+
+    def ingest():
+        store.write_graph(*store.ingest(*store.empty_graph(spark), nodes, linked), f"{scratch.folder}/graph")
+        return store.read_graph(spark, f"{scratch.folder}/graph")
+
+    nodes, edges = timed("ingest", ingest, nodes.count() + n_edges)
 
     # questions, for one symbol and for all
     symbol = "Supplier#000000001"

@@ -9,6 +9,8 @@ HOT_SHARE = 1 / 200
 HOT_ROWS = 2_000_000
 # A left side that reads less than this is joined without the extra pass.
 SMALL_BYTES = 256 << 20
+# A right side that reads less than this is broadcast by Spark on its own.
+BROADCAST_BYTES = 8 << 20
 # Rows without a key match nothing but must not meet in one task either.
 NULL_SALTS = 1024
 
@@ -23,6 +25,24 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def _below(df: DataFrame, limit: int) -> bool:
+    size = input_bytes(df)
+    return size is not None and size < limit
+
+
+# Source bytes per task below which heavy work on a small input is spread.
+SPREAD_BYTES = 32 << 20
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input by ``key`` when its scan is too small to occupy all
+    tasks; a large input keeps the partitions of its scan."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if _below(df, tasks * SPREAD_BYTES):
+        return df.repartition(4 * tasks, key)
+    return df
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys of ``df`` worth spreading: (hot_key, n_salts).
 
@@ -48,12 +68,11 @@ def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
     Rows of a hot key on the left get one of ``n_salts`` salts, and the few
     right rows of that key are repeated once per salt; all other rows carry
-    salt 0.  Works for inner, left, left_semi and left_anti.  A left side
-    that reads little is joined directly.
+    salt 0.  Works for inner, left, left_semi and left_anti.  Where either
+    side reads little, Spark's own choice of join is good and is left to it.
     """
-    size = input_bytes(left)
     right = right.withColumnRenamed(right_key, "__rkey")
-    if hot_rows is None and size is not None and size < SMALL_BYTES:
+    if hot_rows is None and (_below(left, SMALL_BYTES) or _below(right, BROADCAST_BYTES)):
         return left.join(right, F.col(left_key) == F.col("__rkey"), how).drop("__rkey")
 
     hot = F.broadcast(hot_keys(left, left_key, hot_rows or HOT_ROWS))

@@ -90,7 +90,6 @@ def get_code_context(nodes: DataFrame, edges: DataFrame, name: str | None = None
         edges.where(F.col("edge_type").isin(S.CALLS, S.HAS_BRANCH))
         .select(F.inline(F.when(is_call, F.array(link(t, s, "caller"), link(s, t, "callee")))
                          .otherwise(F.array(link(s, t, "branch")))))
-        .distinct()
     )
     names = nodes.where(F.col("name") != "").select(F.col("uid").alias("o_uid"), "name")
     around = salted_join(links, centers, "center", "k_uid", "inner", hot_rows)

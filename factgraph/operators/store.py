@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factgraph import schema as S
 from factgraph.functions.skew import salted_join
+from factgraph.functions.storage import Scratch
 
 UNLABELLED = "Unlabelled"
 
@@ -69,14 +70,16 @@ def drop_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where(F.col("node_type") != S.UNRESOLVED).unionByName(kept.select(*nodes.columns))
 
 
-def ingest(current_nodes: DataFrame, current_edges: DataFrame, nodes: DataFrame, edges: DataFrame):
+def ingest(current_nodes: DataFrame, current_edges: DataFrame, nodes: DataFrame, edges: DataFrame,
+           scratch: Scratch | None = None):
     """The stored graph after a result has been merged into it.
 
     Placeholders are worked out anew from the merged edges: one goes away as
-    soon as its uid is defined, or once nothing points to it.
+    soon as its uid is defined, or once nothing points to it.  Merged edges
+    are kept, since they are both a result and the source of placeholders.
     """
-    # merged edges are asked twice: for the table and for its loose ends
-    merged_edges = upsert_edges(current_edges, edges)
+    scratch = scratch or Scratch(nodes.sparkSession, "ingest")
+    merged_edges = scratch.keep(upsert_edges(current_edges, edges), "edges")
     defined = current_nodes.where(~F.col("node_type").isin(S.UNRESOLVED, UNLABELLED))
     merged_nodes = upsert_nodes(defined, nodes)
     return materialise_placeholders(merged_nodes, merged_edges), merged_edges

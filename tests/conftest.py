@@ -10,8 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
     session = (
-        SparkSession.builder.master("local[8]").appName("factgraph-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[4]").appName("factgraph-tests")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -265,9 +265,9 @@ def greedy_modularity(pairs):
 
 def test_louvain_quality_and_stability(spark):
     rng = random.Random(7)
-    names = [f"n{i:03d}" for i in range(120)]
+    names = [f"n{i:03d}" for i in range(60)]
     pairs = sorted({tuple(sorted((a, b))) for i, a in enumerate(names) for b in names[i + 1:]
-                    if rng.random() < (0.25 if i // 20 == names.index(b) // 20 else 0.01)})
+                    if rng.random() < (0.5 if i // 15 == names.index(b) // 15 else 0.02)})
     found, _, edges = communities(spark, pairs)
     q = L.modularity(found, edges).first()[0]
     plain = spark.createDataFrame(list(greedy_modularity(pairs).items()), "uid string, community string")
