@@ -1,5 +1,7 @@
 """Joins that stay balanced when one key holds a large share of the rows."""
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 # A key is spread when it holds this share of the rows, which bounds the list
@@ -43,26 +45,25 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of ``df`` worth spreading: (hot_key, n_salts).
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[list[tuple[str, int]], int]:
+    """Keys of ``df`` worth spreading as (key, n_salts), and the rows without a
+    key.
 
     One pass with a mergeable sketch of fixed size, so neither keys nor rows
-    are shuffled.  The sketch only decides how rows are spread; results do not
-    depend on it.
+    are shuffled, and at most 1 / HOT_SHARE keys come back.
     """
     top = int(1 / HOT_SHARE)
-    sketch = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k")).agg(
-        F.expr(f"approx_top_k(k, {top}, 10000)").alias("top"), F.count(F.lit(1)).alias("total"))
-    return (
-        sketch.select("total", F.inline("top"))
-        .where((F.col("count") >= hot_rows) & (F.col("count") >= F.col("total") * HOT_SHARE))
-        .select(F.col("item").alias("hot_key"),
-                F.ceil(F.col("count") / F.lit(hot_rows / 2)).cast("int").alias("n_salts"))
-    )
+    found = df.select(F.col(key).cast("string").alias("k")).agg(
+        F.expr(f"approx_top_k(k, {top}, 10000) FILTER (WHERE k IS NOT NULL)").alias("top"),
+        F.count("k").alias("keyed"), F.count_if(F.col("k").isNull()).alias("nulls")).first()
+    least = max(hot_rows, found["keyed"] * HOT_SHARE)
+    hot = [(t["item"], math.ceil(t["count"] / (hot_rows / 2))) for t in found["top"] or () if t["count"] >= least]
+    return hot, found["nulls"]
 
 
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+                how: str = "inner", hot_rows: int | None = None,
+                hot_from: DataFrame | None = None) -> DataFrame:
     """Equi join of a possibly skewed ``left`` with a ``right`` that has one
     (or few) rows per key; ``right_key`` is dropped from the result.
 
@@ -70,25 +71,37 @@ def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     right rows of that key are repeated once per salt; all other rows carry
     salt 0.  Works for inner, left, left_semi and left_anti.  Where either
     side reads little, Spark's own choice of join is good and is left to it.
+
+    Hot keys are found by one more pass over ``left``, or over ``hot_from``, a
+    cheaper table with the same key column, such as the stored one that
+    ``left`` was derived from.  They are settled before the join is planned,
+    so both sides always agree on the salts.
     """
     right = right.withColumnRenamed(right_key, "__rkey")
-    if hot_rows is None and (_below(left, SMALL_BYTES) or _below(right, BROADCAST_BYTES)):
-        return left.join(right, F.col(left_key) == F.col("__rkey"), how).drop("__rkey")
+    match = F.col(left_key) == F.col("__rkey")
+    if left.isStreaming or hot_rows is None and (_below(left, SMALL_BYTES) or _below(right, BROADCAST_BYTES)):
+        return left.join(right, match, how).drop("__rkey")
+
+    hot_rows = hot_rows or HOT_ROWS
+    hot, nulls = hot_keys(left if hot_from is None else hot_from, left_key, hot_rows)
+    loose = nulls >= hot_rows and how in ("left", "left_anti")
+    if not hot and not loose:
+        return left.join(right, match, how).drop("__rkey")
 
-    hot = F.broadcast(hot_keys(left, left_key, hot_rows or HOT_ROWS))
+    listed = F.broadcast(left.sparkSession.createDataFrame(hot, "hot_key string, n_salts int"))
     # The partition id is stable for a row when its task is run again, and it
     # spreads identical copies, which a hash of the row alone would not.
     n = F.when(F.col(left_key).isNull(), NULL_SALTS).otherwise(F.coalesce("n_salts", F.lit(1)))
     salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns]), n)
     salted = (
-        left.join(hot, F.col(left_key).cast("string") == F.col("hot_key"), "left")
+        left.join(listed, F.col(left_key).cast("string") == F.col("hot_key"), "left")
         .withColumn("__salt", salt.cast("int"))
         .drop("hot_key", "n_salts")
     )
     repeated = (
-        right.join(hot, F.col("__rkey").cast("string") == F.col("hot_key"), "left")
+        right.join(listed, F.col("__rkey").cast("string") == F.col("hot_key"), "left")
         .withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1)))
         .drop("hot_key", "n_salts")
     )
-    match = (F.col(left_key) == F.col("__rkey")) & (F.col("__salt") == F.col("__rsalt"))
-    return salted.join(repeated, match, how).drop("__salt", "__rsalt", "__rkey")
+    joined = salted.join(repeated, match & (F.col("__salt") == F.col("__rsalt")), how)
+    return joined.drop("__salt", "__rsalt", "__rkey")

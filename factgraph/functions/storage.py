@@ -35,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/factgraph/{label}-{uuid.uuid4().hex}"
+        self._tables = {}
         self._n = 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -42,8 +43,21 @@ class Scratch:
         path = f"{self.folder}/{self._n:04d}-{name}"
         schema = df.schema
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
+        kept = self.spark.read.schema(schema).parquet(path)
+        self._tables[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables nothing depends on any more."""
+        for df in tables:
+            _, path = self._tables.pop(id(df), (None, None))
+            if path is not None:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        spared = {id(t) for t in tables}
+        self.drop(*[df for key, (df, _) in list(self._tables.items()) if key not in spared])
 
     def keep_counting(self, df: DataFrame, name: str, **sums) -> tuple[DataFrame, dict]:
         """``keep``, with aggregates over the rows taken while they are written."""

@@ -45,8 +45,9 @@ def get_callers(nodes: DataFrame, edges: DataFrame, name: str | None = None,
     targets = nodes.where(F.col("name").isNotNull() if name is None else F.col("name") == name)
     targets = targets.select(F.col("uid").alias("t_uid"), F.col("name").alias("symbol"))
     callers = nodes.select(F.col("uid").alias("c_uid"), F.col("node_type").alias("type"), "name", "filepath")
-    hits = salted_join(_calls(edges), targets, "target_uid", "t_uid", "inner", hot_rows)
-    rows = salted_join(hits, callers, "source_uid", "c_uid", "inner", hot_rows)
+    calls = _calls(edges)
+    hits = salted_join(calls, targets, "target_uid", "t_uid", "inner", hot_rows)
+    rows = salted_join(hits, callers, "source_uid", "c_uid", "inner", hot_rows, calls)
     return rows.select("symbol", "type", "name", "filepath")
 
 
@@ -56,8 +57,9 @@ def get_callees(nodes: DataFrame, edges: DataFrame, name: str | None = None,
     are part of the answer, with a null name."""
     sources = find_symbol(nodes, name).select(F.col("uid").alias("s_uid"), F.col("name").alias("symbol"))
     callees = nodes.select(F.col("uid").alias("c_uid"), F.col("node_type").alias("type"), "name")
-    hits = salted_join(_calls(edges), sources, "source_uid", "s_uid", "inner", hot_rows)
-    rows = salted_join(hits, callees, "target_uid", "c_uid", "inner", hot_rows)
+    calls = _calls(edges)
+    hits = salted_join(calls, sources, "source_uid", "s_uid", "inner", hot_rows)
+    rows = salted_join(hits, callees, "target_uid", "c_uid", "inner", hot_rows, calls)
     return rows.select("symbol", "type", "name")
 
 
@@ -93,7 +95,7 @@ def get_code_context(nodes: DataFrame, edges: DataFrame, name: str | None = None
     )
     names = nodes.where(F.col("name") != "").select(F.col("uid").alias("o_uid"), "name")
     around = salted_join(links, centers, "center", "k_uid", "inner", hot_rows)
-    around = salted_join(around, names, "other", "o_uid", "inner", hot_rows)
+    around = salted_join(around, names, "other", "o_uid", "inner", hot_rows, links)
     cols = ["symbol", "type", "filepath", "signature", "role", "name"]
     itself = centers.select("symbol", "type", "filepath", "signature",
                             F.lit("center").alias("role"), F.col("symbol").alias("name"))

@@ -99,7 +99,7 @@ def delete_file_subgraph(nodes: DataFrame, edges: DataFrame, paths: DataFrame,
     gone = salted_join(nodes, gone_paths, "filepath", "p", "left_semi", hot_rows)
     gone = gone.select(F.col("uid").alias("g")).distinct()
     left = salted_join(edges, gone, "source_uid", "g", "left_anti", hot_rows)
-    left = salted_join(left, gone, "target_uid", "g", "left_anti", hot_rows)
+    left = salted_join(left, gone, "target_uid", "g", "left_anti", hot_rows, edges)
     return purge_files(nodes, paths, hot_rows), left
 
 

@@ -37,6 +37,7 @@ def ingest(spark: SparkSession, graph: Graph, folder: str, mode: str = "merge")
     scratch = Scratch(spark, "ingest")
     nodes, edges = store.ingest(*current, graph.nodes, graph.edges, scratch)
     store.write_graph(scratch.keep(nodes, "nodes"), edges, folder)
+    scratch.drop_all_but()
     return store.read_graph(spark, folder)
 
 

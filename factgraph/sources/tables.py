@@ -36,11 +36,12 @@ def _orders(spark, folder):
 
 
 def _lines(spark, folder):
-    """Order lines with the uid of their order's function."""
+    """Order lines with the uid of their order's function, and the lines as
+    they are stored."""
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
     orders = _orders(spark, folder).select("o_orderkey", "order_uid", "file_uid")
-    return salted_join(lines, orders, "l_orderkey", "o_orderkey")
+    return salted_join(lines, orders, "l_orderkey", "o_orderkey"), lines
 
 
 def _nodes(df, uid, name, qualified, node_type, filepath, start="1", end="1",
@@ -57,7 +58,7 @@ def table_nodes(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     supplier, part = table(spark, folder, "supplier"), table(spark, folder, "part")
     customers, orders = _customers(spark, folder), _orders(spark, folder)
-    returned = _lines(spark, folder).where("l_returnflag = 'R'")
+    returned = _lines(spark, folder)[0].where("l_returnflag = 'R'")
     return _union([
         _nodes(nation, "concat('f/n', n_nationkey)", "n_name", "n_name", S.FILE,
                "concat('f/n', n_nationkey)", "1", "100", fhash="sha2(n_name, 256)"),
@@ -93,9 +94,10 @@ def _edges(df, source, target, edge_type, filepath, line="NULL"):
 def table_edges(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     supplier, part = table(spark, folder, "supplier"), table(spark, folder, "part")
-    customers, orders, lines = _customers(spark, folder), _orders(spark, folder), _lines(spark, folder)
-    sold = salted_join(lines, supplier.select("s_suppkey", "s_name"), "l_suppkey", "s_suppkey")
-    made = salted_join(lines, part.select("p_partkey", "p_name"), "l_partkey", "p_partkey")
+    customers, orders = _customers(spark, folder), _orders(spark, folder)
+    lines, raw = _lines(spark, folder)
+    sold = salted_join(lines, supplier.select("s_suppkey", "s_name"), "l_suppkey", "s_suppkey", hot_from=raw)
+    made = salted_join(lines, part.select("p_partkey", "p_name"), "l_partkey", "p_partkey", hot_from=raw)
     nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     at_home = salted_join(customers, nation.select("n_nationkey", "n_regionkey"), "c_nationkey", "n_nationkey")
     return _union([

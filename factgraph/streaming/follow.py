@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factgraph import schema as S
+from factgraph.functions.storage import Scratch
 from factgraph.operators.incremental import Graph, relativise, update_graph
 from factgraph.sources.tree import as_files, read_contents
 from factgraph.streaming.changes import CHANGED, DELETED, collapse, file_changes
@@ -52,12 +53,12 @@ def read_snapshot(spark: SparkSession, folder: str, version: int | None = None)
 
 
 def apply_changes(graph: Graph, changes: DataFrame, read_files: Callable[[DataFrame], DataFrame],
-                  mode: str = "fresh") -> Graph:
+                  mode: str = "fresh", scratch: Scratch | None = None) -> Graph:
     """The graph after collapsed changes (filepath, kind); ``read_files`` turns
     a table of paths into a files table, leaving out paths that are gone."""
     changed = changes.where(F.col("kind") == CHANGED).select("filepath")
     deleted = changes.where(F.col("kind") == DELETED).select("filepath")
-    return update_graph(graph, changed, deleted, read_files(changed), mode)
+    return update_graph(graph, changed, deleted, read_files(changed), mode, scratch=scratch)
 
 
 def tree_reader(root: str) -> Callable[[DataFrame], DataFrame]:
@@ -79,14 +80,13 @@ def maintain(stream: DataFrame, folder: str, root: str, read_files=None, every:
         if last is not None and last >= version:
             return
         rows = collapse(file_changes(batch), policy).withColumnRenamed("path", "filepath")
-        # both passes below must see one and the same batch
-        rows = relativise(rows, root).persist()
-        try:
-            if not rows.isEmpty():
-                graph = apply_changes(read_snapshot(spark, folder, last), rows, read_files)
-                write_snapshot(graph, folder, version)
-        finally:
-            rows.unpersist()
+        scratch = Scratch(spark, "batch")
+        # every pass below must see one and the same batch
+        rows = scratch.keep(relativise(rows, root), "changes")
+        if not rows.isEmpty():
+            graph = apply_changes(read_snapshot(spark, folder, last), rows, read_files, scratch=scratch)
+            write_snapshot(graph, folder, version)
+        scratch.drop_all_but()
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)

@@ -81,8 +81,10 @@ def test_salted_join_equals_plain_join(spark, how):
     got = salted_join(left, right, "k", "r", how, hot_rows=50)
     want = left.join(right, left.k == right.r, how).drop("r")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-    hot = hot_keys(left, "k", 50).collect()
-    assert [h.hot_key for h in hot] == ["hot"] and hot[0].n_salts == 40
+    assert hot_keys(left, "k", 50) == ([("hot", 40)], 1000)
+    # rows that are exact copies of one another are spread as well
+    copies = left.where("k = 'hot'").select("k").repartition(8)
+    assert copies.count() == salted_join(copies, right, "k", "r", hot_rows=50).count()
 
 
 def stored(spark, small):
