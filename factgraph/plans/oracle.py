@@ -156,6 +156,9 @@ CORE = {
         SELECT source_uid FROM uedge WHERE edge_type <> 'extends' UNION
         SELECT target_uid FROM uedge WHERE edge_type <> 'extends')""",
     "upsert_nodes": STORE + "SELECT * FROM unode",
+    "upsert_versions": STORE + """SELECT * REPLACE (
+        CAST(CASE WHEN signature = 'order(F)' THEN end_line + 9 ELSE end_line END AS INTEGER) AS end_line,
+        CASE WHEN signature IS DISTINCT FROM 'order(F)' THEN docstring END AS docstring) FROM unode""",
     "upsert_edges": STORE + "SELECT source_uid, target_uid, edge_type, filepath, line FROM uedge",
     "ingest": STORE + "SELECT node_type, count(*) AS n FROM allnode GROUP BY node_type",
     "unique_check": GRAPH + "SELECT node_type, uid, count(*) AS n FROM nodes GROUP BY node_type, uid HAVING count(*) > 1",
@@ -450,7 +453,8 @@ DOMAINS = {
         WHERE source_uid IN (FROM keep) AND target_uid IN (FROM keep)""",
     "community_sizes": DOM + """SELECT domain_uid AS community, count(*) AS member_count, min(uid) AS first_uid
         FROM mem GROUP BY 1 HAVING count(*) >= 3""",
-    "changed_domains": "SELECT 'Domain_3' AS domain_uid, 'removed' AS status UNION ALL SELECT 'Domain_4', 'changed'",
+    "changed_domains": DOM + """SELECT DISTINCT domain_uid, 'removed' AS status FROM mem WHERE domain_uid = 'Domain_3'
+        UNION ALL SELECT DISTINCT domain_uid, 'changed' FROM mem WHERE domain_uid = 'Domain_4'""",
 }
 
 OTHER = {

@@ -71,6 +71,9 @@ def test_results_as_json(spark, shop, tmp_path):
     R.write_json(results, str(tmp_path / "out"))
     back = R.read_result(spark, str(tmp_path / "out"))
     assert back.select(F.explode("nodes")).count() == results.select(F.explode("nodes")).count()
+    assert R.combine(results, results).count() == 8
+    placeholder = store.placeholders(back.select(F.inline("nodes")), back.select(F.inline("edges")))
+    assert json.loads(R.drop_null_fields(placeholder).first().properties).keys() == {"uid", "node_type"}
     one = [r.asDict(recursive=True) for r in results.limit(1).collect()]
     (tmp_path / "one.json").write_text(json.dumps(one[0], indent=2))
     read = R.read_result(spark, str(tmp_path / "one.json"), multi_line=True).first()
