@@ -13,6 +13,9 @@ from factgraph.functions.storage import Scratch
 # Entries one task lists before it hands the directories it has not entered
 # back, to be spread over all tasks in the next round.
 LIST_BUDGET = 20_000
+# File contents handed over at once, and read by one task.
+BATCH_BYTES = 8 << 20
+TASK_BYTES = 256 << 20
 
 
 def _lister(root, budget):
@@ -88,7 +91,13 @@ def as_files(table: DataFrame, path: str = "filepath", content: str = "content")
 
 
 def _content_reader(root):
+    def batch_of(rows):
+        paths, data = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(paths, pa.string()), pa.array(data, pa.binary())], ["filepath", "content"])
+
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
             for path in batch.column("filepath").to_pylist():
                 try:
@@ -96,8 +105,13 @@ def _content_reader(root):
                         data = fh.read()
                 except FileNotFoundError:      # gone since it was listed
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path], pa.string()), pa.array([data], pa.binary())], ["filepath", "content"])
+                rows.append((path, data))
+                size += len(data)
+                if size >= BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
@@ -113,6 +127,7 @@ def scan_tree(spark: SparkSession, root: str, partitions: int | None = None) ->
     listed = list_tree(spark, root)
     listed = prune_paths(listed).where(N.language_of("filepath").isNotNull())
     if partitions is None:
-        partitions = spark.sparkContext.defaultParallelism * 4
+        total = listed.agg(F.sum("size")).first()[0] or 0
+        partitions = max(spark.sparkContext.defaultParallelism * 4, total // TASK_BYTES)
     # spread by path, so one directory with most of the files is no problem
     return as_files(read_contents(listed.repartition(partitions, "filepath"), root))
