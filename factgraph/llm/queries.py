@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import html_blocks, mixing, packing, quality_rules, sharding, warc
+from factgraph.llm import html_blocks, kmeans_tree, mixing, ordinal, packing, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": _pages(html_blocks.extract),
     "op6_shard_rows": _documents(sharding.shard),
     "op7_pack_tokens": _documents(packing.pack),
+    "op9_near_vectors": lambda spark, sf_dir: kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings")),
+    "op10_ordinal_grades": lambda spark, sf_dir: ordinal.grade(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
 }
 
 SQL: dict[str, str] = {
