@@ -9,10 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from factgraph.functions.storage import shared_folder
-from factgraph.llm import mixing, packing, quality_rules
+from factgraph.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 
 STAGES = [
     ("quality rules", lambda spark, docs, sf_dir: quality_rules.keep(docs)),
+    ("n-gram Jaccard join", lambda spark, docs, sf_dir: ngram_join.keep_one(docs)),
+    ("suffix-array dedup", lambda spark, docs, sf_dir: suffix_dedup.remove(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
     ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
 ]

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import html_blocks, kmeans_tree, mixing, ordinal, packing, quality_rules, sharding, warc
+from factgraph.llm import html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": _documents(quality_rules.judge),
     "op3_warc_records": _pages(warc.round_trip),
     "op4_html_text": _pages(html_blocks.extract),
+    "op5_repeated_strings": _documents(suffix_dedup.removals),
     "op6_shard_rows": _documents(sharding.shard),
     "op7_pack_tokens": _documents(packing.pack),
+    "op8_ngram_links": _documents(ngram_join.links),
     "op9_near_vectors": lambda spark, sf_dir: kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings")),
     "op10_ordinal_grades": lambda spark, sf_dir: ordinal.grade(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
@@ -43,4 +45,42 @@ SQL: dict[str, str] = {
                     ELSE 'response' END AS record_type,
                CASE WHEN n > 1 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
         FROM p LEFT JOIN w USING (payload_digest)""",
+    "op5_repeated_strings": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h,
+                   octet_length(encode(coalesce(text, ''))) AS n
+            FROM documents),
+        w AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS m
+              FROM (SELECT r, h, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)),
+        twice AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+        hit AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS step FROM w SEMI JOIN twice USING (m)),
+        run AS (SELECT r, p, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM hit),
+        span AS (SELECT r, k, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY r, k),
+        gap AS (SELECT r, k, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY k), 0) AS c FROM span),
+        cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans,
+                       string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS left_hex
+                FROM gap JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(left_hex, h))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (r)""",
+    "op8_ngram_links": """
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), i -> array_to_string(w[i:i + 4], ' '))) AS g
+            FROM d WHERE len(w) > 0),
+        n AS (SELECT r, count(*) AS size FROM s GROUP BY r),
+        p AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),
+        copy AS (SELECT x.r AS a, y.r AS b FROM d x JOIN d y ON coalesce(x.text, '') = coalesce(y.text, '') AND x.r <> y.r),
+        e AS (
+            SELECT p.a, p.b FROM p JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b
+            WHERE 10 * p.k >= 8 * (na.size + nb.size - p.k)
+            UNION SELECT a, b FROM copy),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+        class AS (SELECT a, min(doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+        SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.a = d.r) AS n_links,
+               (SELECT count(DISTINCT o.text) FROM e JOIN d o ON o.r = e.b WHERE e.a = d.r AND o.text <> d.text) AS n_text_links
+        FROM d JOIN class ON class.a = d.r""",
 }
