@@ -66,10 +66,10 @@ SQL: dict[str, str] = {
     "op8_ngram_links": """
         WITH RECURSIVE d AS (
             SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text,
-                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
             FROM documents),
         s AS (
-            SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), i -> array_to_string(w[i:i + 4], ' '))) AS g
+            SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
             FROM d WHERE len(w) > 0),
         n AS (SELECT r, count(*) AS size FROM s GROUP BY r),
         p AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),

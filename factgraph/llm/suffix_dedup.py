@@ -240,7 +240,8 @@ def repeated_stretches(texts: DataFrame, scratch: Scratch, length: int = LENGTH,
     spark = texts.sparkSession
     long_texts = texts.where(F.octet_length("body") >= length)
     found = scratch.keep(long_texts.select("rid", *KEYS, "body").mapInArrow(_sampler(length), SAMPLES).drop("rid"), "samples")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that a join with a hot gram has two plain shuffles, which Spark can split
+    grams = scratch.keep(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
     found = found.join(grams, "gram").withColumn("hot", F.col("n") > hot_gram).drop("n", "gram")
     found = scratch.keep(found, "repeated-grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -261,7 +262,7 @@ def repeated_stretches(texts: DataFrame, scratch: Scratch, length: int = LENGTH,
         return cold
     strings = scratch.keep(cut.where("hot").select(*wanted).mapInArrow(
         _strings(length), "k1 bigint, k2 bigint, start bigint, d1 bigint, d2 bigint"), "strings")
-    twice = strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = scratch.keep(strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
     hot = strings.join(twice, ["d1", "d2"]).select(*KEYS, "start", (F.col("start") + length).alias("stop"))
     return cold.unionByName(hot)
 
