@@ -8,9 +8,11 @@ they are worth a visit.  How many leaves are visited is calibrated: up to
 ``CALIBRATE`` queries are answered by brute force over all rows, and visits are
 widened until their recall reaches ``RECALL``.
 
-Leaves are searched in blocks of at most about ``BLOCK_ROWS`` vectors by
-``BLOCK_QUERIES`` queries, so a leaf that holds a third of all vectors is the
-work of many tasks.  Scores are taken again in double precision on the stored
+Neighbouring leaves are bundled up to ``BLOCK_ROWS`` vectors, and bundles are
+searched in blocks of at most about ``BLOCK_ROWS`` vectors by ``BLOCK_QUERIES``
+queries, each in the leaves it visits; a block gives the best of a query once,
+not once a leaf.  A leaf that holds a third of all vectors is a bundle of its
+own and the work of many tasks.  Scores are taken again in double precision on the stored
 vectors, one by one in the same order, so equal vectors have equal scores.
 
 Vectors that are null, zero, hold a null or a non-finite component or have
@@ -125,10 +127,13 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query id, row, score) of the k best rows of each query, itself left out."""
+def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
+         may: np.ndarray | None = None) -> Iterator[tuple]:
+    """(query id, row, score) of the k best rows of each query, itself left out; ``may`` tells which rows it may see."""
     for lo in range(0, len(q), 128):
         near = q[lo:lo + 128] @ x.T
+        if may is not None:
+            near[~may[lo:lo + 128]] = -np.inf
         for i, row in enumerate(near):
             row = np.where(ids == q_ids[lo + i], -np.inf, row)
             if len(row) > k:
@@ -151,16 +156,37 @@ def _assigner(tree: Tree):
     return run
 
 
-def _visitor(tree: Tree, most: int):
+def bundles(tree: Tree, rows: dict[int, int], size: int) -> dict[int, int]:
+    """Bundle of each leaf that has rows: neighbours in the tree together, up to ``size`` rows."""
+    out, number, held = {}, 0, 0
+    for leaf in tree.leaves:
+        if leaf in rows:
+            if held and held + rows[leaf] > size:
+                number, held = number + 1, 0
+            out[leaf] = number
+            held += rows[leaf]
+    return out
+
+
+def _visitor(tree: Tree, most: int, bundle_of: dict[int, int]):
+    """A row for each query and bundle, with the leaves of the bundle that the query visits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [tree.visits(q, most) for q in _matrix(part.column(1))]
-                source = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                source, bundle, leaves = [], [], []
+                for i, q in enumerate(_matrix(part.column(1))):
+                    own: dict[int, list[int]] = {}
+                    for leaf in tree.visits(q, most):
+                        if leaf in bundle_of:
+                            own.setdefault(bundle_of[leaf], []).append(leaf)
+                    source += [i] * len(own)
+                    bundle += own.keys()
+                    leaves += own.values()
+                source = pa.array(source, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(source), part.column(1).take(source), pa.array([x for f in found for x in f], pa.int64())],
-                    names=["query_id", "query", "leaf"])
+                    [part.column(0).take(source), part.column(1).take(source), pa.array(bundle, pa.int64()),
+                     pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "query", "bundle", "leaves"])
     return run
 
 
@@ -185,7 +211,9 @@ def _blocks(k: int):
         left, right = left.combine_chunks(), right.combine_chunks()
         q_ids, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
         q, x = _matrix(left["query"].chunk(0)), _matrix(right["embedding"].chunk(0))
-        found = [(a, int(ids[j]), s) for a, j, s in best(q, q_ids, x, ids, k)]
+        held, leaf = np.unique(right["leaf"].to_numpy(), return_inverse=True)
+        may = np.array([np.isin(held, visited) for visited in left["leaves"].to_pylist()])[:, leaf]
+        found = [(a, int(ids[j]), s) for a, j, s in best(q, q_ids, x, ids, k, may)]
         shape = pa.schema(list(FOUND)[:3])
         return pa.Table.from_arrays([pa.array(list(c)) for c in zip(*found)], schema=shape) if found else shape.empty_table()
     return run
@@ -228,17 +256,25 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, recall: float =
     true = true.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "leaf").collect()
     most = widen(tree, ask_ids, ask_q, true, recall)
 
-    asked = scratch.keep(queries.mapInArrow(_visitor(tree, most), "query_id long, query array<double>, leaf long"), "visits")
-    # one row per leaf: how its rows and its queries are cut into blocks
-    cuts = assigned.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("r"))
-    cuts = cuts.join(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("q")), "leaf")
-    cuts = F.broadcast(cuts)        # at most MAX_LEAVES + BRANCHES rows
+    # leaves are MAX_LEAVES and a few at most, and so are bundles
+    held = {r["leaf"]: r["count"] for r in assigned.groupBy("leaf").count().collect()}
+    bundle_of = bundles(tree, held, block_rows)
+    asked = scratch.keep(queries.mapInArrow(_visitor(tree, most, bundle_of),
+                                            "query_id long, query array<double>, bundle long, leaves array<long>"), "visits")
+    asks = {r["bundle"]: r["count"] for r in asked.groupBy("bundle").count().collect()}
+    sizes: dict[int, int] = {}
+    for leaf, bundle in bundle_of.items():
+        sizes[bundle] = sizes.get(bundle, 0) + held[leaf]
+    cuts = F.broadcast(vectors.sparkSession.createDataFrame(
+        [(leaf, b, -(-sizes[b] // block_rows), -(-asks[b] // block_queries)) for leaf, b in bundle_of.items() if b in asks],
+        "leaf long, bundle long, r long, q long"))
     salt = lambda c, m: F.pmod(F.xxhash64(c, F.spark_partition_id(), F.monotonically_increasing_id()), m)
-    left = asked.join(cuts, "leaf").withColumn("qb", salt(F.col("query_id"), F.col("q")))
-    left = left.select("leaf", "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("rb"), "query_id", "query")
+    per_bundle = F.broadcast(cuts.drop("leaf").distinct())
+    left = asked.join(per_bundle, "bundle").withColumn("qb", salt(F.col("query_id"), F.col("q")))
+    left = left.select("bundle", "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r") - 1)).alias("rb"), "query_id", "query", "leaves")
     right = assigned.join(cuts, "leaf").withColumn("rb", salt(F.col("vec_id"), F.col("r")))
-    right = right.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("qb"), "rb", "vec_id", "embedding")
-    keys = ["leaf", "rb", "qb"]
+    right = right.select("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("qb"), "rb", "vec_id", "embedding", "leaf")
+    keys = ["bundle", "rb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_blocks(k), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return ranked.select(*[c.split()[0] for c in out.split(", ")])
