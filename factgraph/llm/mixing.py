@@ -127,7 +127,8 @@ def schedule(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OT
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with the same columns in mixed order."""
-    return schedule(docs, **parameters).orderBy("__position").select(*docs.columns)
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
+    return schedule(rows, **parameters).orderBy("__position").select("__whole.*")
 
 
 def positions(docs: DataFrame, weights: dict[str, int] = WEIGHTS, **parameters) -> DataFrame:

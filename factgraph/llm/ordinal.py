@@ -9,8 +9,8 @@ Features are the distinct words of the whole text and their first five letters,
 lower case and without punctuation, and the distinct patterns of the words'
 signs (capitals, repeated signs, a word equal to the two before), hashed to
 ``DIMS`` places, of which the signs have their own.  The model is fitted on at most ``FIT_ROWS`` rated documents, the
-first by a seeded hash; places seen in very few of them, or in a large share,
-have no weight.  Scores are
+first by a seeded hash; places seen in very few of them, or in documents graded
+like all others, have no weight.  Scores are
 given to all documents.
 
 Nulls and empty texts have no features; their score is 0.  Ratings that are
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 DIMS = 1 << 18
 FIT_ROWS = 8192
 LEAST_DOCS = 4
-MOST_DOCS, MOST_DOCS_SIGNS = 0.1, 0.5    # share of the sample; a place in more of it tells little
+SCREEN = 4.0
 GRADES = 3
 STEPS = 400
 PENALTY = 3e-4
@@ -87,17 +87,19 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES)
     """Maximum likelihood with an L1 penalty on the weights, by accelerated proximal gradients
     over the whole sample.
 
-    The penalty leaves most places at 0, so that the many rare words of long
-    texts don't drown the few that matter.
+    Screening and penalty leave most places at 0, so that the many rare words
+    of long texts don't drown the few that matter.
     """
     n, m = len(features), n_grades - 1
     if not n:
         return Model(np.zeros(DIMS), np.arange(m, dtype=float))
     row = np.repeat(np.arange(n), [len(f) for f in features])
     col = np.concatenate(features)
+    # places whose documents' mean grade lies SCREEN standard errors from that of all; others are noise to the fit
     seen = np.bincount(col, minlength=DIMS)
-    most = np.where(np.arange(DIMS) < SIGNS, MOST_DOCS_SIGNS, MOST_DOCS) * n
-    fine = (seen >= LEAST_DOCS) & (seen <= most)
+    total = np.bincount(col, weights=grades[row], minlength=DIMS)
+    error = np.sqrt(np.maximum(seen * (1 - seen / n), 0) * grades.var())
+    fine = (seen >= LEAST_DOCS) & (np.abs(total - seen * grades.mean()) > SCREEN * error)
     row, col = row[fine[col]], col[fine[col]]
     used, col = np.unique(col, return_inverse=True)
     d, pick = len(used), np.arange(n)

@@ -1,0 +1,347 @@
+import collections
+import hashlib
+import io
+import os
+import random
+import sys
+import zlib
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from factgraph.llm import (html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing, quality_rules, sharding,
+                           suffix_dedup, warc)
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 long, rank string, `row` int, bucket int"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7))) for _ in range(n))
+
+
+def texts():
+    rng = random.Random(3)
+    base = words(rng, 300)
+    parts = base.split()
+    near = [" ".join(parts[:i] + ["changed"] + parts[i + 1:]) for i in (3, 150, 290)]
+    passage = words(rng, 70)
+    return [base, base, *near, words(rng, 60) + " " + passage, passage + "\n" + words(rng, 80), "", None, "one", "one two",
+            "a" * 900, "ab " * 400, "é" * 150, words(rng, 20_000), "x\0y", " \n\t ", "naïve " + words(rng, 300),
+            "<|endoftext|> tail", "one"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", ("src0", "src1", "new", None)[i % 4], None if t is None else len(t), 1, "r", 2, 3) for i, t in enumerate(texts())]
+    rows += [(None, "no id " + words(random.Random(5), 60), None, None, None, None, None, None, None), rows[0], rows[0]]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def test_frame_keeps_within_a_block():
+    for shares in ([8, 6, 4, 4, 2, 2, 6], [5, 1, 1, 1, 1, 1], [1], [97, 3, 1]):
+        slots, length = mixing.frame(shares), sum(shares)
+        assert sorted(s for own in slots for s in own) == list(range(length))
+        for t in range(length + 1):
+            for own, share in zip(slots, shares):
+                assert abs(sum(s < t for s in own) - share * t / length) < 1
+
+
+def test_phases_equal_a_sequential_schedule():
+    shares, blocks = [5, 2, 1], [40, 3, 11]
+    left, expected = list(blocks), []
+    while any(left):        # slot by slot: released block with the earliest deadline, shares renewed when one ends
+        alive = [i for i, n in enumerate(left) if n]
+        total, used, t = sum(shares[i] for i in alive), collections.Counter(), 0
+        while all(left[i] for i in alive):
+            ready = [(-(-(used[i] + 1) * total // shares[i]), i) for i in alive if used[i] * total // shares[i] <= t]
+            i = min(ready)[1]
+            used[i] += 1
+            left[i] -= 1
+            t += 1
+            expected.append(i)
+    got = {}
+    for p in mixing.phases(shares, blocks):
+        for k in range(p["end_block"] - p["first_block"]):
+            got[p["start_slot"] + k // p["share"] * p["frame"] + p["slots"][k % p["share"]]] = p["stream"]
+    assert [got[s] for s in range(len(expected))] == expected
+
+
+def test_mix(docs, none):
+    rows = mixing.positions(docs, weights={"src0": 2, "src1": 1}, other=1, block_rows=2).collect()
+    assert sorted(r.position for r in rows) == list(range(docs.count()))
+    assert {r.stream for r in rows} == {"src0", "src1", "other"}
+    order = [(r.slot, r.position) for r in sorted(rows, key=lambda r: r.position)]
+    assert order == sorted(order)
+    assert mixing.positions(none).count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+
+
+def plain_measures(text):
+    ws, found, now = [], [], ""
+    for c in (text or "") + " ":
+        if c in " \t\n\x0b\x0c\r":
+            if now:
+                ws.append(now)
+            now = ""
+        else:
+            now += c
+    windows = collections.Counter(tuple(ws[i:i + 3]) for i in range(len(ws) - 2))
+    covered = {i + k for i in range(len(ws) - 2) if windows[tuple(ws[i:i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
+    return (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered),
+            len(ws) < 50 or 100 * len(covered) > 50 * len(ws))
+
+
+def test_quality_rules(spark, docs, none):
+    odd = docs.unionByName(spark.createDataFrame(
+        [(50, "a b c a b c\n\na b c\nx # $ <>\x1c y z\n \na b c", *[None] * 7)], DOCS))
+    text_of = {r.doc_id: r.text for r in odd.collect()}
+    for r in quality_rules.judge(odd).collect():
+        assert tuple(r[1:7]) == plain_measures(text_of[r.doc_id]), r.doc_id
+        assert not (r.base_failed and r.kept)
+    kept = {r.doc_id for r in quality_rules.keep(odd).collect()}
+    assert {0, 5, 6, 17} <= kept and not kept & {7, 8, 9, 11, 12}
+    assert quality_rules.keep(odd).columns == docs.columns and quality_rules.judge(none).count() == 0
+    pack = quality_rules.zstandard.ZstdCompressor(level=3)
+    noise = "".join(random.Random(1).choices("".join(map(chr, range(33, 127))), k=6000))
+    assert not quality_rules.measures(" ".join(noise[i:i + 60] for i in range(0, 6000, 60)).encode(), pack)[6]
+
+
+def pages(spark):
+    big = "<p>" + "é" * 700 + "</p>"
+    return spark.createDataFrame([(1, "http://a", big, 1), (5, "http://b", big, 1), (3, None, big, 1), (5, "http://b", big, 1), (4, "u", "small", 1),
+                                  (6, "u", "small", 1), (7, "u", None, 1), (None, "u", big, 1), (8, "u", "", 1), (9, "u", "x" * 300_000, 1)],
+                                 "page_id long, url string, html string, digest int")
+
+
+def test_warc(spark):
+    table = pages(spark)
+    got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(table).collect()}
+    assert warc.round_trip(table).count() == table.count()
+    expected = set()
+    for r in table.collect():
+        data = (r.html or "").encode()
+        revisit = len(data) >= 1000 and r.page_id not in (5, 9)
+        expected.add((r.page_id, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None))
+    assert got == expected
+    assert warc.round_trip(table.limit(0)).count() == 0
+
+
+def test_warc_reader_rejects_damage():
+    good = warc.record(1, "u", b"payload" * 100, None, False) + warc.record(2, "u", b"", None, False)
+    assert [r["payload_bytes"] for r in warc.read_records(io.BytesIO(good))] == [700, 0]
+    plain = zlib.decompress(good, 31)
+    for bad in (plain.replace(b"payloadpay", b"payloadpax", 1), plain.replace(b"Content-Length: 7", b"Content-Length: 6", 2), b"junk\r\n\r\n"):
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(pack.compress(bad) + pack.flush())))
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(good[:len(good) // 3])))
+
+
+def test_html(spark):
+    page = ("<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><header><p>Site of the year</p></header>"
+            "<nav><a href=/>Home</a></nav><div class='cookie-notice'>We use the cookies of this site</div>"
+            "<article><h1>A  title &amp; more</h1><p>First <b>bold</b> &lt;x&gt;\n text.</p><p>Short.</p>"
+            "<form>Mail <input></form><div class=ad>Buy</div><!-- <p>hidden</p> --></article>"
+            "<aside>Also of interest</aside><section id=comments><p>I liked the whole of it</p></section><footer>&copy; us</footer>")
+    assert html_blocks.main_text(page) == "A title & more\nFirst bold <x> text.\nShort."
+    for broken in ("", None, "<", "a < b", "<p>unclosed", "</div></p>text", "<a href='x>y</a>", "<!-- open", "<script>open"):
+        assert isinstance(html_blocks.main_text(broken), str)
+    plain = ("<div><a href=1>One</a> <a href=2>Two</a></div><p>" + "It was the end of the day and they were on the way to it. " * 4
+             + "</p><p>So it was.</p><p>" + "He had been with her for all of the time that was left. " * 4 + "</p><ul><li><a href=3>Next page</a></li></ul>")
+    assert html_blocks.main_text(plain).count("\n") == 2 and "One" not in html_blocks.main_text(plain)
+    got = html_blocks.extract(pages(spark)).collect()
+    assert len(got) == 10 and all(r.n_chars == len(r.text) for r in got)
+    assert html_blocks.extract(pages(spark).limit(0)).count() == 0
+
+
+def brute_removals(bodies, length):
+    seen = collections.Counter(t[p:p + length] for t in bodies for p in range(len(t) - length + 1))
+    out = []
+    for t in bodies:
+        gone = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if seen[t[p:p + length]] > 1:
+                gone[p:p + length] = b"\1" * length
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_suffix_dedup(docs, none, hot):
+    rows = docs.collect()
+    expected = collections.Counter(
+        (r.doc_id, *m) for r, m in zip(rows, brute_removals([(r.text or "").encode() for r in rows], 200)))
+    assert collections.Counter(map(tuple, suffix_dedup.removals(docs, hot_gram=hot).collect())) == expected
+    if hot == 2:
+        assert suffix_dedup.removals(none).count() == 0
+        left = suffix_dedup.remove(docs)
+        assert left.columns == docs.columns
+        by_id = {r.doc_id: r for r in left.collect()}
+        assert 0 not in by_id and 11 not in by_id and by_id[8].text is None and by_id[17].n_chars == len(by_id[17].text)
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 3, (500, 6)).astype(np.uint64)
+    assert sorted(map(tuple, rows)) == [tuple(r) for r in rows[suffix_dedup.multikey_order(rows)]]
+
+
+def test_sharding(docs, none):
+    many = docs.crossJoin(docs.sparkSession.range(40).withColumnRenamed("id", "extra"))
+    rows = sharding.shard(many).collect()
+    text_of = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    sizes = collections.Counter(r.shard for r in rows)
+    assert len(rows) == many.count() and set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    for r in rows:
+        assert (r.size, r.text_crc32) == (len(text_of[r.doc_id]) + 1, zlib.crc32(text_of[r.doc_id]))
+    mix = collections.Counter((r.shard, r.source) for r in rows)
+    for source, total in collections.Counter(r.source for r in rows).items():
+        assert all(abs(mix[s, source] - total / 16) <= 2 for s in sizes)
+    assert sharding.shard(none).count() == 0
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+    exact = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    ids = {r.doc_id: exact.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
+    rows = packing.pack(docs.repartition(8), open_windows=2, fan_in=2).collect()
+    covered, sequences = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        piece = np.array(ids[r.doc_id][r.start:r.start + r.length], "<u4")
+        assert (len(piece), zlib.crc32(piece.tobytes()), len(ids[r.doc_id])) == (r.length, r.ids_crc32, r.doc_tokens)
+        covered[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+    copies = collections.Counter(r.doc_id for r in docs.collect())
+    assert covered == {k: len(v) * copies[k] for k, v in ids.items()}
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= sum(covered.values()) / 2048 * 1.2 + 1
+    assert packing.pack(none).count() == 0
+
+
+def test_token_ids_equal_the_tokenizer():
+    ids, rng = packing.Ids(packing.tokenizer_paths()), random.Random(4)
+    pieces = ["a", "b", " ", "  ", "\n", "\t", "é", "12", "'s", "!", "<|endoftext|>", "\x1c", " ", "中", "\r\n", "👍", " \n", "\x85"]
+    for _ in range(2000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 25)))
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.exact.encode(text, add_special_tokens=False).ids
+
+
+def brute_links(rows):
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().split()
+        n = min(5, len(w))
+        sets.append({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if w else None)
+    link = [[i != j and (rows[i].text or "") == (rows[j].text or "") or
+             i != j and sets[i] is not None and sets[j] is not None and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+             for j in range(len(rows))] for i in range(len(rows))]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[i], *(root[j] for j in range(len(rows)) if link[i][j])]) for i in range(len(rows))]
+    name = {}
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            name[root[i]] = min(name.get(root[i], r.doc_id), r.doc_id)
+    return collections.Counter((r.doc_id, name.get(root[i]), sum(link[i])) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("large,block", [(48, 384), (1, 2)])
+def test_ngram_join(docs, none, large, block):
+    got = ngram_join.links(docs, large, block).select("doc_id", "class_id", "n_links").collect()
+    assert collections.Counter(map(tuple, got)) == brute_links(docs.collect())
+    if large == 1:
+        kept = ngram_join.keep_one(docs, large, block)
+        assert kept.columns == docs.columns
+        ids = [r.doc_id for r in kept.collect()]
+        assert len(ids) == len({(c, n) if c is not None else d for d, c, n in brute_links(docs.collect()) for n in [0]})
+        assert ids.count(0) == 1 and not {1, 2, 3, 4, 19} & set(ids)
+        assert ngram_join.links(none).count() == 0
+
+
+def test_posterior_threshold():
+    from math import comb
+    for n in (17, 85, 170):
+        m = ngram_join.least_matches(n)
+        tail = lambda k: sum(comb(n + 1, i) * 0.8 ** i * 0.2 ** (n + 1 - i) for i in range(k + 1))
+        assert tail(m) >= ngram_join.TOLERANCE > (tail(m - 1) if m else 0)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8))
+    vectors = [(i, (centres[i % 12] + rng.normal(size=8) * 0.4).astype(np.float32).tolist(), 1) for i in range(1500)]
+    vectors += [(1500 + i, [1.0, *[0.0] * 7], 1) for i in range(400)]        # one very common vector
+    vectors += [(2000, None, 1), (2020, [0.0] * 8, 1), (2040, [float("nan")] * 8, 1), (2060, [1.0], 1), (None, [1.0] * 8, 1), (2080, [None] * 8, 1)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, leaf int")
+    got = collections.defaultdict(list)
+    for r in kmeans_tree.neighbours(table, leaf_rows=32, block_rows=100, block_queries=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ids = np.arange(1900)
+    x = np.array([v for _, v, _ in vectors[:1900]], np.float64)
+    hits = 0
+    assert set(got) == set(range(0, 1900, 20))
+    for q, found in got.items():
+        score = np.where(ids == q, -np.inf, (x * x[q]).sum(1))
+        true = [int(i) for i in np.lexsort((ids, -score))[:20]]
+        hits += len(set(true) & {v for v, _ in found})
+        assert len(found) == 20 and all(s == score[v] for v, s in found)
+        assert found == sorted(found, key=lambda p: (-p[1], p[0]))
+    assert hits / (20 * len(got)) >= 0.9
+    assert kmeans_tree.neighbours(table.limit(0)).count() == 0
+
+
+def test_ordinal_held_out(spark, docs, none):
+    rng = random.Random(6)
+    vocabulary = [words(rng, 1) for _ in range(400)]
+    rows, rated = [], []
+    for i in range(900):
+        quality, toxic = int(rng.random() < 0.7), int(rng.random() < 0.3)
+        body = rng.choices(vocabulary, k=80)
+        if not quality:
+            body = [w + "###" for w in body]
+        if toxic:
+            body[::9] = rng.choices(["vile", "scum", "fool"], k=len(body[::9]))
+        rows.append((i, " ".join(body)))
+        rated.append((i, quality, toxic))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([*rated[:600], (1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in ordinal.grade(table, labels).collect()}
+    right = sum(got[i].grade == (0 if not q else 1 if t else 2) for i, q, t in rated[600:])
+    assert right >= 0.9 * 300
+    assert all(0 <= r.top_probability <= r.expected_grade <= 2 for r in got.values())
+    assert ordinal.grade(docs, labels).count() == docs.count()
+    assert ordinal.grade(none, labels).count() == 0
+    assert ordinal.grade(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+    # the base text stands for its class, loses nothing to itself, and short or repetitive texts went first
+    expected = {r.doc_id for r in ngram_join.keep_one(quality_rules.keep(docs)).collect()}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == expected == {r.doc_id for r in at.collect()}
+    removed = {r.doc_id: r.text for r in at.collect()}
+    assert all(len(t.encode()) > 0 for t in removed.values())
