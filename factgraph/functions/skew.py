@@ -4,11 +4,12 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is spread when it holds this share of the rows, which bounds the list
-# of such keys to 1 / HOT_SHARE rows: the only thing broadcast by hint.
-HOT_SHARE = 1 / 200
-# ... and at least this many rows; below it one task has no trouble.
+# A key is spread when it holds at least this many rows; below it one task has
+# no trouble.  The list of such keys has rows / HOT_ROWS entries at most: the
+# only thing broadcast by hint.
 HOT_ROWS = 2_000_000
+# The sketch finds every key with this share of the rows.
+HOT_SHARE = 1 / 200
 # A left side that reads less than this is joined without the extra pass.
 SMALL_BYTES = 256 << 20
 # A right side that reads less than this is broadcast by Spark on its own.
@@ -49,16 +50,19 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[list[tu
     """Keys of ``df`` worth spreading as (key, n_salts), and the rows without a
     key.
 
-    One pass with a mergeable sketch of fixed size, so neither keys nor rows
-    are shuffled, and at most 1 / HOT_SHARE keys come back.
+    One pass with a mergeable sketch of fixed size, so that neither keys nor
+    rows are shuffled.  Where a key of ``hot_rows`` rows may be too small a share
+    for the sketch, keys are counted instead, with partial counts per task.
     """
     top = int(1 / HOT_SHARE)
     found = df.select(F.col(key).cast("string").alias("k")).agg(
         F.expr(f"approx_top_k(k, {top}, 10000) FILTER (WHERE k IS NOT NULL)").alias("top"),
         F.count("k").alias("keyed"), F.count_if(F.col("k").isNull()).alias("nulls")).first()
-    least = max(hot_rows, found["keyed"] * HOT_SHARE)
-    hot = [(t["item"], math.ceil(t["count"] / (hot_rows / 2))) for t in found["top"] or () if t["count"] >= least]
-    return hot, found["nulls"]
+    counts = [(t["item"], t["count"]) for t in found["top"] or ()]
+    if found["keyed"] * HOT_SHARE > hot_rows:
+        keys = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        counts = [(r["k"], r["n"]) for r in keys.where(F.col("n") >= hot_rows).collect()]
+    return [(k, math.ceil(n / (hot_rows / 2))) for k, n in counts if n >= hot_rows], found["nulls"]
 
 
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

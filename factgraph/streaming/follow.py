@@ -1,9 +1,11 @@
 """Keeping a stored graph current from a stream of file changes.
 
 The graph lives in numbered snapshots under one folder.  A snapshot counts
-once its row is in the ``commits`` table, which is written last; a micro-batch
-that is run again after a failure either finds its commit and does nothing, or
-writes its snapshot anew from the one before.
+once its row is in the ``commits`` table, which is written last.  The row names
+the streaming query (which lives as long as its checkpoint) and its batch: a
+micro-batch that is run again after a failure either finds its commit and does
+nothing, or writes its snapshot anew from the one before.  A query with a new
+checkpoint counts its batches from 0 again, and all of them are applied.
 """
 
 from collections.abc import Callable
@@ -17,28 +19,37 @@ from factgraph.operators.incremental import Graph, relativise, update_graph
 from factgraph.sources.tree import as_files, read_contents
 from factgraph.streaming.changes import CHANGED, DELETED, collapse, file_changes
 
-_COMMIT = "version long"
+_COMMIT = "version long, query string, batch long"
 
 
 def _version_path(folder, version):
     return f"{folder}/snapshots/{version:012d}"
 
 
-def latest_version(spark: SparkSession, folder: str) -> int | None:
+def _commits(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
-        commits = spark.read.schema(_COMMIT).json(f"{folder}/commits")
-        return commits.agg(F.max("version")).first()[0]
+        return spark.read.schema(_COMMIT).json(f"{folder}/commits")
     except Exception as exc:
         if "PATH_NOT_FOUND" in str(exc):
             return None
         raise
 
 
-def write_snapshot(graph: Graph, folder: str, version: int) -> None:
+def latest_version(spark: SparkSession, folder: str) -> int | None:
+    commits = _commits(spark, folder)
+    return None if commits is None else commits.agg(F.max("version")).first()[0]
+
+
+def is_applied(spark: SparkSession, folder: str, query: str, batch: int) -> bool:
+    commits = _commits(spark, folder)
+    return commits is not None and not commits.where((F.col("query") == query) & (F.col("batch") == batch)).isEmpty()
+
+
+def write_snapshot(graph: Graph, folder: str, version: int, query: str | None = None, batch: int | None = None) -> None:
     spark, path = graph.nodes.sparkSession, _version_path(folder, version)
     for name, df in graph._asdict().items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(version,)], _COMMIT).coalesce(1).write.mode("append").json(f"{folder}/commits")
+    spark.createDataFrame([(version, query, batch)], _COMMIT).coalesce(1).write.mode("append").json(f"{folder}/commits")
 
 
 def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> Graph:
@@ -65,6 +76,23 @@ def tree_reader(root: str) -> Callable[[DataFrame], DataFrame]:
     return lambda paths: as_files(read_contents(paths, root))
 
 
+def apply_batch(batch: DataFrame, query: str, batch_id: int, folder: str, root: str, read_files=None,
+                policy: str = "deleted") -> None:
+    """Apply one batch of change events to the latest snapshot, once."""
+    spark = batch.sparkSession
+    if is_applied(spark, folder, query, batch_id):
+        return
+    rows = collapse(file_changes(batch), policy).withColumnRenamed("path", "filepath")
+    scratch = Scratch(spark, "batch")
+    # every pass below must see one and the same batch
+    rows = scratch.keep(relativise(rows, root), "changes")
+    if not rows.isEmpty():
+        last = latest_version(spark, folder)
+        graph = apply_changes(read_snapshot(spark, folder, last), rows, read_files or tree_reader(root), scratch=scratch)
+        write_snapshot(graph, folder, last + 1, query, batch_id)
+    scratch.drop_all_but()
+
+
 def maintain(stream: DataFrame, folder: str, root: str, read_files=None, every: str = "500 milliseconds",
              policy: str = "deleted", checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
     """Start the query that applies every micro-batch to the latest snapshot.
@@ -72,21 +100,9 @@ def maintain(stream: DataFrame, folder: str, root: str, read_files=None, every:
     The trigger interval is the time changes are gathered; an interval without
     changes does nothing.  ``once`` handles what is there and stops.
     """
-    read_files = read_files or tree_reader(root)
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version, last = batch_id + 1, latest_version(spark, folder)
-        if last is not None and last >= version:
-            return
-        rows = collapse(file_changes(batch), policy).withColumnRenamed("path", "filepath")
-        scratch = Scratch(spark, "batch")
-        # every pass below must see one and the same batch
-        rows = scratch.keep(relativise(rows, root), "changes")
-        if not rows.isEmpty():
-            graph = apply_changes(read_snapshot(spark, folder, last), rows, read_files, scratch=scratch)
-            write_snapshot(graph, folder, version)
-        scratch.drop_all_but()
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        apply_batch(batch, query, batch_id, folder, root, read_files, policy)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)

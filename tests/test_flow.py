@@ -200,9 +200,27 @@ def test_follow(spark, tmp_path):
     emit(2, ("modified", "notes.txt"))
     assert run() == first                                    # nothing that matters
     # a batch that is run again finds its commit
-    count = spark.read.json(f"{folder}/commits").count()
+    commits = spark.read.json(f"{folder}/commits")
+    done = commits.where("version > 0").first()
+    assert done.query and commits.count() == 2
+    batch = spark.read.schema(stream.schema).json(str(feed))
+    follow.apply_batch(batch, done.query, done.batch, folder, str(root))
+    assert follow.latest_version(spark, folder) == first
+    # a new checkpoint starts from batch 0 again, and none of its changes is lost
+    (root / "b.py").write_text(B + "def four():\n    one()\n")
+    emit(3, ("modified", "b.py"))
     follow.maintain(stream, folder, str(root), checkpoint=str(tmp_path / "other"), once=True).awaitTermination()
-    assert follow.latest_version(spark, folder) == first and spark.read.json(f"{folder}/commits").count() == count
+    assert follow.latest_version(spark, folder) > first
+    graph, full = follow.read_snapshot(spark, folder), build.build_graph(spark, str(root))
+    assert checks.differing_rows(graph.nodes, full.nodes).isEmpty() and checks.differing_rows(graph.edges, full.edges).isEmpty()
+
+
+def test_many_warm_keys_are_spread(spark):
+    # each key holds far less than the sketch's share of the rows
+    from factgraph.functions import skew
+    df = spark.range(60_000).selectExpr("cast(id % 600 as string) k")
+    hot, nulls = skew.hot_keys(df, "k", hot_rows=100)
+    assert len(hot) == 600 and nulls == 0 and all(n == 2 for _, n in hot)
 
 
 def communities(spark, pairs, extra=(), **options):
@@ -308,3 +326,12 @@ def test_domains(spark):
     assert [tuple(r) for r in D.changed_domains(membership, moved).collect()] == [("Domain_0", "changed")]
     edges = spark.createDataFrame([("u070", "u071", "calls", "f", 1, ""), ("u070", "u001", "calls", "f", 1, "")], S.EDGE)
     assert D.domain_subgraph(membership, edges, "Domain_1").count() == 1
+
+
+def test_louvain_ends_by_the_tolerance_alone(spark):
+    import inspect
+    assert not {"max_levels", "max_rounds"} & set(inspect.signature(L.louvain).parameters)
+    cliques = [(f"{c}{i}", f"{c}{j}") for c in "abcdef" for i in range(4) for j in range(i)]
+    ring = cliques + [(f"{a}0", f"{b}1") for a, b in zip("abcdef", "bcdefa")]
+    found, _, _ = communities(spark, ring)
+    assert groups(found) == [[f"{c}{i}" for i in range(4)] for c in "abcdef"]
