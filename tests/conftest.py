@@ -24,7 +24,7 @@ def spark():
 
 
 @pytest.fixture
-def shop(tmp_path):
-    """A small Java tree: a cart, its entries and a till."""
-    from fixtures import write_shop
-    return write_shop(tmp_path / "shop")
+def pier(tmp_path):
+    """A small tree: three Java classes of a tide station and a Python module."""
+    from fixtures import write_pier
+    return write_pier(tmp_path / "pier")

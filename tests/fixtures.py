@@ -1,123 +1,96 @@
 """Source texts the tests read."""
 
-ENTRY = '''package org.demo.till;
+PROBE = '''package org.demo.tide;
 
-/** One position of a basket. */
-public class Entry {
+/** A gauge at one pier. */
+public class Probe {
 
-    private final String code;
-    private final String title;
-    private final double cost;
-    private int count;
+    private final double zero;
+    private double drift;
 
-    public Entry(String code, String title, double cost, int count) {
-        this.code = code;
-        this.title = title;
-        this.cost = cost;
-        this.count = count;
+    public Probe(double zero) {
+        this.zero = zero;
     }
 
-    public String codeOf() {
-        return code;
+    public void settle(double seen, double known) {
+        drift = (drift + seen - known) / 2;
     }
 
-    public String titleOf() {
-        return title;
-    }
-
-    public double costOf() {
-        return cost;
-    }
-
-    public int countOf() {
-        return count;
-    }
-
-    public void putCount(int count) {
-        this.count = count;
+    public double level(double raw) {
+        return raw - zero - drift;
     }
 
     @Override
-    public String toString() {
-        return title + " x" + count;
+    public String label(int digits) {
+        return String.format("%." + digits + "f", zero);
     }
 }
 '''
 
-BASKET = '''package org.demo.till;
+DAY = '''package org.demo.tide;
 
-import java.util.ArrayList;
-import java.util.List;
+import java.util.Arrays;
+import java.util.stream.DoubleStream;
 
 /**
- * Holds entries
- * until they are paid.
+ * Readings of a day
+ * by the hour.
  */
-public class Basket {
+public class TideDay {
 
-    private final List<Entry> entries;
+    private final double[] hours = new double[24];
 
-    public Basket() {
-        this.entries = new ArrayList<>();
+    public TideDay() {
+        Arrays.fill(hours, Double.NaN);
     }
 
-    public void put(Entry entry) {
-        for (Entry known : entries) {
-            if (known.codeOf().equals(entry.codeOf())) {
-                known.putCount(known.countOf() + entry.countOf());
-                return;
-            }
-        }
-        entries.add(entry);
+    public double span() {
+        double low = DoubleStream.of(hours).min().orElse(0);
+        return DoubleStream.of(hours).max().orElse(low) - low;
     }
 
-    public double sum() {
-        double total = 0;
-        for (Entry entry : entries) {
-            total += entry.costOf() * entry.countOf();
-        }
-        if (total < 0) {
-            return 0;
+    public String strength(double wind) {
+        double reach = span() + wind;
+        if (reach > 6) {
+            return "storm";
+        } else if (reach > 4) {
+            return "spring";
+        } else if (Math.abs(reach) < 1) {
+            return "slack";
         }
-        return total;
+        return "usual";
     }
 
-    public double reduced(String tier) {
-        double total = sum();
-        if (tier.equals("gold")) {
-            return total * 0.8;
-        } else if (tier.equals("silver")) {
-            return total * 0.9;
-        } else if (tier.startsWith("staff")) {
-            return total * 0.5;
-        } else {
-            return total;
+    public int gaps() {
+        int missing = 0;
+        for (double hour : hours) {
+            if (Double.isNaN(hour)) missing++;
         }
+        return missing;
     }
 }
 '''
 
-TILL = '''package org.demo.till;
+WATCH = '''package org.demo.tide;
 
-public class Till extends Machine implements Payable {
+public class Watch extends Station implements Reporter {
 
-    private final Basket basket;
+    private final TideDay day;
 
-    public Till(Basket basket) {
-        this.basket = basket;
+    public Watch(TideDay day) {
+        this.day = day;
     }
 
-    public double pay(String tier) {
-        if (basket == null) {
-            throw new IllegalStateException("no basket");
+    public String report(Probe probe, double raw) {
+        while (day.gaps() > 12) {
+            rest(day.gaps());
         }
-        double due = basket.reduced(tier);
-        if (due <= 0) throw new IllegalStateException(hint(due));
-        return due;
+        if (raw != raw) return alarm(probe);
+        return day.strength(probe.level(raw));
     }
 
-    public double preview() {
-        return basket.sum();
+    public double glance() {
+        return day.span() / 2;
     }
 }
 '''
@@ -156,9 +129,9 @@ if __name__ == "__main__":
 '''
 
 
-def write_shop(root):
+def write_pier(root):
     files = {
-        "src/Entry.java": ENTRY, "src/Basket.java": BASKET, "src/Till.java": TILL,
+        "src/Probe.java": PROBE, "src/TideDay.java": DAY, "src/Watch.java": WATCH,
         "tools/_box.py": TOOLS, "tools/README.md": "text",
         "target/Old.java": "class Old {}", ".git/x/Hidden.java": "class Hidden {}",
     }

@@ -20,16 +20,16 @@ def uids(df, col="uid"):
     return sorted(r[0] for r in df.select(col).collect())
 
 
-def test_scan_tree(spark, shop):
-    files = tree.scan_tree(spark, str(shop))
-    assert uids(files, "filepath") == ["src/Basket.java", "src/Entry.java", "src/Till.java", "tools/_box.py"]
+def test_scan_tree(spark, pier):
+    files = tree.scan_tree(spark, str(pier))
+    assert uids(files, "filepath") == ["src/Probe.java", "src/TideDay.java", "src/Watch.java", "tools/_box.py"]
     row = files.where("filepath = 'tools/_box.py'").first()
     assert (row.name, row.ext, row.language) == ("_box.py", ".py", "python") and len(row.file_hash) == 64
     # a budget of one entry per round walks the tree in many rounds
-    assert uids(tree.prune_paths(tree.list_tree(spark, str(shop), budget=1)), "filepath") == uids(
-        tree.prune_paths(tree.list_tree(spark, str(shop))), "filepath")
+    assert uids(tree.prune_paths(tree.list_tree(spark, str(pier), budget=1)), "filepath") == uids(
+        tree.prune_paths(tree.list_tree(spark, str(pier))), "filepath")
     with pytest.raises(ValueError):
-        tree.scan_tree(spark, str(shop / "none"))
+        tree.scan_tree(spark, str(pier / "none"))
 
 
 def test_empty_tree(spark, tmp_path):
@@ -38,18 +38,18 @@ def test_empty_tree(spark, tmp_path):
     assert graph.nodes.isEmpty() and graph.edges.isEmpty()
 
 
-def test_build_ingest_and_ask(spark, shop, tmp_path):
-    graph = build.build_graph(spark, str(shop))
-    again = build.build_graph(spark, str(shop))
+def test_build_ingest_and_ask(spark, pier, tmp_path):
+    graph = build.build_graph(spark, str(pier))
+    again = build.build_graph(spark, str(pier))
     assert checks.differing_rows(graph.nodes, again.nodes).isEmpty()
     assert checks.differing_rows(graph.edges, again.edges).isEmpty()
     assert checks.contains_violations(graph.nodes, graph.edges).isEmpty()
     folder = str(tmp_path / "graph")
     nodes, edges = build.ingest(spark, graph, folder)
     store.assert_unique(nodes)
-    callers = lookups.get_callers(nodes, edges, "sum").collect()
-    assert {c.name for c in callers} == {"reduced", "preview"}
-    assert {c.name for c in lookups.get_callees(nodes, edges, "pay").collect()} == {"reduced", None}
+    callers = lookups.get_callers(nodes, edges, "span").collect()
+    assert {c.name for c in callers} == {"strength", "glance"}
+    assert {c.name for c in lookups.get_callees(nodes, edges, "report").collect()} == {"gaps", "strength", "level", None}
     before = nodes.count()
     nodes, edges = build.ingest(spark, graph, folder)              # merging again changes nothing
     assert nodes.count() == before
@@ -66,8 +66,8 @@ def test_cluster_of_nothing(spark, tmp_path):
     assert build.cluster(spark, str(tmp_path)) is None
 
 
-def test_results_as_json(spark, shop, tmp_path):
-    results = extract_facts(tree.scan_tree(spark, str(shop)))
+def test_results_as_json(spark, pier, tmp_path):
+    results = extract_facts(tree.scan_tree(spark, str(pier)))
     R.write_json(results, str(tmp_path / "out"))
     back = R.read_result(spark, str(tmp_path / "out"))
     assert back.select(F.explode("nodes")).count() == results.select(F.explode("nodes")).count()
