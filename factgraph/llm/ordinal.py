@@ -14,7 +14,7 @@ like all others, have no weight.  Scores are
 given to all documents.
 
 Nulls and empty texts have no features; their score is 0.  Ratings that are
-null are left out; of several ratings of a document the lowest counts.  With no
+null are left out, unless the other one settles the grade; of several ratings of a document the lowest counts.  With no
 ratings at all the thresholds are 0, 1, ... and the weights 0.  Repeated rows
 are scored each.  Other columns are not read.
 """
@@ -148,8 +148,12 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES)
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
-    """0: poor; 1: well written but toxic; 2: well written and clean."""
-    return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
+    """0: toxic; 1: poor but not toxic; 2: well written and clean.
+
+    Toxic is the open end of the scale, since a text may hold any number of
+    toxic words: each lowers the score, and none may raise the grade again.
+    """
+    return F.when(toxic == 1, 0).when(quality == 0, 1).when((quality == 1) & (toxic == 0), 2)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

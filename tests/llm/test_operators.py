@@ -324,7 +324,7 @@ def test_ordinal_held_out(spark, docs, none):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([*rated[:600], (1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in ordinal.grade(table, labels).collect()}
-    right = sum(got[i].grade == (0 if not q else 1 if t else 2) for i, q, t in rated[600:])
+    right = sum(got[i].grade == (0 if t else 1 if not q else 2) for i, q, t in rated[600:])
     assert right >= 0.9 * 300
     assert all(0 <= r.top_probability <= r.expected_grade <= 2 for r in got.values())
     assert ordinal.grade(docs, labels).count() == docs.count()
