@@ -1,5 +1,7 @@
 """Cutting lineage and keeping intermediate tables on shared storage."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,11 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     global _local_folder
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="factgraph-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 

@@ -35,6 +35,21 @@ def page(df: DataFrame, order_by: list[str], offset: int, limit: int) -> DataFra
     return df.orderBy(*order_by).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, order_by: list[str], after: tuple | None, limit: int) -> DataFrame:
+    """The page behind the row with the values ``after``, from the start if None.
+
+    ``order_by`` names columns without nulls.  The place is a filter, so a page
+    far behind costs no more than the first.
+    """
+    if after is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for column, value in zip(order_by, after):
+            behind = behind | same & (F.col(column) > F.lit(value))
+            same = same & (F.col(column) == F.lit(value))
+        df = df.where(behind)
+    return df.orderBy(*order_by).limit(limit)
+
+
 def _calls(edges):
     return edges.where(F.col("edge_type") == S.CALLS).select("source_uid", "target_uid")
 

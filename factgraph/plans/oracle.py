@@ -100,6 +100,18 @@ GRAPH = _with(_CUST, _NODES, _EDGES)
 RESOLVED = _with(_CUST, _NODES, _EDGES, _RESOLVED)
 STORE = _with(_CUST, _NODES, _EDGES, _RESOLVED, _STORE)
 
+
+def _context(condition):
+    return f""", center AS (SELECT uid, name AS symbol, node_type AS type, filepath, signature
+            FROM allnode WHERE {condition} AND node_type <> 'Unresolved'),
+        link AS (SELECT target_uid AS k, source_uid AS o, 'caller' AS role FROM uedge WHERE edge_type = 'calls'
+            UNION ALL SELECT source_uid, target_uid, 'callee' FROM uedge WHERE edge_type = 'calls'
+            UNION ALL SELECT source_uid, target_uid, 'branch' FROM uedge WHERE edge_type = 'has_branch')
+        SELECT DISTINCT symbol, type, center.filepath, center.signature, role, o.name FROM link
+            JOIN center ON k = center.uid JOIN allnode o ON link.o = o.uid WHERE o.name <> ''
+        UNION SELECT symbol, type, filepath, signature, 'center', symbol FROM center"""
+
+
 CORE = {
     "resolve_calls": RESOLVED + "SELECT * FROM resolved",
     "node_summary": GRAPH + "SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type",
@@ -179,6 +191,19 @@ CORE = {
         h2 AS (SELECT DISTINCT b AS uid FROM step WHERE a IN (FROM h1))
         SELECT uid, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT uid, 0 AS hop FROM h0
             UNION ALL SELECT uid, 1 FROM h1 UNION ALL SELECT uid, 2 FROM h2) GROUP BY uid""",
+    "callees_of_symbol": STORE + """SELECT s.name AS symbol, c.node_type AS type, c.name
+        FROM (SELECT * FROM allnode WHERE name = 'order_1' AND node_type <> 'Unresolved') s
+        JOIN uedge e ON e.source_uid = s.uid JOIN allnode c ON e.target_uid = c.uid WHERE e.edge_type = 'calls'""",
+    "context_of_symbol": STORE + _context("name = 'Supplier#000000001'"),
+    "context_first": STORE + _context("uid = (SELECT uid FROM allnode WHERE name = 'return' ORDER BY filepath, uid LIMIT 1)"),
+    "resolve_init": """SELECT 'line' || l_orderkey || '_' || l_linenumber AS source_uid,
+        'f/n' || s_nationkey || ':s' || s_suppkey AS target_uid, l_linenumber AS line
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
+    "graph_round_trip": STORE + "SELECT source_uid, target_uid, edge_type, filepath, line FROM uedge",
+    "node_properties": """SELECT '{"uid":"f/n' || c_nationkey || ':c' || c_custkey || '","name":"' || c_name
+        || '","qualified_name":"c' || c_custkey || '","node_type":"Class","filepath":"f/n' || c_nationkey
+        || '","start_line":' || (c_custkey + 1) || ',"end_line":' || (c_custkey + 1) || ',"docstring":"' || c_mktsegment
+        || '"}' AS properties FROM customer""",
 }
 
 
@@ -314,15 +339,27 @@ FILES = {
     "extract_python": PYTHON + "SELECT * FROM nodes",
     "extract_python_edges": PYTHON + "SELECT * EXCLUDE (raw_target) FROM edges",
     "run_report": _with(_DOCFILES, _java_src(), _JAVA_NODES, _JAVA_EDGES) + """
-        SELECT 'parsed' AS metric, (SELECT count(*) FROM orders) + count(*) FILTER (ext <> '.txt') AS value FROM docfile
-        UNION ALL SELECT 'skipped', count(*) FILTER (ext = '.txt') FROM docfile
+        SELECT 'parsed' AS metric, (SELECT count(*) FROM orders) AS value
+        UNION ALL SELECT 'skipped', (SELECT count(*) FROM documents) + (SELECT count(*) FROM supplier)
         UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges
-        UNION ALL SELECT 'errors', 0""",
+        UNION ALL SELECT 'errors', count(*) FROM supplier""",
+    "extract_errors": """SELECT 'bad/O' || o_orderkey || '.java' AS filepath FROM orders WHERE o_orderstatus = 'P'
+        UNION ALL SELECT 'bad/o' || o_orderkey || '.py' FROM orders WHERE o_orderstatus = 'P'""",
+    "first_warnings": DOCFILES + """, w AS (SELECT 'nobody reads ' || filepath AS message FROM docfile WHERE ext = '.txt')
+        (SELECT message FROM w ORDER BY message LIMIT 10) UNION ALL
+        SELECT '... and ' || (count(*) - 10) || ' more' FROM w HAVING count(*) > 10""",
+    "json_round_trip": JAVA + "SELECT * EXCLUDE (raw_target) FROM edges",
 }
 
 INCREMENTAL = {
     "diff_files": f"""SELECT {JAVA_PATH} AS filepath, CASE o_orderstatus WHEN 'P' THEN 'deleted' WHEN 'F' THEN 'changed'
         ELSE 'same' END AS status FROM orders""",
+    "diff_files_added": f"""SELECT {JAVA_PATH} AS filepath, CASE o_orderstatus WHEN 'P' THEN 'added' WHEN 'F' THEN 'changed'
+        ELSE 'same' END AS status FROM orders""",
+    "vanished_paths": _with(_java_src("o_orderstatus <> 'P'"), _JAVA_NODES) + "SELECT uid, node_type FROM nodes",
+    "two_runs": f"""SELECT {JAVA_PATH} AS filepath, sha256({JAVA_TEXT}) AS file_hash, 'left' AS side FROM orders
+            WHERE o_orderstatus IN ('P', 'F')
+        UNION ALL SELECT {JAVA_PATH}, sha256({_AFTER_TEXT}), 'right' FROM orders WHERE o_orderstatus = 'F'""",
     "incremental_update": JAVA_AFTER + "SELECT * EXCLUDE (raw_target) FROM resolved",
     "incremental_nodes": JAVA_AFTER + "SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type",
     "mark_stale": JAVA + f"""SELECT node_type, coalesce(o_orderstatus IN ('P', 'F'), false) AS stale, count(*) AS n
@@ -380,6 +417,7 @@ SEARCH = {
         FROM ({_top([_bm25(['the', 'merge', 'src7', 'und', 'doc_12'])], 10)}) JOIN docnode USING (uid)""",
     "search_indexed": _SEARCH + _top([_bm25(["la", "queue", "und", "src3"])], 25),
     "search_wildcard": _SEARCH + _top([_wild("th.r.*"), _wild(".*mentent"), _wild("doc_1.*")], 50),
+    "search_wildcard_path": _SEARCH + _top([_wild("py"), _wild("doc"), _wild("1.*"), _wild("src."), _wild("en")], 50),
     "search_vocabulary": _SEARCH + """SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf
         FROM posting GROUP BY field, term""",
     "search_neighbours": STORE.rstrip() + ",\n" + "hitnode AS (SELECT * FROM allnode WHERE node_type IN "
@@ -432,6 +470,26 @@ _DOMAINS = """dom AS (SELECT 'Domain_' || n_nationkey AS uid, 'Domain ' || n_nat
 DOM = STORE.rstrip() + ",\n" + _DOMAINS + "\n"
 
 DOMAINS = {
+    "named_domains": STORE + """, g AS (SELECT count(*) AS member_count, min(uid) AS first_uid FROM allnode
+            WHERE node_type = 'Function' AND filepath <> 'lib' GROUP BY split_part(uid, '.', 1) HAVING count(*) >= 3),
+        r AS (SELECT member_count, row_number() OVER (ORDER BY member_count DESC, first_uid) - 1 AS i FROM g)
+        SELECT 'Domain_' || i AS uid, 'Domain ' || i AS name, member_count FROM r""",
+    "domains_round_trip": DOM + """SELECT mem.uid, domain_uid, dom.name, dom.summary FROM mem JOIN dom ON dom.uid = domain_uid""",
+    "domain_summary_fn": DOM + """, placed AS (SELECT *, CAST('0x' || md5(uid)[1:8] AS BIGINT) % parts AS part
+            FROM ctx JOIN (SELECT domain_uid, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS parts FROM ctx GROUP BY 1)
+            USING (domain_uid)),
+        piece AS (SELECT domain_uid, part, sum(length(line) + 1) - 1 AS n FROM placed GROUP BY 1, 2),
+        whole AS (SELECT domain_uid, string_agg(CASE WHEN domain_uid = 'Domain_7' THEN 'no summary of Domain_7: asked to fail'
+            ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) END, chr(10) ORDER BY part) AS summary FROM piece GROUP BY 1)
+        SELECT uid, name, whole.summary, CAST(NULL AS BIGINT) AS member_count FROM dom LEFT JOIN whole ON uid = domain_uid""",
+    "modularity_fixed": DOM + """, keep AS (SELECT uid FROM allnode WHERE node_type IN ('Class', 'Function', 'Interface')),
+        pair AS (SELECT DISTINCT least(source_uid, target_uid) AS u, greatest(source_uid, target_uid) AS v FROM uedge
+            WHERE edge_type IN ('calls', 'contains', 'implements', 'extends')
+                AND source_uid IN (FROM keep) AND target_uid IN (FROM keep)),
+        linked AS (SELECT a.domain_uid AS cu, b.domain_uid AS cv FROM pair JOIN mem a ON u = a.uid JOIN mem b ON v = b.uid),
+        half AS (SELECT cu AS c, cu = cv AS inside FROM linked UNION ALL SELECT cv, cu = cv FROM linked),
+        per AS (SELECT sum(inside::INT) AS i, count(*) AS tot FROM half GROUP BY c)
+        SELECT round(sum(i) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 9) AS modularity FROM per""",
     "domain_listing": DOM + """SELECT dom.name, dom.summary, count(mem.uid) AS member_count FROM dom
         LEFT JOIN mem ON dom.uid = domain_uid GROUP BY dom.uid, dom.name, dom.summary""",
     "domain_detail": DOM + """SELECT dom.name AS domain, dom.summary, mem.type, mem.name FROM dom
@@ -469,6 +527,8 @@ OTHER = {
         GROUP BY 1 HAVING count(*) <> 1 UNION ALL SELECT DISTINCT 'conv' || conv_id, 0 FROM conversations""",
     "page_of_symbols": STORE + """SELECT name, uid FROM allnode WHERE name IS NOT NULL AND node_type <> 'Unresolved'
         ORDER BY name, uid LIMIT 50 OFFSET 100""",
+    "page_after_symbol": STORE + """SELECT name, uid FROM allnode WHERE name IS NOT NULL AND node_type <> 'Unresolved'
+        AND (name > 'order_1' OR name = 'order_1' AND uid > 'f/n1') ORDER BY name, uid LIMIT 50""",
 }
 
 

@@ -6,7 +6,7 @@ from factgraph import schema as S
 from factgraph.functions.storage import Scratch
 from factgraph.operators import (checks, domains as domain_ops, incremental, lookups, louvain, resolve,
                                  search, store, subgraph, summary)
-from factgraph.sources import extract, generated, tree
+from factgraph.sources import extract, generated, results, tree
 from factgraph.sources.tables import table, table_edges, table_nodes
 from factgraph.streaming import changes
 
@@ -92,6 +92,21 @@ def _projection(nodes, edges):
     return subgraph.domain_projection(nodes, edges)[1]
 
 
+def _constructor_calls(spark, sf):
+    """Every line of an order builds its supplier."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.expr("l_suppkey = s_suppkey"))
+    calls = lines.selectExpr(
+        "'line' || l_orderkey || '_' || l_linenumber AS source_uid", "'unresolved:' || s_name || '.<init>' AS target_uid",
+        "'calls' AS edge_type", "'lines' AS filepath", "l_linenumber AS line").withColumn("raw_target", F.col("target_uid"))
+    return resolve.resolve_calls(facts(spark, sf)[0], calls).select("source_uid", "target_uid", "line")
+
+
+def _graph_round_trip(spark, sf):
+    folder = Scratch(spark, "round-trip").folder
+    store.write_graph(*stored(spark, sf), folder)
+    return store.read_graph(spark, folder)[1].drop("raw_target")
+
+
 CORE = {
     "resolve_calls": _on_graph(resolve.resolve_calls),
     "node_summary": _on_graph(lambda n, e: summary.node_summary(n)),
@@ -125,6 +140,12 @@ CORE = {
     "purge_files": lambda spark, sf: store.purge_files(resolved(spark, sf)[1], _region_one_files(spark, sf)),
     "detach_delete": _detach,
     "khop": _on_resolved(_khop),
+    "callees_of_symbol": _on_store(lambda n, e: lookups.get_callees(n, e, "order_1")),
+    "context_of_symbol": _on_store(lambda n, e: lookups.get_code_context(n, e, "Supplier#000000001")),
+    "context_first": _on_store(lambda n, e: lookups.get_code_context(n, e, "return", first_only=True)),
+    "resolve_init": _constructor_calls,
+    "graph_round_trip": _graph_round_trip,
+    "node_properties": _on_graph(lambda n, e: results.drop_null_fields(lookups.nodes_of(n, S.CLASS))),
 }
 
 
@@ -166,15 +187,41 @@ def _extracted_edges(results):
 
 
 def _run_report(spark, sf):
-    nodes, edges, errors = extract.explode_result(java_results(spark, sf))
-    return summary.run_report(document_files(spark, sf).unionByName(generated.java_files(spark, sf)),
-                              nodes, edges, errors)
+    """Orders are sources, documents are texts nobody reads, suppliers are
+    files that cannot be read."""
+    texts = tree.as_files(table(spark, sf, "documents").selectExpr("'text/' || doc_id || '.md' AS filepath", "text AS content"))
+    lost = tree.as_files(table(spark, sf, "supplier").selectExpr(
+        "'lost/s' || s_suppkey || '.java' AS filepath", "CAST(NULL AS BINARY) AS content", "'is locked' AS error"))
+    files = generated.java_files(spark, sf).unionByName(texts).unionByName(lost, allowMissingColumns=True)
+    found = _once("report", spark, sf, lambda: [extract.extract_facts(files)])[0]
+    return summary.run_report(files, *extract.explode_result(found))
+
+
+def _first_warnings(spark, sf):
+    skipped = document_files(spark, sf).where("language IS NULL")
+    return summary.first_warnings(skipped.select("filepath", F.concat(F.lit("nobody reads "), "filepath").alias("message")))
 
 
 def _syntax_errors(spark, sf):
-    # prose is no Java and no Python: every such file gives an error or an outline
-    results = extract.extract_facts(document_files(spark, sf).where("language = 'python'"))
-    return extract.result_errors(results).select("filepath")
+    """A Java and a Python file per order; those of pending orders lack a bracket."""
+    orders = table(spark, sf, "orders")
+    java = orders.selectExpr(
+        "'bad/O' || o_orderkey || '.java' AS filepath",
+        "'class O' || o_orderkey || ' { void f() { g(); }' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ' }' END AS content")
+    python = orders.selectExpr(
+        "'bad/o' || o_orderkey || '.py' AS filepath",
+        "'def f(a' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ')' END || ': return a' AS content")
+    found = extract.extract_facts(tree.as_files(java.unionByName(python)))
+    return extract.result_errors(found).select("filepath")
+
+
+def _json_round_trip(spark, sf):
+    """Results of two runs as one, through JSON."""
+    found = java_results(spark, sf)
+    folder = Scratch(spark, "json").folder
+    late = F.col("filepath").endswith("1.java")
+    results.write_json(results.combine(found.where(late), found.where(~late)), folder)
+    return extract.result_edges(results.read_result(spark, folder)).drop("raw_target")
 
 
 FILES = {
@@ -189,6 +236,8 @@ FILES = {
     "extract_python_edges": _extracted_edges(python_results),
     "extract_errors": _syntax_errors,
     "run_report": _run_report,
+    "first_warnings": _first_warnings,
+    "json_round_trip": _json_round_trip,
 }
 
 
@@ -223,7 +272,25 @@ def _snapshot_diff(spark, sf):
     return incremental.snapshot_diff(before, after)
 
 
+def _vanished(spark, sf):
+    """Pending orders are told as changed, but their files are gone."""
+    nodes, edges, errors = extract.explode_result(java_results(spark, sf))
+    gone = table(spark, sf, "orders").where("o_orderstatus = 'P'").selectExpr(f"{generated.JAVA_PATH} AS filepath")
+    before = incremental.Graph(nodes, resolve.resolve_calls(nodes, edges), errors)
+    after = incremental.update_graph(before, gone, gone.limit(0), generated.java_files_after(spark, sf))
+    return after.nodes.select("uid", "node_type")
+
+
+def _two_runs(spark, sf):
+    runs = [f(spark, sf).select("filepath", "file_hash") for f in (generated.java_files, generated.java_files_after)]
+    return checks.differing_rows(*runs)
+
+
 INCREMENTAL = {
+    "vanished_paths": _vanished,
+    "diff_files_added": lambda spark, sf: incremental.diff_files(
+        generated.java_files_after(spark, sf), generated.java_files(spark, sf)),
+    "two_runs": _two_runs,
     "diff_files": _diff,
     "incremental_update": lambda spark, sf: _updated(spark, sf).edges.drop("raw_target"),
     "incremental_nodes": lambda spark, sf: summary.node_summary(_updated(spark, sf).nodes),
@@ -253,13 +320,14 @@ def search_tables(spark, sf):
 def _expanded(spark, sf):
     nodes, edges = stored(spark, sf)
     hits = search.search_index(search.build_search_index(nodes), "supplier 000000001 ring", 10)
-    return subgraph.neighbours_of_hits(nodes, edges, hits)
+    return subgraph.neighbours_of_hits(nodes, edges, hits, 10)
 
 
 SEARCH = {
     "search_topk": lambda spark, sf: search.search_nodes(document_nodes(spark, sf), "The merge src7 und doc_12"),
     "search_indexed": lambda spark, sf: search.search_index(search_tables(spark, sf), "la queue und src3", 25),
     "search_wildcard": lambda spark, sf: search.search_index(search_tables(spark, sf), "th?r* *mentent doc_1*", 50),
+    "search_wildcard_path": lambda spark, sf: search.search_index(search_tables(spark, sf), "*.py doc-1* src?/EN", 50),
     "search_vocabulary": lambda spark, sf: search.vocabulary(
         search.build_search_index(document_nodes(spark, sf))),
     "search_neighbours": _expanded,
@@ -349,7 +417,38 @@ def _modularity(spark, sf):
     return louvain.modularity(_communities(spark, sf), edges)
 
 
+def _named(spark, sf):
+    """Orders grouped by their customer; customers with few orders are no domain."""
+    orders = stored(spark, sf)[0].where("node_type = 'Function' AND filepath <> 'lib'")
+    groups = orders.select("uid", F.substring_index("uid", ".", 1).alias("community"))
+    return domain_ops.name_domains(groups)[0]
+
+
+def _domains_round_trip(spark, sf):
+    domains, membership, _ = nation_domains(spark, sf)
+    folder = Scratch(spark, "domains").folder
+    domain_ops.save_domains(domains, membership, folder)
+    domains, membership = domain_ops.read_domains(spark, folder)
+    return membership.join(domains.select(F.col("uid").alias("domain_uid"), "name", "summary"), "domain_uid")
+
+
+def _size_or_failure(domain, text):
+    if domain == "Domain_7":
+        raise ValueError("asked to fail")
+    return str(len(text))
+
+
+def _fixed_modularity(spark, sf):
+    membership = nation_domains(spark, sf)[1].withColumnRenamed("domain_uid", "community")
+    edges = subgraph.domain_projection(*stored(spark, sf))[1]
+    return louvain.modularity(membership, edges).select(F.round("modularity", 9).alias("modularity"))
+
+
 DOMAINS = {
+    "named_domains": _named,
+    "domains_round_trip": _domains_round_trip,
+    "domain_summary_fn": _domain_query(lambda d, m, n: domain_ops.summarise(d, m, n, domain_ops.by_text(_size_or_failure))),
+    "modularity_fixed": _fixed_modularity,
     "domain_listing": _domain_query(lambda d, m, n: domain_ops.get_domains(d, m)),
     "domain_detail": _domain_query(lambda d, m, n: domain_ops.get_domain(d, m, n)),
     "domain_of_symbol": _domain_query(lambda d, m, n: domain_ops.domain_of(m, d, n)),
@@ -400,6 +499,8 @@ OTHER = {
     "conversation_tree_check": _conversation_check,
     "page_of_symbols": lambda spark, sf: lookups.page(
         lookups.find_symbol(stored(spark, sf)[0]).select("name", "uid"), ["name", "uid"], 100, 50),
+    "page_after_symbol": lambda spark, sf: lookups.page_after(
+        lookups.find_symbol(stored(spark, sf)[0]).select("name", "uid"), ["name", "uid"], ("order_1", "f/n1"), 50),
 }
 
 
