@@ -9,8 +9,10 @@ The other suffixes are range-partitioned by their leading bytes with sampled
 splitters, and each bucket is sorted by multikey quicksort, once by what
 follows the sampled place and once, backwards, by what stands before it.  With
 the common prefixes of neighbours in both orders, strings of a bucket are equal
-exactly when they lie in one run of each order.  Splitters are eight bytes long
-and suffixes with the same gram never part, so no run crosses a boundary.  Grams
+exactly when they lie in one run of each order.  Splitters are eight bytes long;
+where one start of eight bytes fills several buckets, its suffixes are dealt to
+them by their grams.  Suffixes with the same gram never part, so no run crosses
+a boundary.  Grams
 with more than ``HOT_GRAM`` suffixes would make a bucket too large: their strings
 are compared as single rows by a 128-bit digest instead, in as many tasks as
 needed.
@@ -26,6 +28,7 @@ table gives an empty result.  Texts are read whole.
 """
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +125,10 @@ def _sampler(length: int):
 
 
 def _cutter(length: int, splitters: np.ndarray):
-    """Cuts out of the texts what the strings of their sampled suffixes cover."""
+    """Cuts out of the texts what the strings of their sampled suffixes cover, each with the bucket it goes to.
+
+    A splitter that occurs m times stands for m buckets of the same start.
+    """
     shape = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("back", pa.int32()),
                        ("ahead", pa.int32()), ("before", pa.binary()), ("suffix", pa.binary()), ("part", pa.int32()),
                        ("hot", pa.bool_())])
@@ -135,7 +141,11 @@ def _cutter(length: int, splitters: np.ndarray):
                 found = places.values
                 columns = [found.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
                 parts = np.searchsorted(splitters, columns[3], side="right")
-                for at, back, ahead, part, hot in zip(*[c.tolist() for c in columns[:3]], parts.tolist(), columns[4].tolist()):
+                shared = parts - np.searchsorted(splitters, columns[3], side="left")
+                for at, back, ahead, part, m, hot in zip(
+                        *[c.tolist() for c in columns[:3]], parts.tolist(), shared.tolist(), columns[4].tolist()):
+                    if m > 1:
+                        part -= zlib.crc32(text[at:at + GRAM]) % m
                     rows.append((k1, k2, at, back, ahead, text[at - back:at], text[at:at - ahead + length], part, hot))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
@@ -245,8 +255,9 @@ def repeated_stretches(texts: DataFrame, scratch: Scratch, length: int = LENGTH,
     found = found.join(grams, "gram").withColumn("hot", F.col("n") > hot_gram).drop("n", "gram")
     found = scratch.keep(found, "repeated-grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = found.where("not hot").agg(F.percentile_approx("lead", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
-    splitters = np.unique(np.array(cuts or [], np.int64))
+    cuts = found.where("not hot").agg(F.percentile_approx("lead", [i / parts for i in range(1, parts)] or [0.5],
+                                                                 max(10_000, 4 * parts))).first()[0]
+    splitters = np.array(cuts if cuts and parts > 1 else [], np.int64)
 
     places = found.groupBy(*KEYS).agg(F.collect_list(F.struct("at", "back", "ahead", "lead", "hot")).alias("places"))
     cut = texts.select(*KEYS, "body").join(places.hint("shuffle_hash"), KEYS).select(*KEYS, "body", "places").mapInArrow(
@@ -256,7 +267,7 @@ def repeated_stretches(texts: DataFrame, scratch: Scratch, length: int = LENGTH,
     has_hot = not found.where("hot").isEmpty()
     if has_hot:
         cut = scratch.keep(cut, "suffixes")
-    cold = cut.where("not hot").repartition(parts, "part").select(*wanted).mapInArrow(
+    cold = cut.where("not hot").repartitionById(parts, "part").select(*wanted).mapInArrow(
         _bucket(length), "k1 bigint, k2 bigint, start bigint, stop bigint")
     if not has_hot:
         return cold

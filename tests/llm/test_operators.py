@@ -7,6 +7,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -191,6 +192,37 @@ def test_suffix_dedup(docs, none, hot):
         assert 0 not in by_id and 11 not in by_id and by_id[8].text is None and by_id[17].n_chars == len(by_id[17].text)
 
 
+def test_heavy_start_fills_several_buckets(spark):
+    rng = random.Random(12)
+    some = ["".join(rng.choices("ab", (12, 1), k=600)) for _ in range(30)]
+    rows = [(i, some[i] + some[rng.randrange(30)][100:400]) for i in range(30)]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    try:
+        got = suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    expected = [(i, *m) for (i, _), m in zip(rows, brute_removals([t.encode() for _, t in rows], 200))]
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_buckets_of_a_shared_start():
+    grams = [b"startstart%022d" % i for i in range(200)]
+    texts = [g + b"x" * 300 for g in grams] * 2
+    place = {"at": 0, "back": 0, "ahead": 0, "hot": False}
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("back", pa.int32()), ("ahead", pa.int32()), ("lead", pa.int64()), ("hot", pa.bool_())]))
+    run = suffix_dedup._cutter(200, np.array([3, 5, 5, 5, 9]))
+
+    def buckets(lead):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([1] * 400), pa.array([2] * 400), pa.array(texts), pa.array([[{**place, "lead": lead}]] * 400, kind)],
+            names=["k1", "k2", "body", "places"])
+        return [r["part"] for b in run(iter([batch])) for r in b.to_pylist()]
+
+    assert [set(buckets(x)) for x in (2, 3, 4, 5, 6, 9)] == [{0}, {1}, {1}, {2, 3, 4}, {4}, {5}]
+    assert buckets(5)[:200] == buckets(5)[200:]
+
+
 def test_multikey_order():
     rng = np.random.default_rng(2)
     rows = rng.integers(0, 3, (500, 6)).astype(np.uint64)
