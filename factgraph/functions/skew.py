@@ -65,6 +65,25 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[list[tu
     return [(k, math.ceil(n / (hot_rows / 2))) for k, n in counts if n >= hot_rows], found["nulls"]
 
 
+# Up to this many rows are fetched and sent into a scan as values.
+FEW = 1_000
+
+
+def few_join(many: DataFrame, few: DataFrame, many_key: str, few_key: str) -> DataFrame | None:
+    """Inner join with a side that turns out to have at most ``FEW`` rows, None
+    where it has more; ``few_key`` is dropped from the result.
+
+    The few rows are fetched, so that their keys reach the scan of ``many`` as
+    values and skip what is laid out by them, and nothing is shuffled.
+    """
+    rows = few.limit(FEW + 1).toArrow()
+    if rows.num_rows > FEW:
+        return None
+    keys = sorted({k for k in rows[few_key].to_pylist() if k is not None})
+    local = F.broadcast(many.sparkSession.createDataFrame(rows, few.schema))
+    return many.where(F.col(many_key).isin(keys)).join(local, F.col(many_key) == F.col(few_key)).drop(few_key)
+
+
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 how: str = "inner", hot_rows: int | None = None,
                 hot_from: DataFrame | None = None) -> DataFrame:

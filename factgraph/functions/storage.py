@@ -4,6 +4,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -29,6 +30,40 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def read_commits(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Commit rows under ``path``, None before the first."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return None
+        raise
+
+
+def published(spark: SparkSession, folder: str) -> int | None:
+    """The last version under ``folder``."""
+    commits = read_commits(spark, f"{folder}/commits", "version long")
+    return None if commits is None else commits.agg({"version": "max"}).first()[0]
+
+
+def version_path(folder: str, version: int) -> str:
+    return f"{folder}/{version:012d}"
+
+
+def publish(spark: SparkSession, folder: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill the folder of a new version, which counts once its
+    commit row is written: readers see it whole or not at all, and may be
+    reading the version before it meanwhile."""
+    version = (published(spark, folder) or 0) + 1
+    write(version_path(folder, version))
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{folder}/commits")
+
+
 class Scratch:
     """Parquet tables of one job under the shared folder.
 
@@ -56,8 +91,7 @@ class Scratch:
         for df in tables:
             _, path = self._tables.pop(id(df), (None, None))
             if path is not None:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                remove(self.spark, path)
 
     def drop_all_but(self, *tables: DataFrame) -> None:
         spared = {id(t) for t in tables}

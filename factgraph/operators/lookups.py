@@ -2,14 +2,16 @@
 
 Each operator answers for one name, or for all symbols at once when no name is
 given.  Answers are rows, never arrays, so a symbol with a billion callers is
-no heavier for one task than any other.
+no heavier for one task than any other.  For one name, its uids are looked up
+first and sent into the scan of the edges, and so are the uids around it, as
+long as they are few.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from factgraph import schema as S
 from factgraph.functions.names import shorten
-from factgraph.functions.skew import salted_join
+from factgraph.functions.skew import FEW, few_join, salted_join
 
 
 def nodes_of(nodes: DataFrame, *types: str) -> DataFrame:
@@ -54,6 +56,17 @@ def _calls(edges):
     return edges.where(F.col("edge_type") == S.CALLS).select("source_uid", "target_uid")
 
 
+def _around(many, few, many_key, few_key, name, hot_rows, hot_from=None, few_left=False):
+    """Join that starts from the few rows of a name where there is one;
+    ``few_left`` tells that ``few`` is the side that may be skewed."""
+    found = few_join(many, few, many_key, few_key) if name is not None and hot_rows is None else None
+    if found is not None:
+        return found
+    if few_left:
+        return salted_join(few, many, few_key, many_key, "inner", hot_rows, hot_from)
+    return salted_join(many, few, many_key, few_key, "inner", hot_rows, hot_from)
+
+
 def get_callers(nodes: DataFrame, edges: DataFrame, name: str | None = None,
                 hot_rows: int | None = None) -> DataFrame:
     """(symbol, type, name, filepath): one row per call relation into it."""
@@ -61,8 +74,8 @@ def get_callers(nodes: DataFrame, edges: DataFrame, name: str | None = None,
     targets = targets.select(F.col("uid").alias("t_uid"), F.col("name").alias("symbol"))
     callers = nodes.select(F.col("uid").alias("c_uid"), F.col("node_type").alias("type"), "name", "filepath")
     calls = _calls(edges)
-    hits = salted_join(calls, targets, "target_uid", "t_uid", "inner", hot_rows)
-    rows = salted_join(hits, callers, "source_uid", "c_uid", "inner", hot_rows, calls)
+    hits = _around(calls, targets, "target_uid", "t_uid", name, hot_rows)
+    rows = _around(callers, hits, "c_uid", "source_uid", name, hot_rows, calls, few_left=True)
     return rows.select("symbol", "type", "name", "filepath")
 
 
@@ -73,8 +86,8 @@ def get_callees(nodes: DataFrame, edges: DataFrame, name: str | None = None,
     sources = find_symbol(nodes, name).select(F.col("uid").alias("s_uid"), F.col("name").alias("symbol"))
     callees = nodes.select(F.col("uid").alias("c_uid"), F.col("node_type").alias("type"), "name")
     calls = _calls(edges)
-    hits = salted_join(calls, sources, "source_uid", "s_uid", "inner", hot_rows)
-    rows = salted_join(hits, callees, "target_uid", "c_uid", "inner", hot_rows, calls)
+    hits = _around(calls, sources, "source_uid", "s_uid", name, hot_rows)
+    rows = _around(callees, hits, "c_uid", "target_uid", name, hot_rows, calls, few_left=True)
     return rows.select("symbol", "type", "name")
 
 
@@ -103,14 +116,19 @@ def get_code_context(nodes: DataFrame, edges: DataFrame, name: str | None = None
     def link(center, other, role):
         return F.struct(center.alias("center"), other.alias("other"), F.lit(role).alias("role"))
 
+    if name is not None and hot_rows is None:
+        # both ends at once: an edge may be around one center and lead to another
+        uids = centers.select("k_uid").limit(FEW + 1).toArrow()["k_uid"].to_pylist()
+        if len(uids) <= FEW:
+            edges = edges.where(s.isin(uids) | t.isin(uids))
     links = (
         edges.where(F.col("edge_type").isin(S.CALLS, S.HAS_BRANCH))
         .select(F.inline(F.when(is_call, F.array(link(t, s, "caller"), link(s, t, "callee")))
                          .otherwise(F.array(link(s, t, "branch")))))
     )
     names = nodes.where(F.col("name") != "").select(F.col("uid").alias("o_uid"), "name")
-    around = salted_join(links, centers, "center", "k_uid", "inner", hot_rows)
-    around = salted_join(around, names, "other", "o_uid", "inner", hot_rows, links)
+    around = _around(links, centers, "center", "k_uid", name, hot_rows)
+    around = _around(names, around, "o_uid", "other", name, hot_rows, links, few_left=True)
     cols = ["symbol", "type", "filepath", "signature", "role", "name"]
     itself = centers.select("symbol", "type", "filepath", "signature",
                             F.lit("center").alias("role"), F.col("symbol").alias("name"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factgraph import schema as S
 from factgraph.functions.skew import salted_join
-from factgraph.functions.storage import Scratch
+from factgraph.functions.storage import Scratch, publish, published, remove, version_path
 
 UNLABELLED = "Unlabelled"
 
@@ -119,27 +119,44 @@ def empty_graph(spark: SparkSession):
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """One table per kind of row, laid out so that scans by kind read only
-    their part."""
-    nodes.select(*S.NODE_COLS).write.mode("overwrite").partitionBy("node_type").parquet(f"{folder}/nodes")
-    edges.select(*S.EDGE_COLS).write.mode("overwrite").partitionBy("edge_type").parquet(f"{folder}/edges")
+    """Write a new version of the stored graph.
+
+    Nodes lie by kind and name, edges by kind and target, so that scans for a
+    kind, a name or the callers of a few uids read only their part; Bloom
+    filters do so for nodes by uid and edges by source.
+    """
+    def lay_out(df, kind, key, then, asked, path):
+        df = df.repartitionByRange(kind, key, then).sortWithinPartitions(kind, key, then)
+        df.write.mode("overwrite").partitionBy(kind).option(f"parquet.bloom.filter.enabled#{asked}", "true") \
+            .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+    def write(path):
+        lay_out(nodes.select(*S.NODE_COLS), "node_type", "name", "uid", "uid", f"{path}/nodes")
+        lay_out(edges.select(*S.EDGE_COLS), "edge_type", "target_uid", "source_uid", "source_uid", f"{path}/edges")
+
+    publish(nodes.sparkSession, f"{folder}/graph", write)
 
 
 def graph_exists(spark: SparkSession, folder: str) -> bool:
-    try:
-        spark.read.schema(S.NODE).parquet(f"{folder}/nodes")
-        return True
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return False
-        raise
+    return published(spark, f"{folder}/graph") is not None
 
 
 def read_graph(spark: SparkSession, folder: str):
-    nodes = spark.read.schema(S.NODE).parquet(f"{folder}/nodes").select(*S.NODE_COLS)
-    edges = spark.read.schema(S.EDGE).parquet(f"{folder}/edges").select(*S.EDGE_COLS)
+    """(nodes, edges) of the last version."""
+    version = published(spark, f"{folder}/graph")
+    if version is None:
+        raise ValueError(f"no graph in {folder}")
+    path = version_path(f"{folder}/graph", version)
+    nodes = spark.read.schema(S.NODE).parquet(f"{path}/nodes").select(*S.NODE_COLS)
+    edges = spark.read.schema(S.EDGE).parquet(f"{path}/edges").select(*S.EDGE_COLS)
     return nodes, edges
 
 
+def retain(spark: SparkSession, folder: str, versions: int = 2) -> None:
+    """Remove the stored versions before the last ``versions``."""
+    for old in range(1, (published(spark, f"{folder}/graph") or 0) - versions + 1):
+        remove(spark, version_path(f"{folder}/graph", old))
+
+
 def clear_graph(spark: SparkSession, folder: str) -> None:
     write_graph(*empty_graph(spark), folder)

@@ -33,10 +33,8 @@ def ingest(spark: SparkSession, graph: Graph, folder: str, mode: str = "merge")
         current = store.read_graph(spark, folder)
     else:
         current = store.empty_graph(spark)
-    # a table cannot be overwritten while it is read: settle the result first
     scratch = Scratch(spark, "ingest")
-    nodes, edges = store.ingest(*current, graph.nodes, graph.edges, scratch)
-    store.write_graph(scratch.keep(nodes, "nodes"), edges, folder)
+    store.write_graph(*store.ingest(*current, graph.nodes, graph.edges, scratch), folder)
     scratch.drop_all_but()
     return store.read_graph(spark, folder)
 

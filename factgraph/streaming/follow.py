@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factgraph import schema as S
-from factgraph.functions.storage import Scratch
+from factgraph.functions.storage import Scratch, read_commits, remove
 from factgraph.operators.incremental import Graph, relativise, update_graph
 from factgraph.sources.tree import as_files, read_contents
 from factgraph.streaming.changes import CHANGED, DELETED, collapse, file_changes
@@ -27,12 +27,7 @@ def _version_path(folder, version):
 
 
 def _commits(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(_COMMIT).json(f"{folder}/commits")
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return None
-        raise
+    return read_commits(spark, f"{folder}/commits", _COMMIT)
 
 
 def latest_version(spark: SparkSession, folder: str) -> int | None:
@@ -63,6 +58,13 @@ def read_snapshot(spark: SparkSession, folder: str, version: int | None = None)
                  spark.read.schema(S.ERROR).parquet(f"{path}/errors"))
 
 
+def retain(spark: SparkSession, folder: str, versions: int = 2) -> None:
+    """Remove the snapshots before the last ``versions``; commit rows stay."""
+    last = latest_version(spark, folder)
+    for row in _commits(spark, folder).where(F.col("version") <= last - versions).select("version").collect():
+        remove(spark, _version_path(folder, row["version"]))
+
+
 def apply_changes(graph: Graph, changes: DataFrame, read_files: Callable[[DataFrame], DataFrame],
                   mode: str = "fresh", scratch: Scratch | None = None) -> Graph:
     """The graph after collapsed changes (filepath, kind); ``read_files`` turns

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgraph import schema as S
+from factgraph.functions import skew
 from factgraph.functions.skew import hot_keys, salted_join
 from factgraph.operators import checks, lookups, resolve, search, store, subgraph, summary
 
@@ -109,6 +110,25 @@ def test_lookups(spark, small, hot_rows):
     assert lookups.get_callers(nodes, edges, "nothing").isEmpty()
 
 
+def test_named_lookups_from_a_store(spark, small, tmp_path, monkeypatch):
+    nodes, edges = stored(spark, small)
+    folder = str(tmp_path / "g")
+    store.write_graph(nodes, edges, folder)
+    kept = store.read_graph(spark, folder)
+    for few in (1000, 0):           # from the few rows of a name, and by joins alone
+        monkeypatch.setattr(skew, "FEW", few)
+        monkeypatch.setattr(lookups, "FEW", few)
+        for ask in (lookups.get_callers, lookups.get_callees, lookups.get_code_context):
+            for name in ("go", "run", "nothing"):
+                assert rows(ask(*kept, name)) == rows(ask(nodes, edges).where(F.col("symbol") == name))
+    store.write_graph(nodes.limit(0), edges.limit(0), folder)
+    assert not kept[0].isEmpty() and store.read_graph(spark, folder)[0].isEmpty()
+    store.write_graph(nodes, edges, folder)
+    store.retain(spark, folder, 1)
+    assert sorted(p.name for p in (tmp_path / "g" / "graph").glob("0*")) == ["000000000003"]
+    assert rows(store.read_graph(spark, folder)[1]) == rows(edges)
+
+
 def test_present_and_pages(spark):
     df = nodes_df(spark, [("u1", "a", "Function", "f", None, "x" * 101), ("u2", "b", "Class", "f", "s", "y" * 100)])
     got = {r.uid: r for r in lookups.present(df).collect()}
@@ -210,6 +230,8 @@ def test_search(spark, tmp_path):
     assert {r.uid for r in search.search_nodes(nodes, "check*").collect()} == {"1", "2"}
     assert {r.uid for r in search.search_nodes(nodes, "p?ys").collect()} == {"1"}
     index = search.build_search_index(nodes)
+    assert rows(index.postings.where("field = 'docstring'"), "term", "tf", "dl") == [
+        ("basket", 1, 6), ("it", 1, 6), ("once", 1, 6), ("pays", 2, 6), ("the", 1, 6)]
     search.write_index(index, str(tmp_path / "i"))
     again = search.search_index(search.read_index(spark, str(tmp_path / "i")), "basket pay*")
     assert rows(again) == rows(search.search_index(index, "basket pay*"))
