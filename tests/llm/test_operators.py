@@ -116,6 +116,22 @@ def test_quality_rules(spark, docs, none):
     assert not quality_rules.measures(" ".join(noise[i:i + 60] for i in range(0, 6000, 60)).encode(), pack)[6]
 
 
+def test_quality_bands_keep_real_prose():
+    from pydoc_data.topics import topics
+    pack = quality_rules.zstandard.ZstdCompressor(level=3)
+    prose = [t for t in topics.values() if len(t) >= 4096]
+    found = [quality_rules.measures(t.encode(), pack) for t in prose]
+    found = [m for m in found if not m[5]]
+    assert len(found) >= 20 and sum(m[6] for m in found) >= 0.9 * len(found)     # two are drawn tables
+    rng = random.Random(8)
+    numbers = "".join(f"Item {i} costs {rng.randrange(1000)}.{rng.randrange(100):02d} today, order {rng.randrange(10 ** 6)} ships.\n"
+                      for i in range(4000))
+    few = " ".join(rng.choices(words(rng, 10).split(), k=40_000))
+    for text in (numbers, few):
+        for n in (2000, 4096, 8000, 20_000, 70_000):
+            assert not quality_rules.measures(text[:n].encode(), pack)[6]
+
+
 def pages(spark):
     big = "<p>" + "é" * 700 + "</p>"
     return spark.createDataFrame([(1, "http://a", big, 1), (5, "http://b", big, 1), (3, None, big, 1), (5, "http://b", big, 1), (4, "u", "small", 1),
