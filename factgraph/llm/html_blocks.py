@@ -3,10 +3,14 @@
 A page is cut into blocks at block-level tags.  First pass: a block with many
 characters in links, or inside an element that is furniture by its tag or its
 class, is bad; a long block with many stop words is good; what is short, or
-has some stop words, stays undecided.  Second pass: a block with some stop words is
-good beside a good one; any other takes the verdict of the nearest decided
-block, where at equal distance a bad one wins, except over a heading before a
-good one.  On a page without any decided block all are good.  An ``article`` or ``main`` element is taken as the author's own
+has some stop words, stays undecided.  Where most text in long blocks has few stop
+words, the page is in another language, or is no prose: such blocks are then
+judged by their length alone.  On other pages a block with few of them, such as
+code, is good between two good ones and bad elsewhere.  Second pass: a block
+with some stop words is good beside a good one; any other takes the verdict of
+the nearest decided block, where at equal distance a bad one wins, except over
+a heading before a good one.  On a page without any good block all undecided
+ones are good.  An ``article`` or ``main`` element is taken as the author's own
 mark: undecided blocks in it look for neighbours in it only, and are good when
 none is decided.
 
@@ -57,6 +61,7 @@ HINTS = re.compile(
     r"recommended|login|search|pagination|pager|widget\w*|toolbar|skip-link|copyright|disclaimer)(?![a-z])")
 ROLES = re.compile(r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu|form)\b", re.I)
 NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(DROPPED) + r")(?=[\s/>])[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<[!?][^>]*+(?:>|\Z)|"
@@ -150,6 +155,11 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def extent(text: str) -> int:
+    """Characters, where one of a script without spaces counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(WIDE.findall(text))
+
+
 def stop_share(text: str) -> float:
     words = [w.strip(".,;:!?\"'()[]#*$%&|<>-").lower() for w in text.split()]
     return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
@@ -157,20 +167,28 @@ def stop_share(text: str) -> float:
 
 def classify(page: list[Block]) -> None:
     """Sets every block's verdict to True (good) or False (bad)."""
-    nearly = set()
+    nearly, few = set(), set()
     for i, b in enumerate(page):
         if b.bad or b.linked > MAX_LINKS * b.length:
             b.verdict = False
-        elif b.length < SHORT:
+        elif extent(b.text) < SHORT:
             continue
         else:
             stops = stop_share(b.text)
-            if stops >= HIGH_STOPS and (b.length >= LONG or b.main):
+            if stops >= HIGH_STOPS and (extent(b.text) >= LONG or b.main):
                 b.verdict = True
             elif stops >= LOW_STOPS:
                 nearly.add(i)
             elif not b.main:
-                b.verdict = False
+                few.add(i)
+    weight = lambda places: sum(extent(page[i].text) for i in places)
+    if weight(few) > weight(i for i, b in enumerate(page) if b.verdict or i in nearly):
+        for i in few:
+            if extent(page[i].text) >= LONG:
+                page[i].verdict = True
+            else:
+                nearly.add(i)
+        few = set()
 
     def nearest(places) -> list[tuple[int, bool, int]]:
         """For each block, the nearest decided one before it in this direction."""
@@ -201,6 +219,10 @@ def classify(page: list[Block]) -> None:
             return True
         return any(x is not None and x[1] for x in (left, right)) or None
 
+    def between(i, left, right):
+        """A block with few stop words needs good ones on both sides."""
+        return bool(left and right and left[1] and right[1]) if i in few else None
+
     def short_one(i, left, right):
         if left is None and right is None:
             return True
@@ -211,6 +233,10 @@ def classify(page: list[Block]) -> None:
         return left[1] if i - left[0] < right[0] - i else right[1]
 
     settle(long_one)
+    settle(between)
+    if not any(b.verdict or b.main and b.verdict is None for b in page):
+        for b in page:
+            b.verdict = b.verdict is None
     settle(short_one)
 
 

@@ -181,6 +181,28 @@ def test_html(spark):
     assert html_blocks.extract(pages(spark).limit(0)).count() == 0
 
 
+def test_html_of_other_languages_and_no_prose():
+    nav = "<nav><a href=1>Home</a></nav><p><a href=2>One</a> <a href=3>Two</a> <a href=4>Three</a></p>"
+    foot = "<footer>Copyright</footer>"
+    for title, body in (
+            ("Погода", "Вчера вечером над городом прошла сильная гроза, и многие улицы остались без света до самого утра следующего дня. "),
+            ("Pogoda", "Wczoraj wieczorem nad miastem przeszła silna burza, przez którą wiele ulic pozostało bez prądu aż do samego rana. "),
+            ("Hava", "Dün akşam şehrin üzerinden güçlü bir fırtına geçti ve birçok sokak ertesi sabaha kadar elektriksiz kaldı. "),
+            ("天气", "昨天晚上一场强烈的雷暴袭击了这座城市，许多街道一直到第二天早上都没有电，人们只能点着蜡烛等待天亮。"),
+            ("天気", "昨夜は激しい雷雨が街を襲い、多くの通りが翌朝まで停電したままで、人々はろうそくを灯して夜明けを待っていました。")):
+        page = f"{nav}<div><h1>{title}</h1><p>{body * 2}</p><p>{body}</p></div>{foot}"
+        assert html_blocks.main_text(page) == f"{title}\n{(body * 2).strip()}\n{body.strip()}"
+    code = "while (next &lt; rows) { total += price[next] * count[next]; next++; } return total / n; // mean price\n" * 3
+    prose = "It was the end of the day and they were on the way to it, as they had been for most of the week before. " * 2
+    assert html_blocks.main_text(f"{nav}<pre>{code}</pre>{foot}").count("total / n") == 3
+    assert html_blocks.main_text(f"{nav}<p>{prose}</p><pre>{code}</pre><p>{prose}</p>{foot}").count("total / n") == 3
+    assert "total" not in html_blocks.main_text(f"{nav}<p>{prose * 3}</p><p>{prose}</p><pre>{code}</pre>{foot}")
+    items = "".join(f"<li>{n} g flour, sifted twice</li>" for n in range(9))
+    cells = "".join(f"<tr><td>Lot {n}</td><td>{n * 7} kg</td></tr>" for n in range(9))
+    assert html_blocks.main_text(f"{nav}<ul>{items}</ul>{foot}").count("flour") == 9
+    assert html_blocks.main_text(f"{nav}<table>{cells}</table>{foot}").count("kg") == 9
+
+
 def brute_removals(bodies, length):
     seen = collections.Counter(t[p:p + length] for t in bodies for p in range(len(t) - length + 1))
     out = []
