@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags.  First pass: a block with many
 characters in links, or inside an element that is furniture by its tag or its
-class, is bad; a long block with many stop words is good; what is short, or
+class (a whole token; one on a wrapper of the page's text doesn't count), is bad; a long block with many stop words is good; what is short, or
 has some stop words, stays undecided.  Where most text in long blocks has few stop
 words, the page is in another language, or is no prose: such blocks are then
 judged by their length alone.  On other pages a block with few of them, such as
@@ -54,11 +54,18 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "img", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
           "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+# Whole tokens of a class or an id, with what commonly stands before and behind
 HINTS = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adverts?|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side-bar|menu\w*|nav|navbar\w*|"
-    r"navigation|breadcrumbs?|footer\w*|header|masthead|comments?|commentlist|respond|replies|disqus\w*|cookies?|"
-    r"consent|notices?|alert\w*|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|share|sharing|social\w*|related|"
-    r"recommended|login|search|pagination|pager|widget\w*|toolbar|skip-link|copyright|disclaimer)(?![a-z])")
+    r"(?:(?:site|page|global|top|bottom|left|right|primary|secondary|main|mobile|cookie|social|footer|header|nav|user)-)*"
+    r"(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebar\w*|side-bar|menu\w*|nav|navbar\w*|navigation|breadcrumbs?|"
+    r"footer\w*|header|masthead|cookies?|consent|notices?|alerts?|popup\w*|modal|newsletters?|subscribe|subscription|signup|"
+    r"share|sharing|social|related|recommended|login|search|pagination|pager|widgets?|toolbar|skip-link|copyright|disclaimer)"
+    r"(?:-(?:wrap|wrapper|container|box|area|list|bar|section|block|inner|menu|nav|links?|items?|banner|notice|form|buttons?|"
+    r"icons?|widgets?|posts?|articles?|overlay|consent|text|top|bottom|left|right|primary|secondary|\d+))*")
+# what readers write is never the page's own text
+REPLIES = re.compile(r"(?:post-)?(?:comments?|commentlist|respond|replies|disqus)(?:-(?:wrap|wrapper|container|box|area|list|"
+                     r"section|block|inner|form|body|thread|\d+))*")
+STATES = re.compile(r"(?:has|no|with|without|is|not|js)-.*|.*-(?:open|closed|enabled|disabled|active|inactive|visible)")
 ROLES = re.compile(r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu|form)\b", re.I)
 NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]")
@@ -68,23 +75,32 @@ TAG = re.compile(
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))", re.S | re.I)
 
 
-def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
+def furniture(tag: str, attributes: str, in_main: bool) -> str:
+    """``hard`` by tag, role or readers' words, ``soft`` by a class or id only, else empty."""
     if tag in FURNITURE or tag == "header" and not in_main:
-        return True
-    if not attributes or tag in MAIN and not HINTS.search(attributes.lower()):
-        return False
-    if ROLES.search(attributes) or HIDDEN.search(attributes):
-        return True
-    return any(HINTS.search((a or b or c).lower()) for a, b, c in NAMES.findall(attributes))
+        return "hard"
+    if not attributes:
+        return ""
+    if tag not in MAIN and (ROLES.search(attributes) or HIDDEN.search(attributes)):
+        return "hard"
+    soft = False
+    for name in (n for names in NAMES.findall(attributes) for n in "".join(names).lower().replace("_", "-").split()):
+        if STATES.fullmatch(name):
+            continue
+        if REPLIES.fullmatch(name):
+            return "hard"
+        soft = soft or HINTS.fullmatch(name) is not None and not (in_main and (tag == "header" or name.endswith("header")))
+    return "soft" if soft else ""
 
 
 class Block:
     """Text between two block-level tags, and where it stands."""
-    __slots__ = ("text", "length", "linked", "bad", "main", "heading", "verdict")
+    __slots__ = ("text", "length", "extent", "linked", "bad", "hints", "outer", "main", "heading", "verdict", "stops")
 
-    def __init__(self, text: str, linked: int, bad: bool, main: int, heading: bool):
-        self.text, self.length, self.linked, self.bad, self.main = text, len(text), linked, bad, main
-        self.heading, self.verdict = heading, None
+    def __init__(self, text: str, linked: int, bad: bool, hints: tuple[int, ...], outer: int, main: int, heading: bool):
+        self.text, self.length, self.extent, self.linked, self.bad, self.main = text, len(text), extent(text), linked, bad, main
+        # numbers of the elements around it with a hint; the first ``outer`` lie around its article
+        self.hints, self.outer, self.heading, self.verdict, self.stops = hints, outer, heading, None, None
 
 
 def blocks(page: str) -> list[Block]:
@@ -92,18 +108,20 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = links = 0
-    stack: list[tuple[str, bool, int]] = []        # (tag, inside furniture, article)
-    bad, main, mains, last_br = False, 0, 0, False
+    # (tag, inside furniture, article, elements with a hint, how many of them lie around the article)
+    stack: list[tuple[str, bool, int, tuple[int, ...], int]] = []
+    bad, main, mains, hints, outer, n_hints, last_br = False, 0, 0, (), 0, 0, False
     block_bad = heading = False
+    block_hints: tuple[int, ...] = ()
 
     def close():
-        nonlocal linked, block_bad, heading
+        nonlocal linked, block_bad, block_hints, heading
         raw = "".join(parts)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            found.append(Block(text, linked, bad or block_bad, main, heading))
+            found.append(Block(text, linked, bad or block_bad, hints + block_hints, outer, main, heading))
         parts.clear()
-        linked, block_bad, heading = 0, False, False
+        linked, block_bad, block_hints, heading = 0, False, (), False
 
     at = 0
     for m in TAG.finditer(page):
@@ -134,21 +152,26 @@ def blocks(page: str) -> list[Block]:
         close()
         links, last_br = 0, False
         if m[2]:
-            if any(tag == t for t, _, _ in stack):
+            if any(tag == x[0] for x in stack):
                 while stack.pop()[0] != tag:
                     pass
-                bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                bad, main, hints, outer = stack[-1][1:] if stack else (False, 0, (), 0)
             continue
         attributes = m[4].rstrip(">")
-        own = is_furniture(tag, attributes, main > 0) or tag == "head"
+        kind = furniture(tag, attributes, main > 0)
+        own = kind == "hard" or tag == "head"
+        own_hint: tuple[int, ...] = ()
+        if kind == "soft":
+            n_hints += 1
+            own_hint = (n_hints,)
         if tag in NESTING and not attributes.endswith("/"):
-            if tag in MAIN and not main and not bad and not own:
+            if tag in MAIN and not main and not bad and not kind:
                 mains += 1
-                main = mains
-            bad = bad or own
-            stack.append((tag, bad, main))
+                main, outer = mains, len(hints)
+            bad, hints = bad or own, hints + own_hint
+            stack.append((tag, bad, main, hints, outer))
         else:
-            block_bad, heading = own, tag in HEADINGS
+            block_bad, block_hints, heading = own, own_hint, tag in HEADINGS
     if page[at:]:
         parts.append(page[at:])
     close()
@@ -165,26 +188,58 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
 
 
+def settle_hints(page: list[Block]) -> None:
+    """Blocks under a class hint are bad, unless it proves to be on a wrapper of the page's text.
+
+    That is so when most text of good long blocks is below, or an article
+    that stands for the page: all of that text, and no article outside of hints.
+    Where such an article has text of its own, only hints in it can prove so.
+    """
+    if not any(b.hints for b in page):
+        return
+    long = [b for b in page if not b.bad and b.extent >= LONG and b.linked <= MAX_LINKS * b.length]
+    for b in long:
+        b.stops = stop_share(b.text)
+    good = [b for b in long if b.stops >= HIGH_STOPS]
+    few = [b for b in long if b.stops < LOW_STOPS]
+    if sum(b.extent for b in few) > sum(b.extent for b in long) / 2:
+        good = long
+    if any(b.main and not b.hints for b in good):
+        good = [b for b in good if b.main and not b.outer]
+    total, held = sum(b.extent for b in good), {}
+    for b in good:
+        for hint in b.hints:
+            held[hint] = held.get(hint, 0) + b.extent
+    wrappers = {hint for hint, n in held.items() if 2 * n > total}
+    if not any(b.main and not b.outer for b in page):
+        around = {hint for b in page if b.main for hint in b.hints[:b.outer]}
+        wrappers |= {hint for hint in around if held.get(hint, 0) == total}
+    for b in page:
+        b.bad = b.bad or any(hint not in wrappers for hint in b.hints)
+
+
 def classify(page: list[Block]) -> None:
     """Sets every block's verdict to True (good) or False (bad)."""
     nearly, few = set(), set()
+    settle_hints(page)
     for i, b in enumerate(page):
         if b.bad or b.linked > MAX_LINKS * b.length:
             b.verdict = False
-        elif extent(b.text) < SHORT:
+        elif b.extent < SHORT:
             continue
         else:
-            stops = stop_share(b.text)
-            if stops >= HIGH_STOPS and (extent(b.text) >= LONG or b.main):
+            if b.stops is None:
+                b.stops = stop_share(b.text)
+            if b.stops >= HIGH_STOPS and (b.extent >= LONG or b.main):
                 b.verdict = True
-            elif stops >= LOW_STOPS:
+            elif b.stops >= LOW_STOPS:
                 nearly.add(i)
             elif not b.main:
                 few.add(i)
-    weight = lambda places: sum(extent(page[i].text) for i in places)
+    weight = lambda places: sum(page[i].extent for i in places)
     if weight(few) > weight(i for i, b in enumerate(page) if b.verdict or i in nearly):
         for i in few:
-            if extent(page[i].text) >= LONG:
+            if page[i].extent >= LONG:
                 page[i].verdict = True
             else:
                 nearly.add(i)

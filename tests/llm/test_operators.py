@@ -203,6 +203,26 @@ def test_html_of_other_languages_and_no_prose():
     assert html_blocks.main_text(f"{nav}<table>{cells}</table>{foot}").count("kg") == 9
 
 
+def test_html_hints_are_whole_tokens_and_give_way():
+    prose = ("It was the end of the day and they were on the way to it, as they had been for most of the week before. " * 3).strip()
+    more = ("He had been with her for all of the time that was left, and it was not as long as they had been told. " * 2).strip()
+    for name in ("site-content no-sidebar", "layout has-sidebar", "post hentry comments-open", "elementor-widget-container",
+                 "single-post social-issues", "sidebar", "main-menu widget"):
+        for tag in ("div", "article"):
+            page = f"<nav>Home</nav><{tag} class='{name}'><h1>Title</h1><p>{prose}</p><p>{more}</p></{tag}><footer>End</footer>"
+            assert html_blocks.main_text(page) == f"Title\n{prose}\n{more}", (tag, name)
+        page = f"<nav>Home</nav><div class='{name}'><article><h1>Title</h1><p>{prose}</p></article></div><footer>End</footer>"
+        assert html_blocks.main_text(page) == f"Title\n{prose}", name
+    assert html_blocks.main_text("<div class=widget><article><h1>Title</h1><p>Short.</p></article></div>") == "Title\nShort."
+    for header in ("<header class=entry-header>", "<header class='post-header header'>"):
+        page = f"<article>{header}<h1>Title</h1></header><p>{prose}</p></article>"
+        assert html_blocks.main_text(page) == f"Title\n{prose}"
+    for name in ("sidebar", "site-footer", "cookie-notice", "related-posts", "comments", "comment-list", "main-nav", "ad"):
+        page = f"<article><h1>Title</h1><p>{prose}</p></article><div class={name}><p>{more}</p><article>{more}</article></div>"
+        assert html_blocks.main_text(page) == f"Title\n{prose}", name
+    assert html_blocks.main_text(f"<div><p>{more}</p></div><div class=comments><p>{prose}</p><p>{prose}</p></div>") == more
+
+
 def brute_removals(bodies, length):
     seen = collections.Counter(t[p:p + length] for t in bodies for p in range(len(t) - length + 1))
     out = []
