@@ -13,8 +13,12 @@ When a stream has no blocks left, a new phase starts in which the remaining
 streams share all slots in proportion to their weights; there is one phase per
 stream at most.  No row is dropped or repeated.
 
-Nulls: a null or unlisted source belongs to the stream ``other``; a null
-``doc_id`` sorts first.  Repeated rows get a position each.  An empty table
+Every source is a stream: a listed one with its share, each other one, null
+included, with an equal part of OTHER_SHARE.  Only when more than
+``most_sources`` sources are not listed do these share one stream, inside which
+the Pfair order of equal weights is kept: a block of each source in turn.
+
+Nulls: a null source is a source of its own; a null ``doc_id`` sorts first.  Repeated rows get a position each.  An empty table
 gives an empty result.  Other columns are passed through by ``mix``.
 """
 
@@ -26,10 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 from factgraph.functions.storage import Scratch
 from factgraph.llm.ranking import buckets_for, gapless_rank, hash_bucket
 
-# Shares of the sources; all sources not listed share OTHER_SHARE.
+# Shares of the sources; all sources not listed share OTHER_SHARE in equal parts.
 WEIGHTS = {"src0": 8, "src1": 6, "src2": 4, "src3": 4, "src4": 2, "src5": 2}
 OTHER_SHARE = 6
 BLOCK_ROWS = 32
+# sources not listed that get a stream each; a plan has streams x streams rows at most
+MOST_SOURCES = 64
 SEED = 20240
 
 
@@ -85,14 +91,41 @@ def last_slot(rows: list[dict], stream: int) -> int:
     return p["start_slot"] + k // p["share"] * p["frame"] + p["slots"][k % p["share"]]
 
 
+def _in_turn(rows: DataFrame, pool: int, n_rows: int, block_rows: int, seed: int) -> DataFrame:
+    """``rows`` with ``__row`` of the stream ``pool`` by turns: first blocks of all its sources, then second ones, and so on."""
+    apart = rows.where(F.col("__stream") == pool).drop("__row")
+    own = apart.withColumn("__name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    own = gapless_rank(own, ["__stream", "__name"], "__bucket", ["__u", "doc_id", "__h"], "__of_source")
+    many = buckets_for(n_rows)
+    place = hash_bucket(F.xxhash64(F.lit(seed), F.col("__name")), many)
+    own = own.withColumn("__turn", F.floor(F.col("__of_source") / block_rows).cast("long"))
+    own = own.withColumn("__run", F.col("__turn") * many + place)
+    own = gapless_rank(own, ["__stream"], "__run", ["__name", "__of_source"], "__row")
+    return rows.where(F.col("__stream") != pool).unionByName(own.select(*rows.columns))
+
+
 def schedule(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER_SHARE,
-             block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+             block_rows: int = BLOCK_ROWS, seed: int = SEED, most_sources: int = MOST_SOURCES) -> DataFrame:
     """Columns of ``docs`` with __stream, __phase, __block, __slot, __position (all long)."""
     spark = docs.sparkSession
     names, shares = [*weights], [*weights.values(), other]
-    listed = F.array(*[F.lit(n) for n in names])
-    number = F.coalesce(F.array_position(listed, F.col("source")), F.lit(0))
-    number = F.when(number > 0, number - 1).otherwise(len(names)).cast("long")
+    unlisted = docs.select("source").distinct()
+    if names:
+        unlisted = unlisted.where(F.col("source").isNull() | ~F.col("source").isin(names))
+    more = [r["source"] for r in unlisted.limit(most_sources + 1).collect()]
+    pooled = len(more) > most_sources
+    if more and not pooled:
+        more.sort(key=lambda name: (name is not None, name or ""))
+        names, shares = names + more, [*[p * len(more) for p in weights.values()], *[other] * len(more)]
+        unit = math.gcd(*shares)
+        shares = [p // unit for p in shares]
+    # a null source has the number of the null among the names; what is in no list belongs to the pool
+    listed = F.array(*[F.lit(n) for n in names if n is not None]).cast("array<string>")
+    at = F.coalesce(F.array_position(listed, F.col("source")), F.lit(0)) - 1
+    if None in names:
+        null = names.index(None)
+        at = F.when(F.col("source").isNull(), null).when(at >= null, at + 1).otherwise(at)
+    number = F.when(at >= 0, at).otherwise(len(names)).cast("long")
     # the order is settled by the whole row, so that a task that runs again ranks alike
     rest = F.xxhash64(*[F.col(c) for c in docs.columns])
     rows = docs.withColumns({"__stream": number, "__u": F.xxhash64(F.lit(seed), F.col("doc_id")), "__h": rest})
@@ -103,6 +136,8 @@ def schedule(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OT
 
     rows = rows.withColumn("__bucket", hash_bucket(F.col("__u"), buckets_for(sum(counts))))
     rows = gapless_rank(rows, ["__stream"], "__bucket", ["__u", "doc_id", "__h"], "__row")
+    if pooled:
+        rows = _in_turn(rows, len(names), sum(counts), block_rows, seed)
     rows = rows.withColumn("__block", F.floor(F.col("__row") / block_rows).cast("long"))
     shape = ("array<struct<stream:bigint,phase:bigint,first_block:bigint,end_block:bigint,start_slot:bigint,"
              "frame:bigint,share:bigint,slots:array<bigint>>>")
@@ -132,10 +167,11 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def positions(docs: DataFrame, weights: dict[str, int] = WEIGHTS, **parameters) -> DataFrame:
-    """doc_id, source, stream, phase, block, slot, position of every row."""
+    """doc_id, source, stream, phase, block, slot, position of every row; ``stream`` is the source if it is listed,
+    else ``other``, and blocks are counted by source (in a pool, by the pool)."""
     keys = Scratch(docs.sparkSession, "mixing").keep(docs.select("doc_id", "source"), "keys")
-    names = F.array(*[F.lit(n) for n in [*weights, "other"]])
+    name = F.when(F.col("source").isin([*weights]), F.col("source")).otherwise("other")
     found = schedule(keys, weights=weights, **parameters)
     return found.select(
-        "doc_id", "source", F.get(names, F.col("__stream").cast("int")).alias("stream"), F.col("__phase").alias("phase"),
+        "doc_id", "source", name.alias("stream"), F.col("__phase").alias("phase"),
         F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))

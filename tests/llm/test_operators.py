@@ -85,6 +85,22 @@ def test_mix(docs, none):
     assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
 
 
+@pytest.mark.parametrize("most", [64, 5])
+def test_every_source_has_its_share(spark, most):
+    # one unlisted source has more rows than all others together
+    sizes = {"src0": 400, "src1": 300, None: 120, **{f"new{i}": 120 for i in range(5)}, "hot": 1500}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    table = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = mixing.positions(table, weights={"src0": 4, "src1": 3}, other=7, block_rows=4, most_sources=most).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    order = [r.source for r in sorted(got, key=lambda r: r.position)]
+    weight = {s: {"src0": 4, "src1": 3}.get(s, 1) / 14 for s in sizes}
+    # while no source has ended, every stretch from the start holds each one's part within a block (two in a pool)
+    for t in range(0, 1300, 4):
+        seen = collections.Counter(order[:t])
+        assert all(abs(seen[s] - w * t) < (4 if most == 64 else 8) + 1e-9 for s, w in weight.items()), t
+
+
 def plain_measures(text):
     ws, found, now = [], [], ""
     for c in (text or "") + " ":
