@@ -1,7 +1,8 @@
 """A training corpus from ``documents`` in five stages.
 
 Each stage works on all rows its predecessor kept, which are written and read
-again in between.
+again in between.  Mixing settles the order of the rows, which packing takes from
+the stage's files.
 """
 
 import uuid
@@ -16,7 +17,7 @@ STAGES = [
     ("n-gram Jaccard join", lambda spark, docs, sf_dir: ngram_join.keep_one(docs)),
     ("suffix-array dedup", lambda spark, docs, sf_dir: suffix_dedup.remove(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("packing", lambda spark, docs, sf_dir: packing.pack(packing.in_written_order(docs))),
 ]
 
 # compression, MinHash, suffix sorting and tokens are not for SQL; tests/llm compares with a brute-force version

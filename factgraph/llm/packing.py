@@ -8,6 +8,9 @@ may be open, and a new one begins.  Windows still open at the end of a task are
 leftovers: they are merged across tasks by the same rule, in rounds that bring
 64 tasks' leftovers together, until one task has them all.
 
+Sequence ids follow the order of the rows: by the first window's task, and in
+it by when the window began.
+
 Sequences are padded to 2048.  Documents are cut at multiples of 2048 only.
 
 Nulls and empty texts are the single id 1; a null ``doc_id`` stays null.
@@ -23,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from factgraph.functions.storage import Scratch
 
@@ -185,6 +189,24 @@ def _merger(window: int, most: int):
     return run
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """Rows of a table Spark wrote, in the order of its part files and of the rows in them.
+
+    A scan deals files to tasks by size.  Here tasks get ranges of the written
+    order, which their numbers follow.  Tables not read from Parquet stay as
+    they are.
+    """
+    try:
+        named = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+        named.schema
+    except AnalysisException:
+        return docs
+    part = [F.regexp_extract("__file", pattern, 1) for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    named = named.withColumns({f"__part{i}": F.when(c != "", c.cast("long")) for i, c in enumerate(part)})
+    order = ["__part0", "__part1", "__file", "__at"]
+    return named.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def pack(docs: DataFrame, paths: tuple[str, str] | None = None, window: int = WINDOW, open_windows: int = OPEN_WINDOWS,
          fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
@@ -216,13 +238,15 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, window: int = WI
             F.max("to_used").alias("used"))
         tasks = groups - 1
 
-    # ids: windows of the tasks are even numbers, merged ones odd, each with the task in the upper bits
+    # ids follow the order of the rows: a merged window has the number of the first window in it, made odd
     number = lambda task, win, odd: F.shiftleft(task, 33).bitwiseOR(F.shiftleft(win, 1)).bitwiseOR(F.lit(odd))
+    merged_window = W.partitionBy("to_task", "to_window")
+    moves = moves.withColumn("first", F.min(number(F.col("task"), F.col("window"), 1)).over(merged_window))
     pieces = packed.where("left_room is null").drop("left_room")
     placed = pieces.join(moves, ["task", "window"], "left")
     moved = F.col("to_task").isNotNull()
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        F.when(moved, number(F.col("to_task"), F.col("to_window"), 1)).otherwise(
+        F.when(moved, F.col("first")).otherwise(
             number(F.col("task"), F.col("window"), 0)).cast("long").alias("sequence_id"),
         (F.col("offset") + F.coalesce("base", F.lit(0))).cast("long").alias("offset"))

@@ -451,3 +451,41 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in packed} == expected == {r.doc_id for r in at.collect()}
     removed = {r.doc_id: r.text for r in at.collect()}
     assert all(len(t.encode()) > 0 for t in removed.values())
+
+
+def test_packing_keeps_the_mixed_order(spark, tmp_path):
+    import corpus_pipeline
+    rng = random.Random(9)
+    # short texts come first and long ones last, so that the last files are the largest
+    rows = [(i, words(rng, 30 if i < 150 else 900), "en", "src0" if i % 3 else "new", None, None, None, None, None) for i in range(240)]
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = [r.doc_id for r in stages["mixing"](spark, spark.createDataFrame(rows, DOCS), "").collect()]
+    text_of = {r[0]: r[1] for r in rows}
+    table = spark.createDataFrame([(d, text_of[d]) for d in sorted(mixed)], "doc_id long, text string")
+    table.orderBy("doc_id").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/t")
+    stages["mixing"](spark, spark.createDataFrame(rows, DOCS), "").write.parquet(f"{tmp_path}/mixed")
+    settings = {"spark.sql.files.maxPartitionBytes": "60k", "spark.sql.files.openCostInBytes": "1", "spark.sql.shuffle.partitions": "5"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for path, order in ((f"{tmp_path}/t", sorted(mixed)), (f"{tmp_path}/mixed", mixed)):
+            stored = spark.read.parquet(path)
+            read = packing.in_written_order(stored)
+            assert [(r.doc_id, r.text) for r in read.collect()] == [(d, text_of[d]) for d in order]
+            pieces = stages["packing"](spark, stored, "").collect()
+            assert collections.Counter(r.doc_id for r in pieces if r.start == 0) == collections.Counter(order)
+            from tokenizers import Tokenizer
+            exact = Tokenizer.from_file(packing.tokenizer_paths()[0])
+            for r in pieces:
+                ids = np.array(exact.encode(text_of[r.doc_id], add_special_tokens=False).ids + [1], "<u4")[r.start:r.start + r.length]
+                assert zlib.crc32(ids.tobytes()) == r.ids_crc32
+            # a sequence's first row in the mixed order never comes before that of the sequence before it
+            at, firsts = {d: i for i, d in enumerate(order)}, {}
+            for r in pieces:
+                firsts[r.sequence_id] = min(firsts.get(r.sequence_id, len(order)), at[r.doc_id])
+            ordered = [firsts[s] for s in sorted(firsts)]
+            assert ordered == sorted(ordered)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
