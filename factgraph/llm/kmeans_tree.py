@@ -6,7 +6,9 @@ tree best bin first: a priority queue holds nodes by the inner product of
 their centre with the query, and the leaves come out in the order in which
 they are worth a visit.  How many leaves are visited is calibrated: up to
 ``CALIBRATE`` queries are answered by brute force over all rows, and visits are
-widened until their recall reaches ``RECALL``.
+widened until their recall reaches ``RECALL``.  Only leaves with rows count, and
+a query goes on until its leaves hold k rows besides its own, so it gets k rows
+wherever the table has them.
 
 Neighbouring leaves are bundled up to ``BLOCK_ROWS`` vectors, and bundles are
 searched in blocks of at most about ``BLOCK_ROWS`` vectors by ``BLOCK_QUERIES``
@@ -65,14 +67,16 @@ class Tree:
             todo += [(child, rows[nearest == i]) for i, child in enumerate(below)]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a query, best bin first."""
-        heap, found = [(0.0, 0)], []
-        while heap and len(found) < most:
+    def visits(self, q: np.ndarray, most: int, rows: dict[int, int], least: int = 0) -> list[int]:
+        """The first leaves of a query, best bin first: at least ``most`` that have rows, with ``least`` rows together."""
+        heap, found, held = [(0.0, 0)], [], 0
+        while heap and (len(found) < most or held < least):
             _, node = heapq.heappop(heap)
             below = self.children[node]
             if not below:
-                found.append(node)
+                if rows.get(node):
+                    found.append(node)
+                    held += rows[node]
                 continue
             for child, near in zip(below, self.centres[below] @ q):
                 heapq.heappush(heap, (-near, child))
@@ -168,18 +172,18 @@ def bundles(tree: Tree, rows: dict[int, int], size: int) -> dict[int, int]:
     return out
 
 
-def _visitor(tree: Tree, most: int, bundle_of: dict[int, int]):
+def _visitor(tree: Tree, most: int, bundle_of: dict[int, int], held: dict[int, int], k: int):
     """A row for each query and bundle, with the leaves of the bundle that the query visits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 source, bundle, leaves = [], [], []
-                for i, q in enumerate(_matrix(part.column(1))):
+                for i, (q, copies) in enumerate(zip(_matrix(part.column(1)), part.column(2).to_pylist())):
                     own: dict[int, list[int]] = {}
-                    for leaf in tree.visits(q, most):
-                        if leaf in bundle_of:
-                            own.setdefault(bundle_of[leaf], []).append(leaf)
+                    # rows of the query's own id are no candidates, wherever they are
+                    for leaf in tree.visits(q, most, held, k + copies):
+                        own.setdefault(bundle_of[leaf], []).append(leaf)
                     source += [i] * len(own)
                     bundle += own.keys()
                     leaves += own.values()
@@ -243,7 +247,8 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, recall: float =
     leaves = max(1, min(MAX_LEAVES, n // leaf_rows))
     tree = fit(_matrix(sample["embedding"].combine_chunks()), leaves)
     assigned = scratch.keep(rows.mapInArrow(_assigner(tree), "vec_id long, embedding array<double>, leaf long"), "rows")
-    queries = assigned.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("query"))
+    queries = assigned.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(
+        F.min("embedding").alias("query"), F.count(F.lit(1)).alias("copies"))
     queries = queries.withColumnRenamed("vec_id", "query_id")
     ask = queries.orderBy(F.xxhash64(F.lit(SEED + 1), "query_id"), "query_id").limit(CALIBRATE).toArrow()
     if not ask.num_rows:
@@ -254,12 +259,11 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, recall: float =
     ask_ids, ask_q = ask["query_id"].to_numpy(), _matrix(ask["query"].chunk(0))
     true = assigned.mapInArrow(_brute(ask_ids, ask_q, k), "query_id long, vec_id long, score double, leaf long")
     true = true.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "leaf").collect()
-    most = widen(tree, ask_ids, ask_q, true, recall)
-
     # leaves are MAX_LEAVES and a few at most, and so are bundles
     held = {r["leaf"]: r["count"] for r in assigned.groupBy("leaf").count().collect()}
+    most = widen(tree, ask_ids, ask_q, true, recall, held)
     bundle_of = bundles(tree, held, block_rows)
-    asked = scratch.keep(queries.mapInArrow(_visitor(tree, most, bundle_of),
+    asked = scratch.keep(queries.mapInArrow(_visitor(tree, most, bundle_of, held, k),
                                             "query_id long, query array<double>, bundle long, leaves array<long>"), "visits")
     asks = {r["bundle"]: r["count"] for r in asked.groupBy("bundle").count().collect()}
     sizes: dict[int, int] = {}
@@ -280,8 +284,8 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, recall: float =
     return ranked.select(*[c.split()[0] for c in out.split(", ")])
 
 
-def widen(tree: Tree, ids: np.ndarray, q: np.ndarray, true: list, recall: float) -> int:
-    """Fewest leaf visits at which the calibration queries find their share of true neighbours."""
-    order = {int(i): {leaf: at for at, leaf in enumerate(tree.visits(v, len(tree.leaves)))} for i, v in zip(ids, q)}
+def widen(tree: Tree, ids: np.ndarray, q: np.ndarray, true: list, recall: float, held: dict[int, int]) -> int:
+    """Fewest visits of leaves with rows at which the calibration queries find their share of true neighbours."""
+    order = {int(i): {leaf: at for at, leaf in enumerate(tree.visits(v, len(tree.leaves), held))} for i, v in zip(ids, q)}
     needed = sorted(order[r["query_id"]][r["leaf"]] + 1 for r in true)
     return needed[math.ceil(recall * len(needed)) - 1] if needed else 1

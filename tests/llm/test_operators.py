@@ -414,6 +414,15 @@ def test_neighbours(spark):
     assert kmeans_tree.neighbours(table.limit(0)).count() == 0
 
 
+def test_neighbours_beside_a_dominant_cluster(spark):
+    # nearly all queries have their neighbours in one leaf; two outliers, one with copies of its id, lie in small ones
+    vectors = [(i, [10.0, 0.0, 0.0]) for i in range(1980)]
+    vectors += [(1980, [0.0, 50.0, 0.0]), (1981, [0.0, 50.0, 1.0]), *[(2000, [0.0, 0.0, -50.0])] * 30]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = collections.Counter(r.query_id for r in kmeans_tree.neighbours(table, leaf_rows=16, block_rows=200).collect())
+    assert got == dict.fromkeys({i for i, _ in vectors if i % 20 == 0}, 20)
+
+
 def test_ordinal_held_out(spark, docs, none):
     rng = random.Random(6)
     vocabulary = [words(rng, 1) for _ in range(400)]
