@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing, quality_rules, sharding, suffix_dedup, warc
+from factgraph.llm import (alignment, html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing, quality_rules, sharding,
+                           suffix_dedup, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": lambda spark, sf_dir: kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings")),
     "op10_ordinal_grades": lambda spark, sf_dir: ordinal.grade(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
+    "op13_align_tokens": _documents(alignment.alignment),
 }
 
 SQL: dict[str, str] = {
