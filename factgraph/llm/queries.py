@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import (alignment, html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing, quality_rules, sharding,
-                           suffix_dedup, warc)
+from factgraph.llm import (alignment, best_positions, html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing, quality_rules,
+                           sharding, suffix_dedup, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": lambda spark, sf_dir: kmeans_tree.neighbours(_table(spark, sf_dir, "embeddings")),
     "op10_ordinal_grades": lambda spark, sf_dir: ordinal.grade(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
+    "op11_best_positions": lambda spark, sf_dir: best_positions.search(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
     "op13_align_tokens": _documents(alignment.alignment),
 }
 
@@ -85,4 +87,25 @@ SQL: dict[str, str] = {
         SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.a = d.r) AS n_links,
                (SELECT count(DISTINCT o.text) FROM e JOIN d o ON o.r = e.b WHERE e.a = d.r AND o.text <> d.text) AS n_text_links
         FROM d JOIN class ON class.a = d.r""",
+    "op11_best_positions": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        i AS (
+            SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark),
+        q AS (SELECT item, item_id, t, count(*) AS times FROM i GROUP BY ALL),
+        c AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+        tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY ALL),
+        w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, c GROUP BY t, n_docs),
+        s AS (
+            SELECT item, item_id, doc_id, r, sum(times * weight * ((1000000000 * tf) // (
+                       1000 * tf + 8 * (25 + (75 * len(d.w) * n_docs) // n_terms))))::BIGINT AS score
+            FROM tf JOIN q USING (t) JOIN w USING (t) JOIN d USING (r), c GROUP BY ALL)
+        SELECT item_id, row_number() OVER best AS rank, doc_id, score FROM s WHERE score > 0
+        WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY rank <= 10""",
 }
