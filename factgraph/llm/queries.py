@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import (alignment, best_positions, html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing, quality_rules,
-                           sharding, suffix_dedup, warc)
+from factgraph.llm import (alignment, best_positions, debruijn, html_blocks, kmeans_tree, mixing, ngram_join, ordinal, packing,
+                           quality_rules, sharding, suffix_dedup, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
     "op11_best_positions": lambda spark, sf_dir: best_positions.search(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
+    "op12_repeated_words": _documents(debruijn.removals),
     "op13_align_tokens": _documents(alignment.alignment),
 }
 
@@ -108,4 +109,19 @@ SQL: dict[str, str] = {
             FROM tf JOIN q USING (t) JOIN w USING (t) JOIN d USING (r), c GROUP BY ALL)
         SELECT item_id, row_number() OVER best AS rank, doc_id, score FROM s WHERE score > 0
         WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY rank <= 10""",
+    "op12_repeated_words": """
+        WITH d AS (
+            SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        g AS (SELECT r, p, md5_number(array_to_string(w[p:p + 19], ' ')) AS m
+              FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+        hit AS (SELECT r, p FROM g QUALIFY row_number() OVER (PARTITION BY m ORDER BY r, p) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS i FROM hit),
+        word AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM d WHERE r IN (SELECT r FROM hit)),
+        cut AS (SELECT r, string_agg(t, ' ' ORDER BY i) FILTER (WHERE gone.i IS NULL) AS kept, count(gone.i) AS n
+                FROM word LEFT JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+               sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+        FROM d LEFT JOIN cut USING (r)""",
 }
