@@ -35,6 +35,7 @@ BLOCK_ROWS = 1024
 BLOCK_CHARS = 4 << 20
 KNOWN_WORDS = 300_000       # words remembered, and
 KNOWN_CHARS = 32 << 20      # length of what is remembered of them
+LEARNED_AT_ONCE = 20_000
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -68,116 +69,139 @@ class Pair:
                 ids.setdefault(self.b_bytes[i], i)
         self.same = np.array([ids.get(token, -1) for token in self.a_bytes], np.int64)
 
-    def encode(self, text: str, spaced: bool) -> tuple[list[int], list[int]]:
-        """Ids of a text, behind a space or, as after a line feed, without one."""
-        if spaced:
-            return self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
-        return self.a.encode_ordinary(text), self.b.encode("\n" + text, num_threads=1)[2:]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes))
+        # an id as text, with the sign behind it: , and | behind A ids; , ; and nothing behind B ids
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        self.said = np.array([f"{i}{sign}" for sign, ids in ((",", n), ("|", n), (",", m), (";", m), ("", m)) for i in range(ids)], object)
+        self.said_from = np.cumsum([0, n, n, m, m])
 
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text that a space is put before."""
+        return (self.a.encode_to_numpy(" " + text).astype(np.int64),
+                np.array(self.b.encode(text, num_threads=1), np.int64))
 
-def align(pair: Pair, a: list[int], b: list[int]) -> tuple[str, int, list[int], list[int]] | None:
-    """(groups as text, number of groups, A ids of identity groups, links of the others as a << 32 | b).
 
-    None where the bytes of both differ.
+def align(pair: Pair, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple:
+    """What each unit of a text holds; units end at byte offsets where tokens of both end.
+
+    Groups as text; A tokens, B tokens, groups, links; A ids of its identity groups, and how many; links of its other groups
+    as a << 32 | b, and how many.
     """
-    a_bytes, b_bytes, same = pair.a_bytes, pair.b_bytes, pair.same
-    if b"".join([a_bytes[i] for i in a]) != b"".join([b_bytes[i] for i in b]):
-        return None
-    said, plain, links = [], [], []
-    i = j = 0
-    while i < len(a):
-        x, y = i, j
-        left, right = len(a_bytes[a[i]]), len(b_bytes[b[j]])
-        if left == right and same[a[i]] == b[j]:
-            plain.append(a[i])
-        else:
-            links.append(a[i] << 32 | b[j])
-            while left != right:        # the token that ends first is followed by its next one, and every overlap is a link
-                if left < right:
-                    i += 1
-                    left += len(a_bytes[a[i]])
-                else:
-                    j += 1
-                    right += len(b_bytes[b[j]])
-                links.append(a[i] << 32 | b[j])
-        i, j = i + 1, j + 1
-        said.append(",".join(map(str, a[x:i])) + "|" + ",".join(map(str, b[y:j])))
-    return ";".join(said), len(said), plain, links
-
-
-class Uneven(Exception):
-    """A word that white space begins or ends: its text is aligned whole."""
-
-
-class _Known(dict):
-    """Numbers of words, behind a space or not."""
-
-    def __init__(self, units: "Units", spaced: bool):
-        super().__init__()
-        self.units, self.spaced = units, spaced
-
-    def __missing__(self, word: str) -> int:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise Uneven
-        found = self[word] = self.units.add(word, self.spaced)
-        return found
+    n = len(ends)
+    a_ends, b_ends = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
+    cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+    a_many, b_many = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
+    first_a, first_b = np.cumsum(a_many) - a_many, np.cumsum(b_many) - b_many
+    plain = (a_many == 1) & (b_many == 1) & (pair.same[a[first_a]] == b[first_b])
+
+    # between two ends lies one overlap, of one token of either side
+    every = np.union1d(a_ends, b_ends)
+    group, unit = np.searchsorted(cuts, every), np.searchsorted(ends, every)
+    links = a[np.searchsorted(a_ends, every)] << 32 | b[np.searchsorted(b_ends, every)]
+    same = plain[group]
+    count = lambda ends_of: np.bincount(np.searchsorted(ends, ends_of), minlength=n)
+
+    # ids of a group in a row: those of A, then those of B
+    last_a = np.append(a_group[1:] != a_group[:-1], True)
+    last_b = np.append(b_group[1:] != b_group[:-1], True)
+    last_unit = np.isin(cuts, ends)[b_group] & last_b
+    parts = np.empty(len(a) + len(b), np.int64)
+    parts[np.arange(len(a)) + first_b[a_group]] = a + pair.said_from[last_a.astype(int)]
+    parts[np.arange(len(b)) + (first_a + a_many)[b_group]] = b + pair.said_from[2 + last_b.astype(int) + last_unit]
+    parts = pair.said[parts].tolist()
+    stops = (np.cumsum(count(a_ends)) + np.cumsum(count(b_ends))).tolist()
+    said = ["".join(parts[lo:hi]) for lo, hi in zip([0, *stops], stops)]
+    sizes = (count(a_ends), count(b_ends), count(cuts), np.bincount(unit, minlength=n))
+    return (said, sizes, links[same] >> 32, np.bincount(unit[same], minlength=n), links[~same], np.bincount(unit[~same], minlength=n))
 
 
 class Units:
-    """Aligned words by number, in columns; number -1 stands for words B doesn't give back."""
+    """Aligned words by number, in columns.
+
+    A word is kept with the space or the line feed before it.  Words not known yet are aligned many at a time, as one text.
+    """
 
     def __init__(self, pair: Pair):
         self.pair = pair
         self.forget()
 
     def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.lost: set[str] = set()         # words B doesn't give back
         self.said, self.chars = [], 0
-        self.sizes = [array("q") for _ in range(4)]              # A tokens, B tokens, groups, links
-        self.plain, self.plain_end = array("q"), array("q")      # A ids of identity groups, one word after the other
-        self.links, self.links_end = array("q"), array("q")
-        self.first, self.later = _Known(self, False), _Known(self, True)
-        self.feed = self.add("\n", False)
+        self.sizes = [array("q") for _ in range(4)]
+        self.plain, self.plain_n = array("q"), array("q")
+        self.links, self.links_n = array("q"), array("q")
 
     def full(self) -> bool:
         return len(self.said) > KNOWN_WORDS or self.chars > KNOWN_CHARS
 
-    def add(self, text: str, spaced: bool) -> int:
-        # a line feed alone, where B would begin by a space
-        a, b = self.pair.encode(text, spaced) if text != "\n" else (
-            self.pair.a.encode_ordinary("\n"), self.pair.b.encode("\n", num_threads=1)[1:])
-        found = align(self.pair, a, b)
-        if found is None:
-            return -1
-        said, groups, plain, links = found
-        self.said.append(said)
-        self.chars += len(said) + len(text)
-        for column, size in zip(self.sizes, (len(a), len(b), groups, len(plain) + len(links))):
-            column.append(size)
-        self.plain.extend(plain)
-        self.plain_end.append(len(self.plain))
-        self.links.extend(links)
-        self.links_end.append(len(self.links))
-        return len(self.said) - 1
-
-    def numbers(self, text: str) -> list[int]:
-        try:
-            found = []
-            for k, line in enumerate(text.split("\n")):
-                head, *more = line.split(" ")
-                if k:
-                    found.append(self.feed)
-                found.append((self.first if k else self.later)[head])
-                found.extend(map(self.later.__getitem__, more))
-            return found
-        except Uneven:
-            return [self.add(text, True)]
-
-
-def _gather(flat: array, ends: array, units: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, text: str, ends: list[int]) -> bool:
+        """Units of a text, which a space is put before, by their ends in bytes; none where B doesn't give back its bytes."""
+        a, b = self.pair.encode(text)
+        if b"".join([self.pair.b_bytes[i] for i in b.tolist()]) != b" " + text.encode():
+            return False
+        said, sizes, plain, plain_n, links, links_n = align(self.pair, a, b, np.array(ends, np.int64))
+        self.said += said
+        self.chars += sum(map(len, said)) + len(text)
+        for column, more in zip([*self.sizes, self.plain, self.plain_n, self.links, self.links_n],
+                                [*sizes, plain, plain_n, links, links_n]):
+            column.frombytes(more.astype(np.int64).tobytes())
+        return True
+
+    def learn(self, words: list[str]) -> None:
+        for lo in range(0, len(words), LEARNED_AT_ONCE):
+            some, first = words[lo:lo + LEARNED_AT_ONCE], len(self.said) + 1
+            # something visible comes before the first of them
+            units = ["x", *[w if w[0] == "\n" else " " + w for w in some]]
+            if self.add("".join(units), (np.cumsum([len(u.encode()) for u in units]) + 1).tolist()):
+                self.number.update(zip(some, range(first, first + len(some))))
+            elif len(some) == 1:
+                self.lost.add(some[0])
+            else:
+                for word in some:
+                    self.learn([word])
+
+    def numbers(self, texts: list[str | None]) -> list[list[int]]:
+        """Units of each text; none for a text whose bytes B doesn't give back."""
+        split = [_words(text) if text and "\u2581" not in text else [] for text in texts]
+        new = set().union(*split) - self.number.keys()
+        uneven = set(filter(_uneven, new))
+        self.learn(sorted(new - uneven - self.lost))
+        found = []
+        for text, words in zip(texts, split):
+            if not words or not self.lost.isdisjoint(words):
+                found.append([])
+            elif not uneven.isdisjoint(words):
+                found.append([len(self.said) - 1] if self.add(text, [len(text.encode()) + 1]) else [])
+            else:
+                found.append(list(map(self.number.__getitem__, words)))
+        return found
+
+
+def _words(text: str) -> list[str]:
+    """Words behind a space as they are, words that begin a line behind their line feed."""
+    found = []
+    for k, line in enumerate(text.split("\n")):
+        words = line.split(" ")
+        if k:
+            words[0] = "\n" + words[0]
+        found += words
+    return found
+
+
+def _uneven(word: str) -> bool:
+    """White space begins or ends it, so tokens may reach across: its text is aligned whole."""
+    own = word[word[:1] == "\n":]
+    return not own or own[0].isspace() or own[-1].isspace()
+
+
+def _gather(flat: array, sizes: array, units: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What the units hold, one after the other, and the owner of each."""
-    flat, ends = np.array(flat, np.int64), np.array(ends, np.int64)
-    begins = np.concatenate([[0], ends[:-1]])
-    n = ends[units] - begins[units]
+    flat, sizes = np.array(flat, np.int64), np.array(sizes, np.int64)
+    begins = np.cumsum(sizes) - sizes
+    n = sizes[units]
     at = np.repeat(begins[units] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     return flat[at], np.repeat(owner, n)
 
@@ -189,7 +213,6 @@ def _counted(values: np.ndarray, owner: np.ndarray, rows: int, most: int) -> tup
     return (pa.ListArray.from_arrays(offsets, pa.array((key % most).astype(np.int32))),
             pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))))
 
-
 DOCUMENT, BLOCK, TASK = 0, 1, 2
 FIRST_PASS = ("kind int, block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
               "ids array<int>, ids_n array<int>, pairs array<int>, pairs_n array<int>, codes array<bigint>, codes_n array<bigint>")
@@ -227,20 +250,15 @@ def _aligner(paths: tuple[str, str]):
         for part in (s for batch in batches for s in _slices(batch)):
             if units.full():
                 units.forget()
-            n, numbers, digests = part.num_rows, [], []
-            for text in part.column(1):
-                found = units.numbers(text.as_py()) if text.is_valid and text.as_buffer().size else []
-                if found and min(found) < 0:
-                    found = []
-                numbers.append(found)
-                digests.append(hashlib.sha256(";".join([units.said[u] for u in found]).encode()).hexdigest() if found else "")
+            n, numbers = part.num_rows, units.numbers(part.column(1).to_pylist())
+            digests = [hashlib.sha256(";".join([units.said[u] for u in own]).encode()).hexdigest() if own else "" for own in numbers]
             owner = np.repeat(np.arange(n), [len(f) for f in numbers])
-            flat = np.array([u for f in numbers for u in f], np.int64)
+            flat = np.fromiter((u for own in numbers for u in own), np.int64, len(owner))
             sums = [np.bincount(owner, np.array(c, np.int64)[flat], n).astype(np.int64) for c in units.sizes]
-            ids, whose = _gather(units.plain, units.plain_end, flat, owner)
+            ids, whose = _gather(units.plain, units.plain_n, flat, owner)
             seen += np.bincount(ids, minlength=len(seen))
             ids, ids_n = _counted(ids, whose, n, len(seen))
-            links, whose = _gather(units.links, units.links_end, flat, owner)
+            links, whose = _gather(units.links, units.links_n, flat, owner)
             codes, at, codes_n = np.unique(links, return_inverse=True, return_counts=True)
             pairs, pairs_n = _counted(at, whose, n, len(codes) + 1)
             yield _rows(n, kind=pa.array(np.full(n, DOCUMENT)), block=pa.array(np.full(n, block)), doc_id=part.column(0),

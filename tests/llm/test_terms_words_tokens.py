@@ -250,16 +250,33 @@ def test_alignment(monkeypatch, spark, docs, none):
     assert alignment.alignment(spark.createDataFrame([(1, None), (2, "▁")], "doc_id long, text string")).count() == 2
 
 
-def test_words_are_forgotten_without_a_trace():
+def test_words_learned_together_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "LEARNED_AT_ONCE", 7)
     pair = alignment.Pair(alignment.tokenizer_paths())
     rng = random.Random(9)
-    kept, fresh = alignment.Units(pair), alignment.Units(pair)
-    for _ in range(30):
-        text = "\n".join(words(rng, 20, 200) + ("  " if rng.random() < 0.1 else ".") for _ in range(3))
-        fresh.forget()
-        assert ";".join(kept.said[u] for u in kept.numbers(text)) == ";".join(fresh.said[u] for u in fresh.numbers(text))
-        whole = alignment.align(pair, *pair.encode(text, True))
-        assert whole[0] == ";".join(kept.said[u] for u in kept.numbers(text))
+    units = alignment.Units(pair)
+    many = ["\n".join(words(rng, 20, 200) + ("  " if rng.random() < 0.1 else ".") for _ in range(3)) for _ in range(40)]
+    many[7], many[8], many[9] = "a▁b c", None, ""
+    for lo in range(0, 40, 8):
+        if lo == 24:
+            units.forget()
+        some = many[lo:lo + 8]
+        for text, own in zip(some, units.numbers(some)):
+            if not text or "▁" in text:
+                assert own == []
+                continue
+            whole = alignment.align(pair, *pair.encode(text), np.array([len(text.encode()) + 1]))
+            assert whole[0] == [";".join(units.said[u] for u in own)]
+            assert [n.tolist() for n in whole[1]] == [[sum(c[u] for u in own)] for c in units.sizes]
+
+
+def test_words_that_lose_bytes_are_found_one_by_one(monkeypatch):
+    pair = alignment.Pair(alignment.tokenizer_paths())
+    i = pair.b.piece_to_id("▁lost")
+    pair.b_bytes[i] = b" lose"
+    units = alignment.Units(pair)
+    assert [bool(own) for own in units.numbers(["one lost word", "another word", "lost", "word  lost", "one"])] == [False, True, False, False, True]
+    assert units.lost == {"lost"}
 
 
 def test_identity_map_has_the_same_bytes():
