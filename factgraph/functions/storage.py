@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 
@@ -55,11 +56,30 @@ def version_path(folder: str, version: int) -> str:
     return f"{folder}/{version:012d}"
 
 
+def create_once(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Write a small file that must not be there yet; False if it is.  Of several writers one gets True."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = files.create(where, False)
+    except Py4JJavaError as exc:
+        if files.exists(where):
+            return False
+        raise exc
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    return True
+
+
 def publish(spark: SparkSession, folder: str, write: Callable[[str], None]) -> None:
     """Let ``write`` fill the folder of a new version, which counts once its
     commit row is written: readers see it whole or not at all, and may be
-    reading the version before it meanwhile."""
+    reading the version before it meanwhile.  Two writers never get the same version."""
     version = (published(spark, folder) or 0) + 1
+    while not create_once(spark, f"{folder}/claims/{version:012d}"):
+        version += 1
     write(version_path(folder, version))
     spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{folder}/commits")
 

@@ -118,6 +118,15 @@ def empty_graph(spark: SparkSession):
     return spark.createDataFrame([], S.NODE), spark.createDataFrame([], S.EDGE)
 
 
+def lay_out(df: DataFrame, kind: str, key: str, then: str, asked: tuple[str, ...], path: str) -> None:
+    """Write rows by ``kind``, sorted by ``key`` and ``then``, with Bloom filters for the columns ``asked``."""
+    df = df.repartitionByRange(kind, key, then).sortWithinPartitions(kind, key, then)
+    writer = df.write.mode("overwrite").partitionBy(kind).option("parquet.bloom.filter.adaptive.enabled", "true")
+    for column in asked:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """Write a new version of the stored graph.
 
@@ -125,14 +134,12 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     kind, a name or the callers of a few uids read only their part; Bloom
     filters do so for nodes by uid and edges by source.
     """
-    def lay_out(df, kind, key, then, asked, path):
-        df = df.repartitionByRange(kind, key, then).sortWithinPartitions(kind, key, then)
-        df.write.mode("overwrite").partitionBy(kind).option(f"parquet.bloom.filter.enabled#{asked}", "true") \
-            .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
-
     def write(path):
-        lay_out(nodes.select(*S.NODE_COLS), "node_type", "name", "uid", "uid", f"{path}/nodes")
-        lay_out(edges.select(*S.EDGE_COLS), "edge_type", "target_uid", "source_uid", "source_uid", f"{path}/edges")
+        # ranges are found by a pass of their own, so nodes are worked out once, before
+        scratch = Scratch(nodes.sparkSession, "layout")
+        lay_out(scratch.keep(nodes.select(*S.NODE_COLS), "nodes"), "node_type", "name", "uid", ("uid",), f"{path}/nodes")
+        scratch.drop_all_but()
+        lay_out(edges.select(*S.EDGE_COLS), "edge_type", "target_uid", "source_uid", ("source_uid",), f"{path}/edges")
 
     publish(nodes.sparkSession, f"{folder}/graph", write)
 

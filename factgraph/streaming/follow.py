@@ -1,11 +1,11 @@
 """Keeping a stored graph current from a stream of file changes.
 
-The graph lives in numbered snapshots under one folder.  A snapshot counts
-once its row is in the ``commits`` table, which is written last.  The row names
-the streaming query (which lives as long as its checkpoint) and its batch: a
-micro-batch that is run again after a failure either finds its commit and does
-nothing, or writes its snapshot anew from the one before.  A query with a new
-checkpoint counts its batches from 0 again, and all of them are applied.
+The graph is the one of ``operators.live``: a base and the changes since.  The
+commit of a change names the streaming query (which lives as long as its
+checkpoint) and its batch: a micro-batch that is run again after a failure
+either finds its commit and does nothing, or applies its change anew.  A query
+with a new checkpoint counts its batches from 0 again, and all of them are
+applied.
 """
 
 from collections.abc import Callable
@@ -13,65 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factgraph import schema as S
-from factgraph.functions.storage import Scratch, read_commits, remove
-from factgraph.operators.incremental import Graph, relativise, update_graph
+from factgraph.functions.storage import Scratch
+from factgraph.operators import live
+from factgraph.operators.incremental import relativise
+from factgraph.operators.live import latest_version, read as read_snapshot, retain  # noqa: F401
 from factgraph.sources.tree import as_files, read_contents
 from factgraph.streaming.changes import CHANGED, DELETED, collapse, file_changes
 
-_COMMIT = "version long, query string, batch long"
-
-
-def _version_path(folder, version):
-    return f"{folder}/snapshots/{version:012d}"
-
-
-def _commits(spark: SparkSession, folder: str) -> DataFrame | None:
-    return read_commits(spark, f"{folder}/commits", _COMMIT)
-
-
-def latest_version(spark: SparkSession, folder: str) -> int | None:
-    commits = _commits(spark, folder)
-    return None if commits is None else commits.agg(F.max("version")).first()[0]
-
-
-def is_applied(spark: SparkSession, folder: str, query: str, batch: int) -> bool:
-    commits = _commits(spark, folder)
-    return commits is not None and not commits.where((F.col("query") == query) & (F.col("batch") == batch)).isEmpty()
-
-
-def write_snapshot(graph: Graph, folder: str, version: int, query: str | None = None, batch: int | None = None) -> None:
-    spark, path = graph.nodes.sparkSession, _version_path(folder, version)
-    for name, df in graph._asdict().items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(version, query, batch)], _COMMIT).coalesce(1).write.mode("append").json(f"{folder}/commits")
-
-
-def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> Graph:
-    """The graph of a version, the latest by default."""
-    version = latest_version(spark, folder) if version is None else version
-    if version is None:
-        raise ValueError(f"no snapshot in {folder}")
-    path = _version_path(folder, version)
-    return Graph(spark.read.schema(S.NODE).parquet(f"{path}/nodes"),
-                 spark.read.schema(S.EDGE).parquet(f"{path}/edges"),
-                 spark.read.schema(S.ERROR).parquet(f"{path}/errors"))
-
-
-def retain(spark: SparkSession, folder: str, versions: int = 2) -> None:
-    """Remove the snapshots before the last ``versions``; commit rows stay."""
-    last = latest_version(spark, folder)
-    for row in _commits(spark, folder).where(F.col("version") <= last - versions).select("version").collect():
-        remove(spark, _version_path(folder, row["version"]))
-
-
-def apply_changes(graph: Graph, changes: DataFrame, read_files: Callable[[DataFrame], DataFrame],
-                  mode: str = "fresh", scratch: Scratch | None = None) -> Graph:
-    """The graph after collapsed changes (filepath, kind); ``read_files`` turns
-    a table of paths into a files table, leaving out paths that are gone."""
-    changed = changes.where(F.col("kind") == CHANGED).select("filepath")
-    deleted = changes.where(F.col("kind") == DELETED).select("filepath")
-    return update_graph(graph, changed, deleted, read_files(changed), mode, scratch=scratch)
+# A base is written anew once so many changes lie on it.
+COMPACT_AFTER = 100
 
 
 def tree_reader(root: str) -> Callable[[DataFrame], DataFrame]:
@@ -79,32 +29,40 @@ def tree_reader(root: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def apply_batch(batch: DataFrame, query: str, batch_id: int, folder: str, root: str, read_files=None,
-                policy: str = "deleted") -> None:
-    """Apply one batch of change events to the latest snapshot, once."""
+                policy: str = "deleted", compact_after: int = COMPACT_AFTER) -> None:
+    """Apply one batch of change events to the latest version, once.
+
+    ``read_files`` turns a table of paths into a files table, leaving out paths
+    that are gone.
+    """
     spark = batch.sparkSession
-    if is_applied(spark, folder, query, batch_id):
+    if live.is_applied(spark, folder, query, batch_id):
         return
     rows = collapse(file_changes(batch), policy).withColumnRenamed("path", "filepath")
     scratch = Scratch(spark, "batch")
     # every pass below must see one and the same batch
     rows = scratch.keep(relativise(rows, root), "changes")
     if not rows.isEmpty():
-        last = latest_version(spark, folder)
-        graph = apply_changes(read_snapshot(spark, folder, last), rows, read_files or tree_reader(root), scratch=scratch)
-        write_snapshot(graph, folder, last + 1, query, batch_id)
+        changed = rows.where(F.col("kind") == CHANGED).select("filepath")
+        deleted = rows.where(F.col("kind") == DELETED).select("filepath")
+        files = (read_files or tree_reader(root))(changed)
+        live.apply(spark, folder, changed, deleted, files, query=query, batch=batch_id)
+        if len(live.state(spark, folder).changes) >= compact_after:
+            live.compact(spark, folder)
     scratch.drop_all_but()
 
 
 def maintain(stream: DataFrame, folder: str, root: str, read_files=None, every: str = "500 milliseconds",
-             policy: str = "deleted", checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
-    """Start the query that applies every micro-batch to the latest snapshot.
+             policy: str = "deleted", checkpoint: str | None = None, once: bool = False,
+             compact_after: int = COMPACT_AFTER) -> StreamingQuery:
+    """Start the query that applies every micro-batch to the latest version.
 
     The trigger interval is the time changes are gathered; an interval without
     changes does nothing.  ``once`` handles what is there and stops.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        apply_batch(batch, query, batch_id, folder, root, read_files, policy)
+        apply_batch(batch, query, batch_id, folder, root, read_files, policy, compact_after)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
@@ -112,9 +70,9 @@ def maintain(stream: DataFrame, folder: str, root: str, read_files=None, every:
 
 
 def bootstrap_and_follow(spark: SparkSession, stream: DataFrame, folder: str, root: str, **options) -> StreamingQuery:
-    """Build the graph of the whole tree once, unless a snapshot is there
+    """Build the graph of the whole tree once, unless a version is there
     already, then follow the changes."""
     from factgraph.plans.build import build_graph
     if latest_version(spark, folder) is None:
-        write_snapshot(build_graph(spark, root), folder, 0)
+        live.create(build_graph(spark, root), folder)
     return maintain(stream, folder, root, **options)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgraph import schema as S
-from factgraph.operators import checks, domains as D, incremental, louvain as L, lookups, store, subgraph
+from factgraph.operators import checks, domains as D, incremental, live, louvain as L, lookups, store, subgraph
 from factgraph.plans import build
 from factgraph.sources import results as R, tree
 from factgraph.sources.extract import extract_facts
@@ -335,3 +336,97 @@ def test_louvain_ends_by_the_tolerance_alone(spark):
     ring = cliques + [(f"{a}0", f"{b}1") for a, b in zip("abcdef", "bcdefa")]
     found, _, _ = communities(spark, ring)
     assert groups(found) == [[f"{c}{i}" for i in range(4)] for c in "abcdef"]
+
+
+def bytes_below(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def assert_same_graph(got, want):
+    for a, b in zip(got, want):
+        assert checks.differing_rows(a, b).isEmpty()
+
+
+def sources(spark, texts):
+    from factgraph.sources.tree import as_files
+    return as_files(spark.createDataFrame(list(texts.items()), "filepath string, content string"))
+
+
+def test_live_graph_equals_a_full_index(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "live")
+    texts = {f"m{i}.py": f"def f{i}():\n    f{(i + 1) % 9}()\n    shared()\n\nclass C{i}:\n    pass\n" for i in range(9)}
+    texts["lib.py"] = "def shared():\n    pass\n"
+    paths = lambda *names: spark.createDataFrame([(n,) for n in names], "filepath string")
+    assert live.create(build.graph_of_files(sources(spark, texts)), folder) == 0
+    steps = [
+        ({"m1.py": "def f1():\n    f2()\n\ndef shared():\n    pass\n"}, []),              # a second callable of the name
+        ({"m2.py": "def other():\n    shared()\n    f1()\n"}, ["m3.py"]),                 # names go away
+        ({"m1.py": "def f1():\n    pass\n"}, ["lib.py"]),                                  # no callable of the name is left
+        ({"m3.py": texts["m3.py"], "new.py": "def shared():\n    f3()\n"}, ["m2.py"]),    # and one comes back elsewhere
+        ({"bad.py": "def f(:\n"}, []),
+        ({}, ["bad.py", "never.py"])]
+    states = [dict(texts)]
+    for i, (changed, deleted) in enumerate(steps, 1):
+        if i % 2 == 0:
+            monkeypatch.setattr(live, "FEW", 0)         # through joins
+        texts = {k: v for k, v in (texts | changed).items() if k not in deleted}
+        states.append(dict(texts))
+        # a changed path that is gone by now counts as deleted
+        version = live.apply(spark, folder, paths(*changed, *(["gone.py"] if i == 3 else [])), paths(*deleted), sources(spark, texts))
+        monkeypatch.undo()
+        assert version == i
+        assert_same_graph(live.read(spark, folder), build.graph_of_files(sources(spark, texts)))
+    assert_same_graph(live.read(spark, folder, 2), build.graph_of_files(sources(spark, states[2])))
+    before = live.read(spark, folder)
+    assert live.compact(spark, folder) == 7 and live.compact(spark, folder) == 7
+    assert_same_graph(live.read(spark, folder), before)
+    assert live.state(spark, folder).changes == []
+    live.apply(spark, folder, paths("m0.py"), paths(), sources(spark, texts | {"m0.py": "def g():\n    shared()\n"}))
+    live.retain(spark, folder)
+    assert_same_graph(live.read(spark, folder), build.graph_of_files(sources(spark, texts | {"m0.py": "def g():\n    shared()\n"})))
+    with pytest.raises(ValueError):
+        live.read(spark, folder, 99)
+
+
+def test_one_change_writes_as_much_in_any_graph(spark, tmp_path):
+    written = []
+    for n in (20, 400):
+        folder = str(tmp_path / str(n))
+        texts = {f"p{i}.py": f"def f{i}():\n    g()\n    f{i + 1}()\n" for i in range(n)} | {"g.py": "def g():\n    pass\n"}
+        live.create(build.graph_of_files(sources(spark, texts)), folder)
+        before = bytes_below(folder)
+        one = spark.createDataFrame([("p7.py",)], "filepath string")
+        live.apply(spark, folder, one, one.limit(0), sources(spark, texts | {"p7.py": "def f7():\n    f9()\n"}))
+        written.append(bytes_below(folder) - before)
+    assert written[1] < 1.05 * written[0]
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    folder = str(tmp_path / "live")
+    texts = {"a.py": "def a():\n    pass\n"}
+    live.create(build.graph_of_files(sources(spark, texts)), folder)
+    row = {"version": 1, "base": 0, "folder": "change-x", "paths": 1, "names": 0}
+    from factgraph.functions import storage
+    assert storage.create_once(spark, f"{folder}/commits/{1:012d}.json", json.dumps(row))
+    with pytest.raises(live.Conflict):
+        live._commit(spark, folder, row | {"folder": "change-y"})
+    # claims of the other store
+    taken = []
+    storage.create_once(spark, f"{tmp_path}/g/claims/{1:012d}")
+    storage.publish(spark, f"{tmp_path}/g", taken.append)
+    assert taken == [storage.version_path(f"{tmp_path}/g", 2)] and storage.published(spark, f"{tmp_path}/g") == 2
+
+
+def test_many_changes_are_compacted(spark, tmp_path):
+    root, folder = tmp_path / "repo", str(tmp_path / "graph")
+    root.mkdir()
+    (root / "a.py").write_text(A)
+    live.create(build.build_graph(spark, str(root)), folder)
+    for i in range(3):
+        (root / f"x{i}.py").write_text(f"def x{i}():\n    one()\n")
+        batch = spark.createDataFrame([("modified", str(root / f"x{i}.py"), None, False)],
+                                      "event_type string, src_path string, dest_path string, is_directory boolean") \
+            .withColumn("ts", F.current_timestamp())
+        follow.apply_batch(batch, "q", i, folder, str(root), compact_after=2)
+    assert len(live.state(spark, folder).changes) == 1 and live.latest_version(spark, folder) == 4
+    assert_same_graph(follow.read_snapshot(spark, folder), build.build_graph(spark, str(root)))
