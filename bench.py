@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from check_oracle import session
 from factgraph import schema as S
 from factgraph.functions.storage import Scratch
-from factgraph.operators import incremental, lookups, louvain, resolve, search, store, subgraph
+from factgraph.operators import incremental, live, lookups, louvain, resolve, search, store, subgraph
 from factgraph.plans import build, queries as Q
 from factgraph.sources import extract, generated, tables
 from factgraph.streaming import changes
@@ -83,11 +83,9 @@ def main():
     one = files.limit(1).select("filepath")
     one, = keep(one)
 
-    def update():
-        g = incremental.update_graph(graph, one, one.limit(0), files)
-        run(g.nodes), run(g.edges)
-
-    timed("update_one_file", update)
+    live.create(graph, f"{scratch.folder}/live")
+    timed("update_one_file", lambda: live.apply(spark, f"{scratch.folder}/live", one, one.limit(0), files))
+    timed("read_updated", lambda: [run(df) for df in live.read(spark, f"{scratch.folder}/live")])
     python = generated.python_files(spark, sf)
     timed("extract_python", lambda: run(extract.extract_facts(python)), lambda o: python.count() * 21, "lines/s")
 

@@ -360,6 +360,9 @@ INCREMENTAL = {
     "two_runs": f"""SELECT {JAVA_PATH} AS filepath, sha256({JAVA_TEXT}) AS file_hash, 'left' AS side FROM orders
             WHERE o_orderstatus IN ('P', 'F')
         UNION ALL SELECT {JAVA_PATH}, sha256({_AFTER_TEXT}), 'right' FROM orders WHERE o_orderstatus = 'F'""",
+    "maintain_batches": JAVA_AFTER + "SELECT * EXCLUDE (raw_target) FROM resolved",
+    "maintain_nodes": JAVA_AFTER + "SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type",
+    "compacted": JAVA_AFTER + "SELECT * EXCLUDE (raw_target) FROM resolved",
     "incremental_update": JAVA_AFTER + "SELECT * EXCLUDE (raw_target) FROM resolved",
     "incremental_nodes": JAVA_AFTER + "SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type",
     "mark_stale": JAVA + f"""SELECT node_type, coalesce(o_orderstatus IN ('P', 'F'), false) AS stale, count(*) AS n

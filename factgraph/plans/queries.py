@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factgraph import schema as S
 from factgraph.functions.storage import Scratch
-from factgraph.operators import (checks, domains as domain_ops, incremental, lookups, louvain, resolve,
+from factgraph.operators import (checks, domains as domain_ops, incremental, live, lookups, louvain, resolve,
                                  search, store, subgraph, summary)
 from factgraph.sources import extract, generated, results, tree
 from factgraph.sources.tables import table, table_edges, table_nodes
@@ -286,7 +286,33 @@ def _two_runs(spark, sf):
     return checks.differing_rows(*runs)
 
 
+def _live(spark, sf):
+    """Folder of a stored graph that was brought to its later state in three
+    batches, each a version: rewritten files by order number, then gone ones."""
+    key = (spark.sparkContext.applicationId, sf, "live")
+    if key not in _kept:
+        folder = Scratch(spark, "live").folder
+        nodes, edges, errors = extract.explode_result(java_results(spark, sf))
+        live.create(incremental.Graph(nodes, resolve.resolve_calls(nodes, edges), errors), folder)
+        diff = _once("diff", spark, sf, lambda: [_diff(spark, sf)])[0]
+        rewritten, none = "status IN ('changed', 'added') AND filepath {} '[13579][.]java$'", "false"
+        for changed, deleted in ((rewritten.format("RLIKE"), none), (rewritten.format("NOT RLIKE"), none), (none, "status = 'deleted'")):
+            live.apply(spark, folder, diff.where(changed).select("filepath"), diff.where(deleted).select("filepath"),
+                       generated.java_files_after(spark, sf))
+        _kept[key] = folder
+    return _kept[key]
+
+
+def _compacted(spark, sf):
+    folder = _live(spark, sf)
+    live.compact(spark, folder)
+    return live.read(spark, folder).edges.drop("raw_target")
+
+
 INCREMENTAL = {
+    "maintain_batches": lambda spark, sf: live.read(spark, _live(spark, sf), 3).edges.drop("raw_target"),
+    "maintain_nodes": lambda spark, sf: summary.node_summary(live.read(spark, _live(spark, sf), 3).nodes),
+    "compacted": _compacted,
     "vanished_paths": _vanished,
     "diff_files_added": lambda spark, sf: incremental.diff_files(
         generated.java_files_after(spark, sf), generated.java_files(spark, sf)),
