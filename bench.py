@@ -67,9 +67,10 @@ def main():
     # search over whole documents
     docs = Q.document_nodes(spark, sf)
     timed("search_cold", lambda: search.search_nodes(docs, "the merge und").collect())
-    index = search.build_search_index(docs)
-    index = search.SearchIndex(*timed("build_search_index", lambda: keep(index.postings, index.stats), docs.count()))
+    timed("build_search_index", lambda: search.write_index(search.build_search_index(docs), f"{scratch.folder}/index"), docs.count())
+    index = search.read_index(spark, f"{scratch.folder}/index")
     timed("search_indexed", lambda: search.search_index(index, "the merge und").collect())
+    timed("search_suffix", lambda: search.search_index(index, "*mentent").collect())
 
     # source files: full index, then one changed file
     files, = keep(generated.java_files(spark, sf))

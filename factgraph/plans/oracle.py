@@ -421,6 +421,8 @@ SEARCH = {
     "search_indexed": _SEARCH + _top([_bm25(["la", "queue", "und", "src3"])], 25),
     "search_wildcard": _SEARCH + _top([_wild("th.r.*"), _wild(".*mentent"), _wild("doc_1.*")], 50),
     "search_wildcard_path": _SEARCH + _top([_wild("py"), _wild("doc"), _wild("1.*"), _wild("src."), _wild("en")], 50),
+    "search_fitting_terms": _SEARCH + "SELECT DISTINCT term FROM posting WHERE regexp_full_match(term, '.*ment.n.*')",
+    "search_rare": _SEARCH + _top([_bm25(["doc_17", "the", "src3"])], 3),
     "search_vocabulary": _SEARCH + """SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf
         FROM posting GROUP BY field, term""",
     "search_neighbours": STORE.rstrip() + ",\n" + "hitnode AS (SELECT * FROM allnode WHERE node_type IN "

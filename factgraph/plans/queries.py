@@ -336,11 +336,12 @@ def document_nodes(spark, sf):
 
 
 def search_tables(spark, sf):
-    def build():
-        index = search.build_search_index(document_nodes(spark, sf))
-        return [index.postings, index.stats]
-
-    return search.SearchIndex(*_once("index", spark, sf, build))
+    """The stored index of the documents."""
+    key = (spark.sparkContext.applicationId, sf, "index")
+    if key not in _kept:
+        _kept[key] = Scratch(spark, "index").folder
+        search.write_index(search.build_search_index(document_nodes(spark, sf)), _kept[key])
+    return search.read_index(spark, _kept[key])
 
 
 def _expanded(spark, sf):
@@ -356,6 +357,8 @@ SEARCH = {
     "search_wildcard_path": lambda spark, sf: search.search_index(search_tables(spark, sf), "*.py doc-1* src?/EN", 50),
     "search_vocabulary": lambda spark, sf: search.vocabulary(
         search.build_search_index(document_nodes(spark, sf))),
+    "search_fitting_terms": lambda spark, sf: search.fitting_terms(search_tables(spark, sf), "*ment?n*"),
+    "search_rare": lambda spark, sf: search.search_index(search_tables(spark, sf), "doc_17 the src3", 3),
     "search_neighbours": _expanded,
 }
 
