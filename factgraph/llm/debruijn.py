@@ -4,9 +4,10 @@ Windows of 20 words are the edges of a graph, and runs of 19 words its nodes.
 Only repeated windows matter.  Each window is found under the gram of 8 words in
 it with the least hash, so it is enough to count these grams first, about one
 per seven words; windows whose gram occurs once in the corpus are left out.  The
-windows that remain are counted by 128 bits of hash, and those that occur again
+windows that remain are counted by 96 bits of hash, and those that occur again
 become edges, each with its first place: least ``doc_id`` (null last), then least
-text by SHA-256, then least start.
+text by SHA-256, then least start.  Places are numbers, given to all windows of
+the corpus in this order.
 
 A node with one edge in and one out does not branch.  Joining both edges at such
 nodes compacts edges into paths; a path that runs on in one text is a piece, and
@@ -88,7 +89,10 @@ def least_grams(codes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
 
 
 def _sampler(window: int, gram: int):
-    """(rid, gram, place): the least gram of each window; windows in a row that share it are one row, place = first << 8 | windows."""
+    """(rid, gram, place): the least gram of each window; windows in a row that share it are one row, place = first << 8 | windows.
+
+    A row without a gram tells the number of windows of a text as its place.
+    """
     def found(segments: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         codes = np.concatenate([s[2] for s in segments])
         sizes = np.array([len(s[2]) for s in segments])
@@ -111,108 +115,147 @@ def _sampler(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, segments, size = WordHashes(), [], 0
         for batch in batches:
+            many = []
             for rid, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 codes = codes_of(body.as_buffer().to_pybytes().split(), known)
+                if len(codes) >= window:
+                    many.append((rid, len(codes) - window + 1))
                 for lo in range(0, len(codes) - window + 1, SEGMENT):
                     segments.append((rid, lo, codes[lo:lo + SEGMENT + window - 1]))
                     size += len(segments[-1][2])
                     if size >= SEGMENT:
                         yield found(segments)
                         segments, size = [], 0
+            if many:
+                rid, n = zip(*many)
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.nulls(len(rid), pa.int64()), pa.array(n)], names=["rid", "gram", "place"])
         if segments:
             yield found(segments)
     return run
 
 
-WINDOWS = ("k1 bigint, k2 bigint, first_doc bigint, a bigint, b bigint, tail bigint, head bigint, start bigint, again boolean, "
-           "n bigint, source bigint")
+WINDOWS = "base bigint, start bigint, a bigint, b int, again boolean, n bigint, source bigint"
+WINDOW_SHAPE = pa.schema([("base", pa.int64()), ("start", pa.int64()), ("a", pa.int64()), ("b", pa.int32()), ("again", pa.bool_()),
+                          ("n", pa.int64()), ("source", pa.int64())])
 
 
-def _windows(window: int):
-    """Windows of a text at its places: the first of each with its hash and nodes; of others, stretches (n windows) with the
-    start of the same words before (source)."""
-    shape = pa.schema([(c.split()[0], pa.bool_() if c.endswith("boolean") else pa.int64()) for c in WINDOWS.split(", ")])
+def _window_rows(rows: int, **columns) -> pa.RecordBatch:
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in WINDOW_SHAPE]
+    return pa.RecordBatch.from_arrays(arrays, schema=WINDOW_SHAPE)
+
 
+def _windows(window: int):
+    """Windows of a text at its places: the first of each with its hash; of others, stretches (n windows) with the start of
+    the same words before (source)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             out = []
-            for k1, k2, first_doc, body, places in zip(*batch.columns):
+            for base, body, places in zip(*batch.columns):
                 codes = codes_of(body.as_buffer().to_pybytes().split(), known)
-                places = places.values.to_numpy()
+                places, base = places.values.to_numpy(), base.as_py()
                 n = places & 255
                 start = np.sort(np.repeat((places >> 8) - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-                a, b = (rolling(codes, window, base)[start] for base in BASES)
-                node = rolling(codes, window - 1, BASES[0]).view(np.int64)
+                a, b = rolling(codes, window, BASES[0])[start].view(np.int64), rolling(codes, window, BASES[1])[start]
+                b = (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 by = np.lexsort((start, b, a))
                 new = np.ones(len(by), bool)
                 new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
                 again = np.append(~new[1:], False)[new]
                 firsts = by[new]
-                m = len(firsts)
-                keys = [k1.as_py(), k2.as_py(), first_doc.as_py()]
-                own = [pa.array([k] * m, pa.int64()) for k in keys]
-                out.append(pa.RecordBatch.from_arrays(
-                    [*own, pa.array(a[firsts].view(np.int64)), pa.array(b[firsts].view(np.int64)), pa.array(node[start[firsts]]),
-                     pa.array(node[start[firsts] + 1]), pa.array(start[firsts]), pa.array(again), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.int64())], schema=shape))
-                if m < len(by):
-                    later = by[~new]
-                    source = start[firsts][np.cumsum(new) - 1][~new]
+                out.append(_window_rows(len(firsts), base=np.full(len(firsts), base), start=start[firsts], a=a[firsts], b=b[firsts], again=again))
+                if len(firsts) < len(by):
+                    later, source = by[~new], start[firsts][np.cumsum(new) - 1][~new]
                     order = np.argsort(start[later])
                     at, source = start[later][order], source[order]
                     begins = np.ones(len(at), bool)
                     begins[1:] = (np.diff(at) != 1) | (np.diff(source) != 1)
                     begins = np.flatnonzero(begins)
-                    m = len(begins)
-                    out.append(pa.RecordBatch.from_arrays(
-                        [*[pa.array([k] * m, pa.int64()) for k in keys], *[pa.nulls(m, pa.int64())] * 4, pa.array(at[begins]),
-                         pa.nulls(m, pa.bool_()), pa.array(np.diff(np.append(begins, len(at)))), pa.array(source[begins])], schema=shape))
-            yield from pa.Table.from_batches(out, shape).combine_chunks().to_batches(100_000)
+                    out.append(_window_rows(len(begins), base=np.full(len(begins), base), start=at[begins],
+                                            n=np.diff(np.append(begins, len(at))), source=source[begins]))
+            yield from pa.Table.from_batches(out, WINDOW_SHAPE).combine_chunks().to_batches(100_000)
     return run
 
 
-def repeated_windows(texts: DataFrame, scratch: Scratch, window: int, gram: int) -> DataFrame:
-    """``WINDOWS`` of the windows whose least gram occurs again in the corpus."""
+def _corpus_order(texts: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """rid, k1, k2, base: texts in the order of the corpus; a window that starts at ``start`` is number base + start in it.
+
+    Numbers of two texts never touch.
+    """
+    order = ["no_id", "first_doc", *KEYS]
+    rows = texts.select("rid", *KEYS, "first_doc", F.col("first_doc").isNull().alias("no_id")).join(sizes, "rid")
+    rows = scratch.keep(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    # one row per range
+    parts = rows.groupBy("part").agg(F.sum(F.col("n") + 1).alias("size"))
+    parts = parts.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("from"))
+    before = F.sum(F.col("n") + 1).over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    placed = rows.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(parts), "part")
+    return scratch.keep(placed.select("rid", *KEYS, (F.col("from") + F.col("before")).alias("base")), "order")
+
+
+def repeated_windows(texts: DataFrame, scratch: Scratch, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """``WINDOWS`` of the windows whose least gram occurs again in the corpus, and the order of the texts."""
     found = scratch.keep(texts.select("rid", "body").mapInArrow(_sampler(window, gram), "rid bigint, gram bigint, place bigint"), "grams")
+    order = _corpus_order(texts, found.where("gram is null").select("rid", F.col("place").alias("n")), scratch)
     # written, so that Spark can split a gram that very many texts hold
-    again = scratch.keep(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated-grams")
+    again = scratch.keep(found.groupBy("gram").agg(F.count("gram").alias("n")).where("n > 1").select("gram"), "repeated-grams")
     places = found.join(again, "gram").groupBy("rid").agg(F.collect_list("place").alias("places"))
-    places = places.join(texts.select("rid", *KEYS), "rid").drop("rid")
-    rows = texts.select(*KEYS, "first_doc", "body").join(places.hint("shuffle_hash"), KEYS).select(*KEYS, "first_doc", "body", "places")
+    places = places.join(order, "rid").select(*KEYS, "base", "places")
+    rows = texts.select(*KEYS, "body").join(places.hint("shuffle_hash"), KEYS).select("base", "body", "places")
     kept = scratch.keep(rows.mapInArrow(_windows(window), WINDOWS), "windows")
     scratch.drop(found, again)
-    return kept
+    return kept, order
+
 
+def met_windows(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """base, start, first: windows that occur again, each with the number of its first place in the corpus.
 
-def edges_of(windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, a, b, tail, head, s1, s2, start: the windows that occur again, at their first places."""
-    first = F.min(F.struct(F.col("first_doc").isNull().alias("no_id"), "first_doc", *KEYS, "start", "tail", "head")).alias("first")
-    edges = windows.where("n is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("texts"), F.bool_or("again").alias("again"), first)
-    edges = edges.where("texts > 1 or again").select(
-        F.monotonically_increasing_id().alias("id"), "a", "b", "first.tail", "first.head", F.col("first.k1").alias("s1"),
-        F.col("first.k2").alias("s2"), "first.start")
-    return scratch.keep(edges, "edges")
+    Where this is its own place, the row is an edge of the graph, by this number.
+    """
+    each = windows.where("n is null").select("base", "start", "a", "b", "again")
+    edges = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("texts"), F.max(F.col("again").cast("int")).alias("again"),
+                                       F.min(F.col("base") + F.col("start")).alias("first"))
+    edges = scratch.keep(edges.where("texts > 1 or again = 1").select("a", "b", "first"), "edges")
+    met = scratch.keep(each.drop("again").join(edges, ["a", "b"]).select("base", "start", "first"), "met")
+    scratch.drop(edges)
+    return met
+
+
+def _nodes(window: int):
+    """Edges of a text with the nodes they lead from and to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for base, body, starts in zip(*batch.columns):
+                node = rolling(codes_of(body.as_buffer().to_pybytes().split(), known), window - 1, BASES[0]).view(np.int64)
+                starts = starts.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(base.as_py() + starts), pa.array(node[starts]), pa.array(node[starts + 1])],
+                                                 names=["id", "tail", "head"])
+    return run
 
 
-def pieces_of(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, a, b, piece, base, s1, s2, start, before: each edge with the piece of a path that it lies on.
+def pieces_of(texts: DataFrame, met: DataFrame, order: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, DataFrame]:
+    """(id, base, piece of every edge; before, piece of the pieces that run on another one).
 
-    A piece is named by its first edge, which starts at ``base`` in the source text; ``before`` is the edge that leads to this
-    one where the node between them does not branch.
+    A piece is a stretch of a path whose edges have their first places in a row; it is named by its first edge.
     """
-    ends = edges.select(F.inline(F.array(
+    edges = met.where("base + start = first").select("base", "start")
+    starts = edges.groupBy("base").agg(F.collect_list("start").alias("starts")).join(order, "base").select(*KEYS, "base", "starts")
+    nodes = scratch.keep(texts.select(*KEYS, "body").join(starts.hint("shuffle_hash"), KEYS).select("base", "body", "starts").mapInArrow(
+        _nodes(window), "id bigint, tail bigint, head bigint"), "nodes")
+    ends = nodes.select(F.inline(F.array(
         F.struct(F.col("head").alias("node"), F.col("id").alias("inward"), F.lit(None).cast("long").alias("outward")),
         F.struct(F.col("tail").alias("node"), F.lit(None).cast("long").alias("inward"), F.col("id").alias("outward")))))
     plain = ends.groupBy("node").agg(F.count("inward").alias("n_in"), F.count("outward").alias("n_out"),
                                      F.max("inward").alias("before"), F.max("outward").alias("after"))
-    plain = plain.where("n_in = 1 and n_out = 1 and before != after").select("before", "after")
-    joined = edges.join(plain, F.col("id") == F.col("after"), "left").drop("after", "tail", "head")
-    along = W.partitionBy("s1", "s2").orderBy("start")
-    goes_on = (F.lag("start").over(along) == F.col("start") - 1) & (F.lag("id").over(along) == F.col("before"))
-    joined = joined.withColumn("begins", ~F.coalesce(goes_on, F.lit(False)))
-    first = lambda c: F.last(F.when(F.col("begins"), F.col(c)), ignorenulls=True).over(along)
-    return scratch.keep(joined.withColumn("piece", first("id")).withColumn("base", first("start")).drop("begins"), "pieces")
+    # nodes that don't branch join the edge before them to the one behind
+    joined = scratch.keep(plain.where("n_in = 1 and n_out = 1 and before != after").select("before", "after"), "joined")
+    goes_on = joined.where("before = after - 1").select(F.col("after").alias("id"), F.lit(True).alias("goes_on"))
+    marked = edges.select("base", (F.col("base") + F.col("start")).alias("id")).join(goes_on, "id", "left")
+    piece = F.last(F.when(F.col("goes_on").isNull(), F.col("id")), ignorenulls=True).over(W.partitionBy("base").orderBy("id"))
+    pieces = scratch.keep(marked.select("id", "base", piece.alias("piece")), "pieces")
+    scratch.drop(nodes)
+    return pieces, joined.where("before != after - 1").select("before", F.col("after").alias("piece"))
 
 
 def _labels(window: int):
@@ -240,25 +283,30 @@ def _digests(window: int):
     return run
 
 
-def spans_of(texts: DataFrame, windows: DataFrame, pieces: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+def spans_of(texts: DataFrame, windows: DataFrame, met: DataFrame, pieces: DataFrame, order: DataFrame, scratch: Scratch,
+             window: int) -> DataFrame:
     """k1, k2, start, n, digest, source: stretches of n windows that occur before, with a digest of the words at their first
     place, or the start of the same words in this text."""
-    held = pieces.groupBy("piece", "s1", "s2", "base").agg(F.count(F.lit(1)).alias("n"))
-    held = held.groupBy("s1", "s2").agg(F.collect_list(F.struct("piece", "base", "n")).alias("pieces"))
-    held = held.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "pieces")
-    labels = scratch.keep(texts.select(*KEYS, "body").join(held.hint("shuffle_hash"), KEYS).select("body", "pieces").mapInArrow(
+    held = pieces.groupBy("piece", "base").agg(F.count(F.lit(1)).alias("n"))
+    whole = held.groupBy("base").agg(F.collect_list(F.struct("piece", (F.col("piece") - F.col("base")).alias("start"), "n")).alias("pieces"))
+    whole = whole.join(order, "base").select(*KEYS, "pieces")
+    labels = scratch.keep(texts.select(*KEYS, "body").join(whole.hint("shuffle_hash"), KEYS).select("body", "pieces").mapInArrow(
         _labels(window), "piece bigint, label binary"), "labels")
 
-    at = pieces.select("a", "b", "piece", (F.col("start") - F.col("base")).alias("along"), "s1", "s2", F.col("start").alias("s"))
-    met = windows.where("n is null").select("a", "b", *KEYS, "start").join(at, ["a", "b"])
-    met = met.where("k1 != s1 or k2 != s2 or start != s").select(*KEYS, "start", "piece", (F.col("start") - F.col("along")).alias("shift"))
-    met = met.repartition(*KEYS).withColumn(
-        "run", F.col("start") - F.row_number().over(W.partitionBy(*KEYS, "piece", "shift").orderBy("start")))
-    spans = met.groupBy(*KEYS, "piece", "shift", "run").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n"))
-    spans = scratch.keep(spans.select(*KEYS, "start", "n", (F.col("start") - F.col("shift")).alias("along"), "piece"), "spans")
-    told = spans.join(labels, "piece").select(*KEYS, "start", "n", "along", "label").mapInArrow(
-        _digests(window), "k1 bigint, k2 bigint, start bigint, n bigint, digest binary")
-    inside = windows.where("n is not null").select(*KEYS, "start", "n", F.lit(None).cast("binary").alias("digest"), "source")
+    # a span ends where the next window is no copy, where its copy lies elsewhere, and where another piece begins
+    begins = held.select(F.col("piece").alias("first"), F.lit(True).alias("begins"))
+    copies = met.where("base + start != first").join(begins, "first", "left")
+    along = W.partitionBy("base").orderBy("start")
+    goes_on = (F.lag("start").over(along) == F.col("start") - 1) & (F.lag("first").over(along) == F.col("first") - 1) & F.col("begins").isNull()
+    copies = copies.withColumn("span", F.when(F.coalesce(goes_on, F.lit(False)), F.lit(None)).otherwise(F.col("start")))
+    copies = copies.withColumn("span", F.last("span", ignorenulls=True).over(along))
+    spans = scratch.keep(copies.groupBy("base", "span").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")), "spans")
+    told = spans.join(pieces.select(F.col("id").alias("first"), "piece"), "first").join(labels, "piece")
+    told = told.join(order.select("base", *KEYS), "base").select(
+        *KEYS, F.col("span").alias("start"), "n", (F.col("first") - F.col("piece")).alias("along"), "label")
+    told = told.mapInArrow(_digests(window), "k1 bigint, k2 bigint, start bigint, n bigint, digest binary")
+    inside = windows.where("n is not null").join(order.select("base", *KEYS), "base").select(
+        *KEYS, "start", "n", F.lit(None).cast("binary").alias("digest"), "source")
     return told.withColumn("source", F.lit(None).cast("long")).unionByName(inside)
 
 
@@ -292,9 +340,10 @@ def cut_texts(docs: DataFrame, window: int, gram: int, with_kept: bool) -> DataF
     """k1, k2, n_words, n_removed, kept_sha256 [, kept, null where nothing goes] of every distinct text."""
     scratch = Scratch(docs.sparkSession, "debruijn")
     with distinct_texts(docs, scratch) as texts:
-        windows = repeated_windows(texts, scratch, window, gram)
-        pieces = pieces_of(edges_of(windows, scratch), scratch)
-        spans = spans_of(texts, windows, pieces, scratch, window)
+        windows, order = repeated_windows(texts, scratch, window, gram)
+        met = met_windows(windows, scratch)
+        pieces, _ = pieces_of(texts, met, order, scratch, window)
+        spans = spans_of(texts, windows, met, pieces, order, scratch, window)
         spans = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", "digest", "source")).alias("spans"))
         rows = texts.select(*KEYS, "body").join(spans.hint("shuffle_hash"), KEYS, "left").select(*KEYS, "body", "spans")
         cut = scratch.keep(rows.mapInArrow(
@@ -353,17 +402,17 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 def passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """path, n_words, doc_id, start, words: the compacted paths of the graph, in pieces with the source of each.
 
-    A path is named by the least edge id among its pieces.
+    A path is named by the least number of an edge among the first edges of its pieces.
     """
     scratch = Scratch(docs.sparkSession, "debruijn")
     with distinct_texts(docs, scratch) as texts:
-        pieces = pieces_of(edges_of(repeated_windows(texts, scratch, window, gram), scratch), scratch)
-        firsts = pieces.where("id = piece and before is not null").select(F.col("piece").alias("b"), "before")
-        links = firsts.join(pieces.select(F.col("id").alias("before"), F.col("piece").alias("a")), "before").select("a", "b")
-        paths = components(links, scratch)
-        sized = pieces.groupBy("piece", "s1", "s2", "base").agg((F.count(F.lit(1)) + window - 1).alias("words"))
+        windows, order = repeated_windows(texts, scratch, window, gram)
+        pieces, further = pieces_of(texts, met_windows(windows, scratch), order, scratch, window)
+        links = further.join(pieces.select(F.col("id").alias("before"), F.col("piece").alias("a")), "before")
+        paths = components(links.select("a", F.col("piece").alias("b")), scratch)
+        sized = pieces.groupBy("piece", "base").agg((F.count(F.lit(1)) + window - 1).alias("words"))
         sized = sized.join(paths, F.col("piece") == F.col("node"), "left").withColumn("path", F.coalesce("root", "piece"))
-        sources = texts.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("first_doc").alias("doc_id"))
-        sized = scratch.keep(sized.join(sources, ["s1", "s2"]), "passages")
+        sources = order.join(texts.select(*KEYS, F.col("first_doc").alias("doc_id")), KEYS).select("base", "doc_id")
+        sized = scratch.keep(sized.join(sources, "base"), "passages")
     total = sized.groupBy("path").agg((F.sum(F.col("words") - (window - 1)) + window - 1).alias("n_words"))
-    return sized.join(total, "path").select("path", "n_words", "doc_id", F.col("base").alias("start"), "words")
+    return sized.join(total, "path").select("path", "n_words", "doc_id", (F.col("piece") - F.col("base")).alias("start"), "words")

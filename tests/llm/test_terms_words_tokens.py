@@ -190,6 +190,8 @@ def test_long_texts_are_read_in_segments(monkeypatch, spark):
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([rows[3][1].encode()])], names=["rid", "body"])
     found = [r for b in debruijn._sampler(20, 8)(iter([batch])) for r in b.to_pylist()]
+    assert [r["place"] for r in found if r["gram"] is None] == [len(codes) - 19]
+    found = [r for r in found if r["gram"] is not None]
     starts = [(s, r["gram"]) for r in found for s in range(r["place"] >> 8, (r["place"] >> 8) + (r["place"] & 255))]
     assert starts == [(s, grams[place[s]].view(np.int64)) for s in range(len(codes) - 19)]
 
