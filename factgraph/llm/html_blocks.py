@@ -43,8 +43,8 @@ STOP_WORDS = frozenset(
     "al como con del e el ella en era es esta este ha la las lo los más me no o para pero por que se si sin sobre su "
     "sus también un una y ya".split())
 
-DROPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video",
-           "title", "textarea")
+DROPPED = ("script", "style", "template", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "audio",
+           "video", "title", "textarea")
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset"}
 MAIN = {"article", "main"}
 # elements that are kept on the stack of open ones
@@ -53,7 +53,11 @@ NESTING = FURNITURE | MAIN | {"header", "div", "section", "ul", "ol", "dl", "tab
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "img", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
-          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+          # formulas are read as they stand in their sentence
+          "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "mpadded", "mphantom", "merror",
+          "menclose", "mfenced", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover",
+          "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mtd"}
 # Whole tokens of a class or an id, with what commonly stands before and behind
 HINTS = re.compile(
     r"(?:(?:site|page|global|top|bottom|left|right|primary|secondary|main|mobile|cookie|social|footer|header|nav|user)-)*"
@@ -95,33 +99,39 @@ def furniture(tag: str, attributes: str, in_main: bool) -> str:
 
 class Block:
     """Text between two block-level tags, and where it stands."""
-    __slots__ = ("text", "length", "extent", "linked", "bad", "hints", "outer", "main", "heading", "verdict", "stops")
+    __slots__ = ("text", "length", "extent", "linked", "bad", "hint", "outer", "main", "heading", "verdict", "stops")
 
-    def __init__(self, text: str, linked: int, bad: bool, hints: tuple[int, ...], outer: int, main: int, heading: bool):
+    def __init__(self, text: str, linked: int, bad: bool, hint: int, outer: int, main: int, heading: bool):
         self.text, self.length, self.extent, self.linked, self.bad, self.main = text, len(text), extent(text), linked, bad, main
-        # numbers of the elements around it with a hint; the first ``outer`` lie around its article
-        self.hints, self.outer, self.heading, self.verdict, self.stops = hints, outer, heading, None, None
+        # number of the innermost element around it with a hint, and of the innermost one around its article; 0: none
+        self.hint, self.outer, self.heading, self.verdict, self.stops = hint, outer, heading, None, None
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order; ``main`` is the number of the article they are in, 0 outside."""
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks of a page in order; ``main`` is the number of the article they are in, 0 outside.
+
+    Elements with a hint are numbered as they begin; the second list names for each the one around it, 0 for none.
+    Time and memory grow with the page, however deep its elements are nested.
+    """
     found: list[Block] = []
     parts: list[str] = []
     linked = links = 0
-    # (tag, inside furniture, article, elements with a hint, how many of them lie around the article)
-    stack: list[tuple[str, bool, int, tuple[int, ...], int]] = []
-    bad, main, mains, hints, outer, n_hints, last_br = False, 0, 0, (), 0, 0, False
+    # (tag, inside furniture, article, innermost element with a hint, and the one around the article)
+    stack: list[tuple[str, bool, int, int, int]] = []
+    open_tags: dict[str, int] = {}
+    around = [0]
+    bad, main, mains, hint, outer, last_br = False, 0, 0, 0, 0, False
     block_bad = heading = False
-    block_hints: tuple[int, ...] = ()
+    block_hint = 0
 
     def close():
-        nonlocal linked, block_bad, block_hints, heading
+        nonlocal linked, block_bad, block_hint, heading
         raw = "".join(parts)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            found.append(Block(text, linked, bad or block_bad, hints + block_hints, outer, main, heading))
+            found.append(Block(text, linked, bad or block_bad, block_hint or hint, outer, main, heading))
         parts.clear()
-        linked, block_bad, block_hints, heading = 0, False, (), False
+        linked, block_bad, block_hint, heading = 0, False, 0, False
 
     at = 0
     for m in TAG.finditer(page):
@@ -152,30 +162,34 @@ def blocks(page: str) -> list[Block]:
         close()
         links, last_br = 0, False
         if m[2]:
-            if any(tag == x[0] for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                bad, main, hints, outer = stack[-1][1:] if stack else (False, 0, (), 0)
+            if open_tags.get(tag):
+                while True:
+                    ended = stack.pop()[0]
+                    open_tags[ended] -= 1
+                    if ended == tag:
+                        break
+                bad, main, hint, outer = stack[-1][1:] if stack else (False, 0, 0, 0)
             continue
         attributes = m[4].rstrip(">")
         kind = furniture(tag, attributes, main > 0)
         own = kind == "hard" or tag == "head"
-        own_hint: tuple[int, ...] = ()
+        own_hint = 0
         if kind == "soft":
-            n_hints += 1
-            own_hint = (n_hints,)
+            own_hint = len(around)
+            around.append(hint)
         if tag in NESTING and not attributes.endswith("/"):
             if tag in MAIN and not main and not bad and not kind:
                 mains += 1
-                main, outer = mains, len(hints)
-            bad, hints = bad or own, hints + own_hint
-            stack.append((tag, bad, main, hints, outer))
+                main, outer = mains, hint
+            bad, hint = bad or own, own_hint or hint
+            stack.append((tag, bad, main, hint, outer))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
         else:
-            block_bad, block_hints, heading = own, own_hint, tag in HEADINGS
+            block_bad, block_hint, heading = own, own_hint, tag in HEADINGS
     if page[at:]:
         parts.append(page[at:])
     close()
-    return found
+    return found, around
 
 
 def extent(text: str) -> int:
@@ -188,14 +202,14 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
 
 
-def settle_hints(page: list[Block]) -> None:
+def settle_hints(page: list[Block], around: list[int]) -> None:
     """Blocks under a class hint are bad, unless it proves to be on a wrapper of the page's text.
 
     That is so when most text of good long blocks is below, or an article
     that stands for the page: all of that text, and no article outside of hints.
     Where such an article has text of its own, only hints in it can prove so.
     """
-    if not any(b.hints for b in page):
+    if len(around) == 1:
         return
     long = [b for b in page if not b.bad and b.extent >= LONG and b.linked <= MAX_LINKS * b.length]
     for b in long:
@@ -204,24 +218,35 @@ def settle_hints(page: list[Block]) -> None:
     few = [b for b in long if b.stops < LOW_STOPS]
     if sum(b.extent for b in few) > sum(b.extent for b in long) / 2:
         good = long
-    if any(b.main and not b.hints for b in good):
+    if any(b.main and not b.hint for b in good):
         good = [b for b in good if b.main and not b.outer]
-    total, held = sum(b.extent for b in good), {}
+    total, held = sum(b.extent for b in good), [0] * len(around)
     for b in good:
-        for hint in b.hints:
-            held[hint] = held.get(hint, 0) + b.extent
-    wrappers = {hint for hint, n in held.items() if 2 * n > total}
+        held[b.hint] += b.extent
+    # an element begins after the one around it, so sums go up from the last to the first
+    for hint in range(len(around) - 1, 0, -1):
+        if around[hint]:
+            held[around[hint]] += held[hint]
+    wrapper = [2 * n > total for n in held]
     if not any(b.main and not b.outer for b in page):
-        around = {hint for b in page if b.main for hint in b.hints[:b.outer]}
-        wrappers |= {hint for hint in around if held.get(hint, 0) == total}
+        seen = set()
+        for hint in {b.outer for b in page if b.main}:
+            while hint and hint not in seen:
+                seen.add(hint)
+                hint = around[hint]
+        for hint in seen:
+            wrapper[hint] = wrapper[hint] or held[hint] == total
+    wrapper[0] = True
+    for hint in range(1, len(around)):
+        wrapper[hint] = wrapper[hint] and wrapper[around[hint]]
     for b in page:
-        b.bad = b.bad or any(hint not in wrappers for hint in b.hints)
+        b.bad = b.bad or not wrapper[b.hint]
 
 
-def classify(page: list[Block]) -> None:
+def classify(page: list[Block], around: list[int]) -> None:
     """Sets every block's verdict to True (good) or False (bad)."""
     nearly, few = set(), set()
-    settle_hints(page)
+    settle_hints(page, around)
     for i, b in enumerate(page):
         if b.bad or b.linked > MAX_LINKS * b.length:
             b.verdict = False
@@ -296,8 +321,8 @@ def classify(page: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    classify(found)
+    found, around = blocks(page or "")
+    classify(found, around)
     return "\n".join(b.text for b in found if b.verdict)
 
 
