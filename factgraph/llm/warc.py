@@ -35,7 +35,6 @@ from factgraph.functions.storage import Scratch
 LEAST_SHARED = 1000
 LEVEL = 6
 READ = 256 << 10
-HEADER_LIMIT = 1 << 20
 
 
 def _b32(digest: bytes) -> str:
@@ -94,17 +93,19 @@ class Members:
         out, self.ready = self.ready, b""
         return out
 
-    def until(self, mark: bytes, limit: int) -> bytes:
-        """Bytes up to and with ``mark``."""
-        found = b""
-        while mark not in found:
+    def until(self, mark: bytes) -> bytes:
+        """Bytes up to and with ``mark``, in any length; the member's end bounds them."""
+        found, at = bytearray(), -1
+        while at < 0:
             more = self.some()
-            if not more or len(found) > limit:
+            if not more:
                 raise ValueError("record header without an end")
+            seen = max(len(found) - len(mark) + 1, 0)
             found += more
-        at = found.index(mark) + len(mark)
-        self.ready = found[at:] + self.ready
-        return found[:at]
+            at = found.find(mark, seen)
+        at += len(mark)
+        self.ready = bytes(found[at:]) + self.ready
+        return bytes(found[:at])
 
     def upto(self, n: int) -> bytes:
         """At most ``n`` bytes; none at the member's end."""
@@ -122,13 +123,13 @@ def read_records(stream) -> Iterator[dict]:
     """Headers and verified payload sizes and digests of an archive, in order."""
     members = Members(stream)
     while members.next_member():
-        raw = members.until(b"\r\n\r\n", HEADER_LIMIT)
+        raw = members.until(b"\r\n\r\n")
         if not raw.startswith(b"WARC/1."):
             raise ValueError("not a WARC record")
         warc = _headers(raw)
         left = int(warc["content-length"])
         block, payload, size = hashlib.sha1(), hashlib.sha1(), 0
-        http = members.until(b"\r\n\r\n", HEADER_LIMIT)
+        http = members.until(b"\r\n\r\n")
         block.update(http)
         left -= len(http)
         declared = int(_headers(http)["content-length"])
@@ -204,13 +205,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, shape)
 
 
-def revisits(pages: DataFrame) -> DataFrame:
+def revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(page_id, digest, refers_to): the pages that another page of equal payload stands for."""
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.encode("html", "UTF-8").alias("payload"))
     keys = keys.where(F.octet_length("payload") >= LEAST_SHARED).select("page_id", F.sha1("payload").alias("digest"))
-    shared = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = keys.join(shared.drop("n"), "digest")
-    return found.where("refers_to is not null and not page_id <=> refers_to").dropDuplicates(["page_id", "digest"])
+    keys = scratch.keep(keys.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")), "digests")
+    shared = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1")
+    # both sides are written and nothing is grouped by digest after, so Spark can split a payload that very many pages have
+    found = keys.drop("n").join(scratch.keep(shared.drop("n"), "shared"), "digest")
+    return scratch.keep(found.where("refers_to is not null and not page_id <=> refers_to"), "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -219,7 +222,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or f"{scratch.folder}/archives-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode("html", "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= LEAST_SHARED, F.sha1("payload")).otherwise(""))
-    other = revisits(pages).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
+    other = revisits(pages, scratch).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
     rows = rows.join(other, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
     rows = rows.select("page_id", "url", "payload", "refers_to", F.col("__digest").isNotNull().alias("revisit"))
     return scratch.keep(rows.mapInArrow(_writer(folder), "path string, records bigint, bytes bigint"), "list")
