@@ -127,7 +127,7 @@ def schedule(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OT
         at = F.when(F.col("source").isNull(), null).when(at >= null, at + 1).otherwise(at)
     number = F.when(at >= 0, at).otherwise(len(names)).cast("long")
     # the order is settled by the whole row, so that a task that runs again ranks alike
-    rest = F.xxhash64(*[F.col(c) for c in docs.columns])
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))      # maps have no hash of their own
     rows = docs.withColumns({"__stream": number, "__u": F.xxhash64(F.lit(seed), F.col("doc_id")), "__h": rest})
 
     sizes = {r["__stream"]: r["n"] for r in rows.groupBy("__stream").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -312,5 +312,5 @@ def keep_one(docs: DataFrame, large: int = LARGE_BUCKET, block: int = BLOCK) ->
     rows = rows.join(heads, KEYS).where(F.col("row.doc_id").eqNullSafe(F.col("first_doc")))
     # rows equal in id and text differ in other columns at most; one is taken by partial maxima
     others = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"])
-    one = rows.groupBy(*KEYS).agg(F.min_by("row", F.xxhash64(others)).alias("row"))
+    one = rows.groupBy(*KEYS).agg(F.min_by("row", F.xxhash64(F.to_json(others))).alias("row"))
     return one.select("row.*")

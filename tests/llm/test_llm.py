@@ -4,6 +4,8 @@ import io
 import os
 import random
 import sys
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -168,6 +170,24 @@ def test_warc(spark):
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+def test_warc_of_a_long_url_and_a_hot_payload(spark):
+    url = "http://a.example/" + "p" * (2 << 20)
+    body = "<p>" + "same page " * 200
+    rows = [(1, url, "x" * 1500), (None, "u", body), (7, "u", body), (7, "u", body), (9, "u", None)] + [(i, f"u{i}", body) for i in range(20, 60)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows) and [r.url for r in got if r.page_id == 1] == [url]
+    same = [r for r in got if r.payload_bytes == len(body)]
+    assert [(r.page_id, r.refers_to) for r in same if r.record_type == "response"] == [(59, None)]
+    assert {r.refers_to for r in same if r.record_type == "revisit"} == {59}
+
+
+def test_map_columns(spark):
+    rows = spark.createDataFrame([(i, f"t {i % 3} " + "a b c d e f " * 3, "s", {"k": i}) for i in range(9)],
+                                 "doc_id long, text string, source string, m map<string,int>")
+    assert sorted(r.m["k"] for r in mixing.mix(rows).collect()) == list(range(9))
+    assert sorted(r.doc_id for r in ngram_join.keep_one(rows).collect()) == [0, 1, 2]
+
+
 def test_warc_reader_rejects_damage():
     good = warc.record(1, "u", b"payload" * 100, None, False) + warc.record(2, "u", b"", None, False)
     assert [r["payload_bytes"] for r in warc.read_records(io.BytesIO(good))] == [700, 0]
@@ -219,6 +239,22 @@ def test_html_of_other_languages_and_no_prose():
     assert html_blocks.main_text(f"{nav}<table>{cells}</table>{foot}").count("kg") == 9
 
 
+def test_html_of_deep_pages_and_formulas():
+    prose = "This is the text of the page and it was written for you, so that it has the words that are in it. " * 3
+    for page in ("<div>" * 100_000 + f"<p>{prose}</p>" + "</section></p>" * 100_000,
+                 f"<article><p>{prose}</p>" + "<div class=sidebar>x" * 20_000 + "</nav>" * 20_000,
+                 f"<div class=widget><p>{prose}</p>" * 3_000):
+        tracemalloc.start()
+        began = time.process_time()
+        text = html_blocks.main_text(page)
+        used, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert prose.strip() in text and peak < 50 << 20 and used < 20
+    formula = "<math><mi>a</mi><mo>+</mo><msup><mi>b</mi><mn>2</mn></msup><annotation>\\tex</annotation></math>"
+    assert html_blocks.main_text(f"<article><p>{prose} Here {formula} is.</p><noscript><p>{prose}</p></noscript></article>") == \
+        f"{prose.strip()} Here a+b2 is.\n{prose.strip()}"
+
+
 def test_html_hints_are_whole_tokens_and_give_way():
     prose = ("It was the end of the day and they were on the way to it, as they had been for most of the week before. " * 3).strip()
     more = ("He had been with her for all of the time that was left, and it was not as long as they had been told. " * 2).strip()
