@@ -6,7 +6,8 @@ are a window of their own; the rest goes to the open window with the least room
 that still holds it.  When none does, the fullest window is emitted if no more
 may be open, and a new one begins.  Windows still open at the end of a task are
 leftovers: they are merged across tasks by the same rule, in rounds that bring
-64 tasks' leftovers together, until one task has them all.
+64 tasks' leftovers together.  A round settles the windows it fills or emits and
+hands on its open ones only, so no task ever sees more than 64 x 64 of them.
 
 Sequence ids follow the order of the rows: by the first window's task, and in
 it by when the window began.
@@ -183,9 +184,10 @@ def _merger(window: int, most: int):
         room = {number: room for room, number in open_.open}
         for r in rows:
             r["to_used"] = window - room.get(r["to_window"], 0)
+            r["open"] = int(r["to_window"] in room)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, pa.schema([(k, pa.int64()) for k in (
-                "task", "window", "used", "to_task", "to_window", "to_offset", "to_used")]))
+                "task", "window", "used", "to_task", "to_window", "to_offset", "to_used", "open")]))
     return run
 
 
@@ -217,30 +219,33 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, window: int = WI
     packed = scratch.keep(packed, "pieces")     # the tasks' windows are settled from here on
 
     left = packed.where("left_room is not null").select("task", "window", (window - F.col("left_room")).alias("used"))
-    # where each leftover window stands now: (round, task, window, base)
-    moves = left.selectExpr("task", "window", "task to_task", "window to_window", "0L base")
+    # where each leftover window stands now, and since which round
+    moves = left.selectExpr("task", "window", "0 since", "task to_task", "window to_window", "0L base")
     tasks, rounds = left.select(F.max("task")).first()[0], 0
     shape = ("task bigint, window bigint, used bigint, to_task bigint, to_window bigint, to_offset bigint, "
-             "to_used bigint")
+             "to_used bigint, open bigint")
     while tasks is not None:
         rounds += 1
         groups = tasks // fan_in + 1
-        gathered = left.repartition(groups, F.floor(F.col("task") / fan_in)) if groups > 1 else left.coalesce(1)
+        gathered = left.repartitionById(groups, F.floor(F.col("task") / fan_in).cast("int")) if groups > 1 else left.coalesce(1)
         merged = scratch.keep(gathered.mapInArrow(_merger(window, open_windows), shape), "merged")
         step = merged.select(F.col("task").alias("a"), F.col("window").alias("b"), F.col("to_task").alias("c"),
                              F.col("to_window").alias("d"), "to_offset")
-        moves = moves.join(step, (F.col("to_task") == F.col("a")) & (F.col("to_window") == F.col("b"))).select(
-            "task", "window", F.col("c").alias("to_task"), F.col("d").alias("to_window"),
-            (F.col("base") + F.col("to_offset")).alias("base"))
+        # windows that an earlier round settled stay where they are
+        here = (F.col("since") == rounds - 1) & (F.col("to_task") == F.col("a")) & (F.col("to_window") == F.col("b"))
+        moves = moves.join(step, here, "left").select(
+            "task", "window", F.when(F.col("a").isNotNull(), rounds).otherwise(F.col("since")).alias("since"),
+            F.coalesce("c", "to_task").alias("to_task"), F.coalesce("d", "to_window").alias("to_window"),
+            (F.col("base") + F.coalesce("to_offset", F.lit(0))).alias("base"))
         if groups == 1:
             break
-        left = merged.groupBy(F.col("to_task").alias("task"), F.col("to_window").alias("window")).agg(
+        left = merged.where("open = 1").groupBy(F.col("to_task").alias("task"), F.col("to_window").alias("window")).agg(
             F.max("to_used").alias("used"))
         tasks = groups - 1
 
     # ids follow the order of the rows: a merged window has the number of the first window in it, made odd
     number = lambda task, win, odd: F.shiftleft(task, 33).bitwiseOR(F.shiftleft(win, 1)).bitwiseOR(F.lit(odd))
-    merged_window = W.partitionBy("to_task", "to_window")
+    merged_window = W.partitionBy("since", "to_task", "to_window")
     moves = moves.withColumn("first", F.min(number(F.col("task"), F.col("window"), 1)).over(merged_window))
     pieces = packed.where("left_room is null").drop("left_room")
     placed = pieces.join(moves, ["task", "window"], "left")
