@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from factgraph.functions.storage import Scratch
+from factgraph.llm.ranking import around_least
 
 K = 20
 FIT_ROWS = 16_384
@@ -239,8 +240,8 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, recall: float =
     the rows whose id is divisible by ``every``."""
     scratch = Scratch(vectors.sparkSession, "neighbours")
     rows = valid(vectors)
-    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id", "embedding").limit(fit_rows).select("embedding").toArrow()
-    n = rows.count()
+    n, u = rows.count(), F.xxhash64(F.lit(SEED), "vec_id")
+    sample = around_least(rows, u, fit_rows, n).orderBy(u, "vec_id", "embedding").limit(fit_rows).select("embedding").toArrow()
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
@@ -250,7 +251,8 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, recall: float =
     queries = assigned.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(
         F.min("embedding").alias("query"), F.count(F.lit(1)).alias("copies"))
     queries = queries.withColumnRenamed("vec_id", "query_id")
-    ask = queries.orderBy(F.xxhash64(F.lit(SEED + 1), "query_id"), "query_id").limit(CALIBRATE).toArrow()
+    u = F.xxhash64(F.lit(SEED + 1), "query_id")
+    ask = around_least(queries, u, CALIBRATE, n // every).orderBy(u, "query_id").limit(CALIBRATE).toArrow()
     if not ask.num_rows:
         return assigned.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factgraph.llm.ranking import around_least
+
 DIMS = 1 << 18
 FIT_ROWS = 8192
 LEAST_DOCS = 4
@@ -166,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     rated = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     rated = rated.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     # chosen among the ratings, before any text is read; at most fit_rows rows are broadcast
-    chosen = rated.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(fit_rows)
+    u = F.xxhash64(F.lit(SEED), "doc_id")
+    chosen = around_least(rated, u, fit_rows, labels.count()).orderBy(u, "doc_id").limit(fit_rows)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
     sample = sample.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
     table = sample.select("grade", "text").mapInArrow(_features, "grade int, places array<bigint>").toArrow()

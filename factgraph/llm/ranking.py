@@ -35,3 +35,17 @@ def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[str],
         .withColumn(rank, (F.col("__before") + F.col("__in")).cast("long"))
         .drop("__in", "__before")
     )
+
+
+def around_least(df: DataFrame, u: Column, wanted: int, total: int) -> DataFrame:
+    """Rows among which are the ``wanted`` ones with the least 64-bit hashes ``u``, about twice as many.
+
+    They are few before anything is sorted, whatever the number of rows or tasks.
+    """
+    share = (2 * wanted + 64) / max(total, 1)
+    while share < 1:
+        some = df.where(u.cast("double") < F.lit((share - 0.5) * 2.0 ** 64))
+        if some.limit(wanted).count() >= wanted:
+            return some
+        share *= 2
+    return df

@@ -378,6 +378,45 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_merge_rounds_hand_on_open_windows_only(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, words(rng, rng.randint(1, 400))) for i in range(400)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    kept = []
+    plain_keep = packing.Scratch.keep
+    monkeypatch.setattr(packing.Scratch, "keep", lambda self, df, name="t": kept.append((name, plain_keep(self, df, name))) or kept[-1][1])
+    found = packing.pack(rows, open_windows=3, fan_in=4).collect()
+    merged = [df for name, df in kept if name == "merged"]
+    assert len(merged) == 3         # 40 tasks, 10, 3, 1
+    for df in merged:
+        assert max(r["count"] for r in df.groupBy("to_task").count().collect()) <= 4 * 3
+    assert sorted((r.doc_id, r.start) for r in found) == sorted((r.doc_id, 0) for r in found) and len(found) == 400
+    held = collections.defaultdict(list)
+    for r in found:
+        held[r.sequence_id].append((r.offset, r.length))
+    for pieces in held.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(held) < 1.2 * sum(r.length for r in found) / 2048 + 3       # three open windows leave some room
+
+
+def test_samples_are_few_rows_of_every_size(spark):
+    from pyspark.sql import functions as F
+    from factgraph.llm.ranking import around_least
+    rows = spark.range(200_000)
+    u = F.xxhash64("id")
+    some = around_least(rows, u, 1000, 200_000)
+    assert 1000 <= some.count() < 3000
+    want = [r.id for r in rows.orderBy(u).limit(1000).collect()]
+    assert [r.id for r in some.orderBy(u).limit(1000).collect()] == want
+    # far fewer rows than stated, and one key in all of them
+    assert around_least(rows.limit(50), u, 1000, 10 ** 9).count() == 50
+    assert around_least(rows.select(F.lit(7).alias("id")), u, 1000, 200_000).count() == 200_000
+
+
 def test_token_ids_equal_the_tokenizer():
     ids, rng = packing.Ids(packing.tokenizer_paths()), random.Random(4)
     pieces = ["a", "b", " ", "  ", "\n", "\t", "é", "12", "'s", "!", "<|endoftext|>", "\x1c", " ", "中", "\r\n", "👍", " \n", "\x85"]
