@@ -458,6 +458,13 @@ CHANGES = {
     "changes_collapse": CHG + f"SELECT path, {_KIND} FROM rel GROUP BY path",
     "changes_coalesce": CHG + f"""SELECT strftime(date_trunc('hour', ts), {_FMT}) AS batch_start, path, {_KIND}
         FROM rel GROUP BY date_trunc('hour', ts), path""",
+    "changes_debounce": CHG.replace("WITH", "WITH RECURSIVE", 1) + f""",
+        r AS (SELECT *, regexp_extract(path, '[0-9]') AS root FROM rel),
+        opened AS (SELECT root, min(ts) AS t FROM r GROUP BY root UNION ALL
+            SELECT opened.root, min(r.ts) FROM opened JOIN r ON r.root = opened.root AND r.ts >= opened.t + INTERVAL 6 HOUR
+            GROUP BY opened.root, opened.t)
+        SELECT r.root, strftime(t, {_FMT}) AS batch_start, path, {_KIND} FROM r ASOF JOIN opened ON r.root = opened.root AND r.ts >= t
+        GROUP BY r.root, t, path""",
     "changes_bursts": CHG + f""", gap AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first
             FROM rel WINDOW w AS (PARTITION BY path ORDER BY ts)),
         burst AS (SELECT *, sum(first) OVER (PARTITION BY path ORDER BY ts) AS b FROM gap)

@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factgraph import schema as S
 from factgraph.functions.storage import Scratch
-from factgraph.operators import (checks, domains as domain_ops, incremental, live, lookups, louvain, resolve,
+from factgraph.operators import (checks, domains as domain_ops, fingerprints, incremental, live, lookups, louvain, resolve,
                                  search, store, subgraph, summary)
 from factgraph.sources import extract, generated, results, tree
 from factgraph.sources.tables import table, table_edges, table_nodes
-from factgraph.streaming import changes
+from factgraph.streaming import changes, debounce
 
 
 _kept = {}
@@ -243,8 +243,22 @@ FILES = {
 
 # -- incremental --------------------------------------------------------------
 
+def _kept_snapshot(spark, sf, name, table, key):
+    """A snapshot with fingerprints, written once."""
+    at = (spark.sparkContext.applicationId, sf, "snapshot", name)
+    if at not in _kept:
+        _kept[at] = Scratch(spark, "snapshot").folder
+        fingerprints.write_snapshot(table(), key, _kept[at])
+    return fingerprints.read_snapshot(spark, _kept[at])
+
+
+def _file_snapshots(spark, sf):
+    return [_kept_snapshot(spark, sf, name, lambda f=f: f(spark, sf).select("filepath", "file_hash"), ["filepath"])
+            for name, f in (("files", generated.java_files), ("files after", generated.java_files_after))]
+
+
 def _diff(spark, sf):
-    return incremental.diff_files(generated.java_files(spark, sf), generated.java_files_after(spark, sf))
+    return fingerprints.diff_files(*_file_snapshots(spark, sf))
 
 
 def _updated(spark, sf):
@@ -269,7 +283,8 @@ def _snapshot_diff(spark, sf):
     after = nodes.where("NOT (node_type = 'ConditionalBranch' AND docstring LIKE '%> 1)')").withColumn(
         "signature", F.expr("CASE WHEN signature = 'order(P)' THEN 'order(F)' ELSE signature END"))
     before = nodes.where("NOT (node_type = 'Function' AND docstring LIKE '%ECONOMY')")
-    return incremental.snapshot_diff(before, after)
+    return fingerprints.snapshot_diff(*[_kept_snapshot(spark, sf, name, lambda t=t: t, S.NODE_KEY)
+                                        for name, t in (("nodes", before), ("nodes after", after))])
 
 
 def _vanished(spark, sf):
@@ -282,8 +297,7 @@ def _vanished(spark, sf):
 
 
 def _two_runs(spark, sf):
-    runs = [f(spark, sf).select("filepath", "file_hash") for f in (generated.java_files, generated.java_files_after)]
-    return checks.differing_rows(*runs)
+    return fingerprints.differing_rows(*_file_snapshots(spark, sf))
 
 
 def _live(spark, sf):
@@ -398,6 +412,8 @@ CHANGES = {
     "changes_collapse": _changes_query(lambda c: changes.collapse(changes.file_changes(c))),
     "changes_coalesce": _changes_query(lambda c: _text_time(changes.coalesce_changes(
         changes.file_changes(c), "1 hour"), "batch_start")),
+    "changes_debounce": _changes_query(lambda c: _text_time(debounce.debounce(
+        changes.file_changes(c).withColumn("root", F.regexp_extract("path", "[0-9]", 0)), ["root"], 6 * 3_600_000), "batch_start")),
     "changes_bursts": _changes_query(lambda c: _text_time(changes.coalesce_changes(
         changes.file_changes(c), gap="6 hours"), "batch_start")),
 }

@@ -1,0 +1,57 @@
+"""Snapshots compared by fingerprints against comparing all rows."""
+
+from pyspark.sql import functions as F
+
+from factgraph.operators import checks, domains, fingerprints as P, incremental
+
+
+def kept(spark, df, folder, key, buckets=16):
+    P.write_snapshot(df, key, str(folder), buckets)
+    return P.read_snapshot(spark, str(folder))
+
+
+def test_differences_are_those_of_the_tables(spark, tmp_path):
+    base = spark.range(2000).selectExpr("'p' || id AS filepath", "'h' || id % 7 AS file_hash")
+    later = base.where("filepath <> 'p3'").unionByName(spark.createDataFrame([("new", "h"), ("none", None)], base.schema)).withColumn(
+        "file_hash", F.when(F.col("filepath") == "p1999", "x").otherwise(F.col("file_hash")))
+    a, b = kept(spark, base, tmp_path / "a", ["filepath"]), kept(spark, later, tmp_path / "b", ["filepath"])
+    differ = P.differing_buckets(a, b)
+    assert 1 <= len(differ) <= 4
+    # only these buckets are read
+    assert sum(d.count() for d in P.differing_parts(a, b)) < 2 * 2000 * 5 / 16
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(P.diff_files(a, b)) == key(incremental.diff_files(base, later))
+    assert key(P.differing_rows(a, b)) == key(checks.differing_rows(base, later))
+
+
+def test_equal_snapshots_read_no_rows(spark, tmp_path):
+    base = spark.range(500).selectExpr("'p' || id AS filepath", "'h' AS file_hash", "map('a', id) AS m")
+    a = kept(spark, base.repartition(5), tmp_path / "a", ["filepath"])
+    b = kept(spark, base.orderBy(F.desc("filepath")), tmp_path / "b", ["filepath"])
+    assert P.differing_buckets(a, b) == []
+    left, right = P.differing_parts(a, b)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert left.isEmpty() and right.isEmpty() and "LocalRelation <empty>" in plan
+    assert P.fingerprints(a.rows).count() <= 16
+
+
+def test_copies_and_nulls_count(spark, tmp_path):
+    rows = [("a", "1"), ("a", "1"), ("b", None), (None, None)]
+    once = spark.createDataFrame(rows[1:], "filepath string, file_hash string")
+    # a copy more, and a null that turns into a text
+    other = [spark.createDataFrame(rows, once.schema), spark.createDataFrame([("a", "1"), ("b", "null"), (None, None)], once.schema)]
+    first = kept(spark, once, tmp_path / "first", ["filepath"])
+    for i, df in enumerate(other):
+        second = kept(spark, df, tmp_path / str(i), ["filepath"])
+        assert len(P.differing_buckets(first, second)) == 1
+        assert not P.differing_rows(first, second).isEmpty()
+    empty = kept(spark, once.limit(0), tmp_path / "none", ["filepath"])
+    assert P.differing_rows(first, empty).count() == 3 and P.differing_buckets(empty, empty) == []
+
+
+def test_domains_that_changed(spark, tmp_path):
+    before = spark.createDataFrame([(f"u{i}", f"D{i % 40}") for i in range(400)], "uid string, domain_uid string")
+    after = before.withColumn("domain_uid", F.when(F.col("uid") == "u7", "D8").otherwise(F.col("domain_uid")))
+    a, b = (kept(spark, df, tmp_path / n, ["domain_uid"], 64) for n, df in (("a", before), ("b", after)))
+    want = sorted(map(tuple, domains.changed_domains(before, after).collect()))
+    assert sorted(map(tuple, P.changed_domains(a, b).collect())) == want == [("D7", "changed"), ("D8", "changed")]
