@@ -544,5 +544,9 @@ OTHER = {
 }
 
 
+CORE |= {f"{name}_stored": CORE[name] for name in ("callers", "callers_of_symbol", "callees_of_symbol", "context_of_symbol")}
+CORE["context_stored"] = CORE["code_context"]
+
+
 def all_sql():
     return {**CORE, **FILES, **INCREMENTAL, **SEARCH, **CHANGES, **DOMAINS, **OTHER}

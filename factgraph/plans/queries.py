@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factgraph import schema as S
 from factgraph.functions.storage import Scratch
-from factgraph.operators import (checks, domains as domain_ops, fingerprints, incremental, live, lookups, louvain, resolve,
+from factgraph.operators import (adjacency, checks, domains as domain_ops, fingerprints, incremental, live, lookups, louvain, resolve,
                                  search, store, subgraph, summary)
 from factgraph.sources import extract, generated, results, tree
 from factgraph.sources.tables import table, table_edges, table_nodes
@@ -107,7 +107,25 @@ def _graph_round_trip(spark, sf):
     return store.read_graph(spark, folder)[1].drop("raw_target")
 
 
+def _view(spark, sf):
+    """The stored neighbourhoods of the graph."""
+    key = (spark.sparkContext.applicationId, sf, "view")
+    if key not in _kept:
+        _kept[key] = Scratch(spark, "view").folder
+        adjacency.write_view(*stored(spark, sf), _kept[key])
+    return adjacency.read_view(spark, _kept[key])
+
+
+def _on_view(fn, name=None):
+    return lambda spark, sf: fn(_view(spark, sf), name)
+
+
 CORE = {
+    "callers_stored": _on_view(adjacency.get_callers),
+    "callers_of_symbol_stored": _on_view(adjacency.get_callers, "Supplier#000000001"),
+    "callees_of_symbol_stored": _on_view(adjacency.get_callees, "order_1"),
+    "context_stored": _on_view(adjacency.get_code_context),
+    "context_of_symbol_stored": _on_view(adjacency.get_code_context, "Supplier#000000001"),
     "resolve_calls": _on_graph(resolve.resolve_calls),
     "node_summary": _on_graph(lambda n, e: summary.node_summary(n)),
     "edge_summary": _on_graph(lambda n, e: summary.edge_summary(e)),
