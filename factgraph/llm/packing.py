@@ -37,6 +37,7 @@ OPEN_WINDOWS = 64
 FAN_IN = 64
 END = 1
 CACHED_WORDS = 250_000
+LEARNED_AT_ONCE = 20_000
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -45,24 +46,20 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Uneven(Exception):
-    """A word that white space begins or ends: its text is encoded whole."""
+def _words(text: str) -> list[str]:
+    """Words of a text; one that begins a line comes with a line feed before it, also where the text begins."""
+    found = []
+    for line in text.split("\n"):
+        words = line.split(" ")
+        words[0] = "\n" + words[0]
+        found += words
+    return found
 
 
-class Words(dict):
-    """Ids of words behind ``before`` as bytes; at most ``CACHED_WORDS`` are kept."""
-
-    def __init__(self, encode, before: str):
-        super().__init__()
-        self.encode, self.before = encode, before
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise Uneven
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = self.encode(self.before + word)
-        return found
+def _uneven(word: str) -> bool:
+    """White space begins or ends it, so tokens may reach across: its text is encoded whole."""
+    own = word[word[:1] == "\n":]
+    return not own or own[0].isspace() or own[-1].isspace()
 
 
 class Ids:
@@ -73,7 +70,7 @@ class Ids:
     same ids in a fraction of the time; a text that holds the string of a
     special token is left to ``tokenizers``.  The splitting pattern always
     begins a token at a single space or line feed between two visible
-    characters, so words are encoded once and remembered.
+    characters, so words are encoded once, many at a time, and remembered.
     """
 
     def __init__(self, paths: tuple[str, str]):
@@ -86,23 +83,48 @@ class Ids:
         with open(paths[1], "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.first, self.later = Words(self.ordinary, ""), Words(self.ordinary, " ")
-        self.feed = self.ordinary("\n")
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        # ids of a word behind a space, or behind the line feed it comes with
+        self.known: dict[str, bytes] = {}
+        self.feed = len(self.ordinary("\n"))
 
     def ordinary(self, text: str) -> bytes:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        for lo in range(0, len(words), LEARNED_AT_ONCE):
+            some = words[lo:lo + LEARNED_AT_ONCE]
+            # something visible comes before the first of them
+            units = ["x", *[w if w[0] == "\n" else " " + w for w in some]]
+            ids = self.fast.encode_to_numpy("".join(units), disallowed_special=())
+            ends = np.cumsum(self.sizes[ids])
+            stops = (4 * (np.searchsorted(ends, np.cumsum([len(u.encode()) for u in units])) + 1)).tolist()
+            data = ids.astype("<u4").tobytes()
+            self.known.update(zip(some, [data[a:b] for a, b in zip(stops, stops[1:])]))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) >= CACHED_WORDS:
+            self.known.clear()
+        special = [any(s in text for s in self.special) for text in texts]
+        split = [[] if own else _words(text) for text, own in zip(texts, special)]
+        new = set().union(*split) - self.known.keys()
+        uneven = set(filter(_uneven, new))
+        self.learn(sorted(new - uneven))
+        out = []
+        for text, own, words in zip(texts, special, split):
+            if own:
+                out.append(np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            elif not uneven.isdisjoint(words):
+                out.append(self.ordinary(text))
+            else:
+                # no line feed comes before the text itself
+                out.append(b"".join(map(self.known.__getitem__, words))[self.feed:])
+        return out
+
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        try:
-            lines = []
-            for line in text.split("\n"):
-                first, *more = line.split(" ")
-                lines.append(self.first[first] + b"".join(map(self.later.__getitem__, more)))
-            return self.feed.join(lines)
-        except Uneven:
-            return self.ordinary(text)
+        return self.encode_many([text])[0]
 
 
 class Windows:
@@ -153,8 +175,8 @@ def _packer(paths: tuple[str, str], window: int, most: int):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows, source = [], []
-                for i, text in enumerate(part.column(1)):
-                    tokens = ids.encode(text.as_py() or "") + end
+                for i, tokens in enumerate(ids.encode_many([text or "" for text in part.column(1).to_pylist()])):
+                    tokens += end
                     n = len(tokens) // 4
                     for start in range(0, n, window):
                         piece = tokens[4 * start:4 * (start + window)]
