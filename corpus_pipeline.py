@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.functions.storage import shared_folder
+from factgraph.functions.storage import dropping_scratch, remove, shared_folder
 from factgraph.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 
 STAGES = [
@@ -29,6 +29,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/factgraph/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with dropping_scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:       # the stage before is read no more
+            remove(spark, f"{folder}/{i - 1}")
     return docs

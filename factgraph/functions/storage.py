@@ -5,6 +5,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -84,6 +85,22 @@ def publish(spark: SparkSession, folder: str, write: Callable[[str], None]) -> N
     spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{folder}/commits")
 
 
+_scope: list[str] | None = None
+
+
+@contextmanager
+def dropping_scratch(spark: SparkSession):
+    """Remove the tables of every ``Scratch`` that is made inside; what is read of them has to be written elsewhere before."""
+    global _scope
+    outer, _scope = _scope, []
+    try:
+        yield
+    finally:
+        made, _scope = _scope, outer
+        for folder in made:
+            remove(spark, folder)
+
+
 class Scratch:
     """Parquet tables of one job under the shared folder.
 
@@ -94,6 +111,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/factgraph/{label}-{uuid.uuid4().hex}"
+        if _scope is not None:
+            _scope.append(self.folder)
         self._tables = {}
         self._n = 0
 
