@@ -16,7 +16,10 @@ stream at most.  No row is dropped or repeated.
 Every source is a stream: a listed one with its share, each other one, null
 included, with an equal part of OTHER_SHARE.  Only when more than
 ``most_sources`` sources are not listed do these share one stream, inside which
-the Pfair order of equal weights is kept: a block of each source in turn.
+the Pfair order of equal weights is kept: a block of each source in turn.  Of S
+such sources each is off by at most (S - 1)/S of a block inside the stream, and
+by less than 1/S through the stream: by less than a block together, while none
+of them has ended.  The stream keeps its share until its last source ends.
 
 Nulls: a null source is a source of its own; a null ``doc_id`` sorts first.  Repeated rows get a position each.  An empty table
 gives an empty result.  Other columns are passed through by ``mix``.

@@ -3,6 +3,7 @@ import hashlib
 import io
 import os
 import random
+import re
 import sys
 import time
 import tracemalloc
@@ -97,10 +98,25 @@ def test_every_source_has_its_share(spark, most):
     assert sorted(r.position for r in got) == list(range(len(rows)))
     order = [r.source for r in sorted(got, key=lambda r: r.position)]
     weight = {s: {"src0": 4, "src1": 3}.get(s, 1) / 14 for s in sizes}
-    # while no source has ended, every stretch from the start holds each one's part within a block (two in a pool)
+    # while no source has ended, every stretch from the start holds each one's part within a block, in a pool, too
     for t in range(0, 1300, 4):
         seen = collections.Counter(order[:t])
-        assert all(abs(seen[s] - w * t) < (4 if most == 64 else 8) + 1e-9 for s, w in weight.items()), t
+        assert all(abs(seen[s] - w * t) < 4 + 1e-9 for s, w in weight.items()), t
+
+
+def test_many_unlisted_sources_keep_within_a_block(spark):
+    """200 sources in a pool: turns among equals and the pool's own slots are off by less than one block together."""
+    sizes = {"src0": 900, None: 16, **{f"new{i}": 16 for i in range(198)}, "hot": 3000}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    table = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = mixing.positions(table, weights={"src0": 5}, other=9, block_rows=4).collect()
+    order = [r.source for r in sorted(got, key=lambda r: r.position)]
+    weight = {s: 5 / 14 if s == "src0" else 9 / 14 / 200 for s in sizes}
+    seen, done = collections.Counter(), 0
+    for t in range(0, 900 * 14 // 5 - 8, 4):        # until the first source ends
+        seen.update(order[done:t])
+        done = t
+        assert all(abs(seen[s] - w * t) < 4 for s, w in weight.items()), t
 
 
 def plain_measures(text):
@@ -522,19 +538,91 @@ def test_ordinal_held_out(spark, docs, none):
     assert ordinal.grade(docs, labels.limit(0)).count() == docs.count()
 
 
+def plain_keep_one(rows):
+    """Of each class of linked rows, the one with the least id (null last); equal rows once."""
+    links = plain_links([r.text for r in rows])
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        root[max(top(i), top(j))] = min(top(i), top(j))
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[top(i)].append(rows[i])
+    return [min(g, key=lambda r: (r.doc_id is None, r.doc_id or 0)) for g in groups.values()]
+
+
+def plain_links(texts):
+    shingles = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        shingles.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return [(i, j) for i in range(len(texts)) for j in range(i)
+            if (texts[i] or "") == (texts[j] or "") or shingles[i] and 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j])]
+
+
+def plain_without_repeats(rows, length=200):
+    """Texts without the bytes of strings that start twice; cut characters go, and texts of which nothing is left."""
+    bodies = [(r.text or "").encode() for r in rows]
+    count = collections.Counter(b[i:i + length] for b in bodies for i in range(len(b) - length + 1))
+    out = []
+    for r, b in zip(rows, bodies):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        if not any(gone):
+            out.append((r.doc_id, r.text))
+            continue
+        pieces = "".join(bytes(c for c, g in run if not g).decode("utf-8", "ignore") for run in [list(zip(b, gone))])
+        if pieces.strip():
+            out.append((r.doc_id, pieces))
+    return out
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
+    from factgraph.functions.storage import shared_folder
+    rng = random.Random(31)
+    passage = words(rng, 60)
+    more = [(100 + i, words(rng, 70 + 5 * i) + (" " + passage if i % 3 == 0 else "") + " end of it", "en", f"src{i % 8}", 1, 1, "r", 2, 3) for i in range(12)]
+    docs = docs.unionByName(spark.createDataFrame(more, DOCS))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    at = docs
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        at = stage(spark, at, str(tmp_path))
+    # every stage against a plain version of it, on what the stage before kept
+    at, kept = docs, []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before = at.collect()
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/stage{i}")
+        at = spark.read.parquet(f"{tmp_path}/stage{i}")
         assert at.columns == docs.columns, name
-    # the base text stands for its class, loses nothing to itself, and short or repetitive texts went first
-    expected = {r.doc_id for r in ngram_join.keep_one(quality_rules.keep(docs)).collect()}
+        kept.append((before, at.collect()))
+    key = lambda rows: sorted((str(r[0]), r[1]) for r in rows)
+    (given, good), (_, one), (_, cut), (_, mixed) = kept
+    pack = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    fine = [r for r in given if not plain_measures(r.text)[-1] and quality_rules.measures((r.text or "").encode(), pack)[6]]
+    assert key(good) == key(fine) and len(good) > 15
+    assert key(one) == key(plain_keep_one(good)) and len(one) < len(good)
+    assert key(cut) == key(plain_without_repeats(one)) and any(r.text not in {x.text for x in one} for r in cut)
+    assert sorted(map(str, mixed)) == sorted(map(str, cut))
+    def stored():
+        return {os.path.join(d, f) for d, _, files in os.walk(f"{shared_folder(spark)}/factgraph") for f in files}
+
+    known = stored()
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in packed} == expected == {r.doc_id for r in at.collect()}
-    removed = {r.doc_id: r.text for r in at.collect()}
-    assert all(len(t.encode()) > 0 for t in removed.values())
+    from tokenizers import Tokenizer
+    exact = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    want = {str(r.doc_id): np.array(exact.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4") for r in mixed}
+    assert {str(r.doc_id) for r in packed} == set(want)
+    for r in packed:
+        ids = want[str(r.doc_id)]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+    # nothing but the last stage is left in the shared folder
+    left = stored() - known
+    assert left and all("/pipeline-" in f and "/4/" in f for f in left), left
 
 
 def test_packing_keeps_the_mixed_order(spark, tmp_path):
