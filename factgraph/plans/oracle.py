@@ -482,6 +482,8 @@ _DOMAINS = """dom AS (SELECT 'Domain_' || n_nationkey AS uid, 'Domain ' || n_nat
 DOM = STORE.rstrip() + ",\n" + _DOMAINS + "\n"
 
 DOMAINS = {
+    "louvain_check": STORE + """SELECT count(*) AS grouped, count(DISTINCT uid) AS nodes, true AS no_worse FROM allnode
+        WHERE node_type IN ('Class', 'Function', 'Interface')""",
     "named_domains": STORE + """, g AS (SELECT count(*) AS member_count, min(uid) AS first_uid FROM allnode
             WHERE node_type = 'Function' AND filepath <> 'lib' GROUP BY split_part(uid, '.', 1) HAVING count(*) >= 3),
         r AS (SELECT member_count, row_number() OVER (ORDER BY member_count DESC, first_uid) - 1 AS i FROM g)

@@ -507,7 +507,23 @@ def _fixed_modularity(spark, sf):
     return louvain.modularity(membership, edges).select(F.round("modularity", 9).alias("modularity"))
 
 
+def _partition_check(spark, sf):
+    """Found communities hold every node once, and are no worse than grouping by nation."""
+    nodes, edges = subgraph.domain_projection(*stored(spark, sf))
+    found = _communities(spark, sf)
+    # what belongs to no nation stands alone
+    nations = nodes.select("uid").join(nation_domains(spark, sf)[1], "uid", "left").select(
+        "uid", F.coalesce("domain_uid", "uid").alias("community"))
+    held = nodes.select("uid").join(found, "uid", "left").agg(
+        F.count("community").alias("grouped"), F.countDistinct("uid").alias("nodes"))
+    rows = held.unionByName(louvain.modularity(found, edges).withColumnRenamed("modularity", "q"), allowMissingColumns=True) \
+        .unionByName(louvain.modularity(nations, edges).withColumnRenamed("modularity", "by_nation"), allowMissingColumns=True)
+    return rows.agg(F.max("grouped").alias("grouped"), F.max("nodes").alias("nodes"),
+                    (F.max("q") >= F.max("by_nation")).alias("no_worse"))
+
+
 DOMAINS = {
+    "louvain_check": _partition_check,
     "named_domains": _named,
     "domains_round_trip": _domains_round_trip,
     "domain_summary_fn": _domain_query(lambda d, m, n: domain_ops.summarise(d, m, n, domain_ops.by_text(_size_or_failure))),
