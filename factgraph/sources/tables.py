@@ -85,10 +85,15 @@ def table_nodes(spark: SparkSession, folder: str) -> DataFrame:
     ])
 
 
-def _edges(df, source, target, edge_type, filepath, line="NULL"):
-    return df.selectExpr(
-        f"{source} AS source_uid", f"{target} AS target_uid", f"'{edge_type}' AS edge_type",
-        f"{filepath} AS filepath", f"CAST({line} AS INT) AS line", f"{target} AS raw_target")
+def _edge(source, target, edge_type, filepath, line="NULL", when="true"):
+    """An edge of a row as a struct, null unless ``when``."""
+    return (f"CASE WHEN {when} THEN named_struct('source_uid', {source}, 'target_uid', {target}, 'edge_type', '{edge_type}', "
+            f"'filepath', {filepath}, 'line', CAST({line} AS INT), 'raw_target', {target}) END")
+
+
+def _edges(df, *edges):
+    """Several edges of each row in one pass."""
+    return df.select(F.inline(F.filter(F.expr(f"array({', '.join(edges)})"), lambda e: e.isNotNull())))
 
 
 def table_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,25 +101,27 @@ def table_edges(spark: SparkSession, folder: str) -> DataFrame:
     supplier, part = table(spark, folder, "supplier"), table(spark, folder, "part")
     customers, orders = _customers(spark, folder), _orders(spark, folder)
     lines, raw = _lines(spark, folder)
-    sold = salted_join(lines, supplier.select("s_suppkey", "s_name"), "l_suppkey", "s_suppkey", hot_from=raw)
-    made = salted_join(lines, part.select("p_partkey", "p_name"), "l_partkey", "p_partkey", hot_from=raw)
+    # a line calls its supplier and its part, and may hold a branch
+    lines = salted_join(lines, supplier.selectExpr("s_suppkey", "s_name", "true AS sold"), "l_suppkey", "s_suppkey", "left", hot_from=raw)
+    lines = salted_join(lines, part.selectExpr("p_partkey", "p_name", "true AS made"), "l_partkey", "p_partkey", "left", hot_from=raw)
     nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     at_home = salted_join(customers, nation.select("n_nationkey", "n_regionkey"), "c_nationkey", "n_nationkey")
     return _union([
-        _edges(customers, "file_uid", "class_uid", S.CONTAINS, "file_uid"),
-        _edges(supplier, "concat('f/n', s_nationkey)", "concat('f/n', s_nationkey, ':s', s_suppkey)",
-               S.CONTAINS, "concat('f/n', s_nationkey)"),
-        _edges(orders, "class_uid", "order_uid", S.CONTAINS, "file_uid"),
-        _edges(sold, "order_uid", "concat('unresolved:supply.', s_name)", S.CALLS, "file_uid", "l_linenumber"),
-        _edges(made, "order_uid", "concat('unresolved:catalog.', p_name)", S.CALLS, "file_uid", "l_linenumber"),
-        _edges(orders.where("o_orderpriority = '1-URGENT'"), "order_uid",
-               "concat('unresolved:', c_name, '.<init>')", S.CALLS, "file_uid", "0"),
-        _edges(customers, "class_uid", "concat('unresolved:', c_mktsegment)", S.EXTENDS, "file_uid", "1"),
-        _edges(at_home, "class_uid", "concat('lib/r', n_regionkey)", S.IMPLEMENTS, "file_uid", "1"),
-        _edges(nations, "concat('f/n', n_nationkey)", "concat('import:', r_name)", S.IMPORTS,
-               "concat('f/n', n_nationkey)", "1"),
-        _edges(lines.where("l_returnflag = 'R'"), "order_uid",
-               "concat(order_uid, ':branch@L', l_linenumber)", S.HAS_BRANCH, "file_uid", "l_linenumber"),
-        _edges(orders.where("o_orderstatus = 'F'"), "order_uid", "concat(order_uid, ':return@L1')",
-               S.RETURNS, "file_uid", "1"),
+        _edges(customers,
+               _edge("file_uid", "class_uid", S.CONTAINS, "file_uid"),
+               _edge("class_uid", "concat('unresolved:', c_mktsegment)", S.EXTENDS, "file_uid", "1")),
+        _edges(supplier, _edge("concat('f/n', s_nationkey)", "concat('f/n', s_nationkey, ':s', s_suppkey)",
+                               S.CONTAINS, "concat('f/n', s_nationkey)")),
+        _edges(orders,
+               _edge("class_uid", "order_uid", S.CONTAINS, "file_uid"),
+               _edge("order_uid", "concat('unresolved:', c_name, '.<init>')", S.CALLS, "file_uid", "0", "o_orderpriority = '1-URGENT'"),
+               _edge("order_uid", "concat(order_uid, ':return@L1')", S.RETURNS, "file_uid", "1", "o_orderstatus = 'F'")),
+        _edges(lines,
+               _edge("order_uid", "concat('unresolved:supply.', s_name)", S.CALLS, "file_uid", "l_linenumber", "sold"),
+               _edge("order_uid", "concat('unresolved:catalog.', p_name)", S.CALLS, "file_uid", "l_linenumber", "made"),
+               _edge("order_uid", "concat(order_uid, ':branch@L', l_linenumber)", S.HAS_BRANCH, "file_uid", "l_linenumber",
+                     "l_returnflag = 'R'")),
+        _edges(at_home, _edge("class_uid", "concat('lib/r', n_regionkey)", S.IMPLEMENTS, "file_uid", "1")),
+        _edges(nations, _edge("concat('f/n', n_nationkey)", "concat('import:', r_name)", S.IMPORTS,
+                              "concat('f/n', n_nationkey)", "1")),
     ])
