@@ -584,9 +584,9 @@ def plain_without_repeats(rows, length=200):
     return out
 
 
-def test_pipeline(spark, docs, tmp_path):
+def test_pipeline(spark, docs, tmp_path, monkeypatch):
     import corpus_pipeline
-    from factgraph.functions.storage import shared_folder
+    from factgraph.functions import storage
     rng = random.Random(31)
     passage = words(rng, 60)
     more = [(100 + i, words(rng, 70 + 5 * i) + (" " + passage if i % 3 == 0 else "") + " end of it", "en", f"src{i % 8}", 1, 1, "r", 2, 3) for i in range(12)]
@@ -608,10 +608,9 @@ def test_pipeline(spark, docs, tmp_path):
     assert key(one) == key(plain_keep_one(good)) and len(one) < len(good)
     assert key(cut) == key(plain_without_repeats(one)) and any(r.text not in {x.text for x in one} for r in cut)
     assert sorted(map(str, mixed)) == sorted(map(str, cut))
-    def stored():
-        return {os.path.join(d, f) for d, _, files in os.walk(f"{shared_folder(spark)}/factgraph") for f in files}
-
-    known = stored()
+    # a shared folder of its own, to see what is left in it
+    for module in (storage, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path / "shared"))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     from tokenizers import Tokenizer
     exact = Tokenizer.from_file(packing.tokenizer_paths()[0])
@@ -621,7 +620,7 @@ def test_pipeline(spark, docs, tmp_path):
         ids = want[str(r.doc_id)]
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
     # nothing but the last stage is left in the shared folder
-    left = stored() - known
+    left = [os.path.join(d, f) for d, _, files in os.walk(tmp_path / "shared") for f in files]
     assert left and all("/pipeline-" in f and "/4/" in f for f in left), left
 
 
