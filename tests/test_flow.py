@@ -430,3 +430,29 @@ def test_many_changes_are_compacted(spark, tmp_path):
         follow.apply_batch(batch, "q", i, folder, str(root), compact_after=2)
     assert len(live.state(spark, folder).changes) == 1 and live.latest_version(spark, folder) == 4
     assert_same_graph(follow.read_snapshot(spark, folder), build.build_graph(spark, str(root)))
+
+
+def test_a_stored_graph_is_written_once(spark, monkeypatch):
+    """Nodes no step changes and edges the ingest has written are not copied."""
+    from factgraph.functions.storage import Scratch
+    from factgraph.plans import queries as Q
+
+    node = lambda uid, name: (uid, name, name, "Function", "f", 1, 1, None, None, None)
+    nodes = spark.createDataFrame([node("a", "one"), node("b", "two")], S.NODE)
+    edges = spark.createDataFrame([("a", t, "calls", "f", 1, t) for t in ("unresolved:two", "unresolved:lost")], S.EDGE)
+    monkeypatch.setattr(Q, "graph", lambda spark, sf: (nodes, edges))
+    monkeypatch.setattr(Q, "_kept", {})
+    written, keep = [], Scratch.keep
+
+    def counted(self, df, name="t"):
+        written.append(name)
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    for _ in range(2):
+        assert Q.resolved(spark, "once")[0].inputFiles() == Q.facts(spark, "once")[0].inputFiles()
+        found, links = Q.stored(spark, "once")
+        assert sorted(r["uid"] for r in found.collect()) == ["a", "b", "unresolved:lost"]
+        assert sorted(r["target_uid"] for r in links.collect()) == ["b", "unresolved:lost"]
+    # facts: two tables; resolved edges; merged edges and all nodes
+    assert len(written) == 5
