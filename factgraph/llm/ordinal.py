@@ -41,12 +41,13 @@ TAIL_RATE = 0.5
 SEED = 10
 
 STEM = 5
+CACHED_WORDS = 1 << 15       # about 15 MB in each worker, and there is one for every core
 SIGNS = 4096                 # the first places are for signs; place 0 for repeated words
 EDGES = ".,;:!?\"'()[]#*$%&|<>-"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHED_WORDS)
 def word_places(word: str) -> tuple[int, ...]:
     """Places of a word itself and of the pattern of its signs."""
     core = word.strip(EDGES)

@@ -660,3 +660,13 @@ def test_packing_keeps_the_mixed_order(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_remembered_words_of_the_grades_stay_small():
+    """Words a worker remembers take little memory, and what is forgotten is worked out again alike."""
+    from factgraph.llm import ordinal
+    first = ordinal.word_places("Word0x")
+    for i in range(3 * ordinal.CACHED_WORDS):
+        ordinal.word_places(f"Word{i}x")
+    assert ordinal.word_places.cache_info().currsize <= 1 << 15
+    assert ordinal.word_places("Word0x") == first
