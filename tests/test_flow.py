@@ -81,6 +81,17 @@ def test_results_as_json(spark, pier, tmp_path):
     assert len(read.nodes) == len(one[0]["nodes"]) and read.filepath == one[0]["filepath"]
 
 
+def test_results_as_json_are_packed(spark, tmp_path):
+    text = "class A { void f() { " + "g(); " * 300 + "} }"
+    results = extract_facts(files(spark, {f"src/A{i}.java": text for i in range(20)}))
+    R.write_json(results, str(tmp_path / "out"))
+    parts = list((tmp_path / "out").glob("part-*"))
+    plain = sum(len(r.value) for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert sum(p.stat().st_size for p in parts) < plain / 5
+    back = R.read_result(spark, str(tmp_path / "out"))
+    assert back.exceptAll(results).isEmpty() and results.exceptAll(back).isEmpty()
+
+
 def files(spark, texts):
     df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()],
                                "filepath string, content binary")
