@@ -467,3 +467,22 @@ def test_a_stored_graph_is_written_once(spark, monkeypatch):
         assert sorted(r["target_uid"] for r in links.collect()) == ["b", "unresolved:lost"]
     # facts: two tables; resolved edges; merged edges and all nodes
     assert len(written) == 5
+
+
+def test_neighbourhoods_join_each_relation_once(spark, tmp_path):
+    from factgraph.operators import adjacency
+    node = "uid string, name string, node_type string, filepath string, signature string"
+    nodes = spark.createDataFrame([("a", "f", "Function", "x", "f()"), ("a", "f", "Class", "x", None), ("b", "g", "Function", "y", "g()"),
+                                   ("u", None, "Unresolved", None, None), ("b@1", "if@L1", "ConditionalBranch", "y", None)], node)
+    edges = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "calls"), ("b", "u", "calls"), ("b", "b@1", "has_branch"),
+                                   ("a", "gone", "calls"), ("gone", "b", "calls"), ("a", "b", "contains"), ("b", "b", "calls")],
+                                  "source_uid string, target_uid string, edge_type string")
+    relations = adjacency._relations(nodes, edges)
+    # a relation comes once for each pair of nodes at its ends, and not once more for each side
+    assert relations.count() == 2 * 2 + 1 + 1 + 1
+    rows = adjacency._around(relations)
+    seen = sorted((r.role, r.symbol, r.center_type, r.other_uid, r.name or "") for r in rows.collect())
+    assert seen == sorted(
+        2 * [("caller", "g", "Function", "a", "f")] * 2 + 2 * [("callee", "f", "Function", "b", "g")] + 2 * [("callee", "f", "Class", "b", "g")]
+        + [("callee", "g", "Function", "u", ""), ("caller", "g", "Function", "b", "g"), ("callee", "g", "Function", "b", "g"),
+           ("branch", "g", "Function", "b@1", "if@L1")])
