@@ -486,3 +486,16 @@ def test_neighbourhoods_join_each_relation_once(spark, tmp_path):
         2 * [("caller", "g", "Function", "a", "f")] * 2 + 2 * [("callee", "f", "Function", "b", "g")] + 2 * [("callee", "f", "Class", "b", "g")]
         + [("callee", "g", "Function", "u", ""), ("caller", "g", "Function", "b", "g"), ("callee", "g", "Function", "b", "g"),
            ("branch", "g", "Function", "b@1", "if@L1")])
+
+
+def test_packed_scratch(spark, tmp_path):
+    from factgraph.functions.storage import Scratch
+    rows = spark.range(20_000).selectExpr("'some/long/common/start/' || id AS uid")
+    size = {}
+    for packed in (False, True):
+        scratch = Scratch(spark, "size", packed=packed)
+        assert scratch.keep(rows).count() == 20_000
+        files = spark.read.parquet(f"{scratch.folder}/0001-t").inputFiles()
+        size[packed] = sum(os.path.getsize(f.removeprefix("file://")) for f in files)
+        scratch.drop_all_but()
+    assert size[True] < size[False]
