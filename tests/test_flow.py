@@ -310,6 +310,22 @@ def test_louvain_quality_and_stability(spark):
     assert groups(salted) == groups(found)
 
 
+def test_louvain_asks_again_only_where_something_changed(spark, monkeypatch):
+    rng = random.Random(3)
+    # trees under a few roots, and some links across
+    pairs = sorted({(f"n{rng.randrange(i) // 8:03d}", f"n{i:03d}") for i in range(1, 60)}
+                   | {(f"n{rng.randrange(60):03d}", f"n{rng.randrange(60):03d}") for _ in range(4)})
+    every, nodes, edges = communities(spark, pairs, ["alone"])
+    asked = []
+    keep = L.Scratch.keep
+    monkeypatch.setattr(L, "FEW_SHARE", 1)
+    monkeypatch.setattr(L, "FEW_ASKED", 1)
+    monkeypatch.setattr(L.Scratch, "keep", lambda self, df, name="t": asked.append(name) or keep(self, df, name))
+    few = L.louvain(nodes, edges, few_from=0)
+    assert "again" in asked
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, every.collect()))
+
+
 def test_domains(spark):
     members = [(f"u{i:03d}", 1 if i < 70 else 2 if i < 74 else 3) for i in range(76)]
     found = spark.createDataFrame(members, "uid string, community long")
