@@ -33,6 +33,10 @@ def _below(df: DataFrame, limit: int) -> bool:
     return size is not None and size < limit
 
 
+def is_small(df: DataFrame) -> bool:
+    return _below(df, SMALL_BYTES)
+
+
 # Source bytes per task below which heavy work on a small input is spread.
 SPREAD_BYTES = 32 << 20
 
@@ -146,3 +150,34 @@ def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     )
     joined = salted.join(repeated, match & (F.col("__salt") == F.col("__rsalt")), how)
     return joined.drop("__salt", "__rsalt", "__rkey")
+
+
+# Bits for each key of a filter; about one foreign key in so many passes it.
+FILTER_BITS = 16
+# A filter of more keys (2 bytes each) is not made.
+FILTER_KEYS = 100_000_000
+
+
+class KeyFilter:
+    """Bits set at the hashes of ``keys``, to be broadcast: a key without its bit is certainly not among them.
+
+    ``n`` is the number of keys.  A row of the table holds 64 words of 64 bits.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, n: int):
+        self.size = 4096 * math.ceil(max(1, n) * FILTER_BITS / 4096)
+        bit = F.pmod(F.xxhash64(key), F.lit(self.size))
+        words = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")) \
+            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits"))
+        parts = words.groupBy(F.shiftright("word", 6).alias("part")).agg(
+            F.map_from_entries(F.collect_list(F.struct((F.col("word") % 64).cast("int").alias("at"), "bits"))).alias("m"))
+        self.parts = parts.select("part", F.transform(
+            F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("words"))
+
+    def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with a boolean ``name``: whether the key may be among the keys; false for null."""
+        bit = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(self.size)))
+        parts = F.broadcast(self.parts.select(F.col("part").alias("__part"), F.col("words").alias("__words")))
+        hit = F.expr("__words[CAST(shiftright(__bit, 6) & 63 AS INT)] & shiftleft(1L, CAST(__bit & 63 AS INT)) <> 0")
+        return df.withColumn("__bit", bit).join(parts, F.shiftright("__bit", 12) == F.col("__part"), "left") \
+            .withColumn(name, F.coalesce(hit, F.lit(False))).drop("__bit", "__part", "__words")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factgraph import schema as S
-from factgraph.functions.skew import salted_join
+from factgraph.functions.skew import FILTER_KEYS, KeyFilter, is_small, salted_join
 from factgraph.functions.storage import PACKED, Scratch, publish, published, remove, version_path
 
 UNLABELLED = "Unlabelled"
@@ -98,9 +98,18 @@ def delete_file_subgraph(nodes: DataFrame, edges: DataFrame, paths: DataFrame,
     gone_paths = paths.select(F.col("filepath").alias("p")).distinct()
     gone = salted_join(nodes, gone_paths, "filepath", "p", "left_semi", hot_rows)
     gone = gone.select(F.col("uid").alias("g")).distinct()
-    left = salted_join(edges, gone, "source_uid", "g", "left_anti", hot_rows)
+    asked, rest = edges, None
+    if not edges.isStreaming and not is_small(edges):
+        # most edges touch nothing that goes and need no shuffle to show it
+        gone, n = Scratch(edges.sparkSession, "gone", packed=True).keep_counting(gone, "gone", n=F.count("g"))
+        if n["n"] <= FILTER_KEYS:
+            going = KeyFilter(gone, "g", n["n"])
+            marked = going.mark(going.mark(edges, "source_uid", "__s"), "target_uid", "__t")
+            asked = marked.where("__s OR __t").select(*edges.columns)
+            rest = marked.where("NOT (__s OR __t)").select(*edges.columns)
+    left = salted_join(asked, gone, "source_uid", "g", "left_anti", hot_rows, edges)
     left = salted_join(left, gone, "target_uid", "g", "left_anti", hot_rows, edges)
-    return purge_files(nodes, paths, hot_rows), left
+    return purge_files(nodes, paths, hot_rows), left if rest is None else rest.unionByName(left)
 
 
 def key_violations(nodes: DataFrame) -> DataFrame:

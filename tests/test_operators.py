@@ -174,6 +174,26 @@ def test_purge_and_delete(spark, hot_rows):
     assert rows(n, "uid") == [("a",)] and rows(e, "source_uid", "target_uid") == [("a", "a")]
 
 
+def test_delete_shuffles_only_edges_that_may_go(spark, tmp_path, monkeypatch):
+    from factgraph.functions import skew
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    nodes = nodes_df(spark, [(f"n{i}", "n", "Class", "gone" if i % 50 == 0 else None if i % 50 == 1 else "keep") for i in range(2_000)])
+    pairs = [(f"n{i}", f"n{i * 7 % 2_100}", "calls") for i in range(2_100)] + [(None, "n1", "calls"), ("n0", None, "calls"), ("n1", None, "calls")]
+    pairs += pairs[:100]
+    spark.createDataFrame(pairs, "source_uid string, target_uid string, edge_type string").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    paths = spark.createDataFrame([("gone",), (None,)], "filepath string")
+    left = store.delete_file_subgraph(nodes, edges, paths)[1]
+    gone = {f"n{i}" for i in range(0, 2_000, 50)}
+    want = [p[:2] for p in pairs if not gone & set(p[:2])]
+    assert sorted(str(tuple(r)[:2]) for r in left.collect()) == sorted(map(str, want))
+    marked = skew.KeyFilter(spark.createDataFrame([(g,) for g in gone], "g string"), "g", len(gone)).mark(edges, "source_uid", "may")
+    assert {r.source_uid for r in marked.where("may").collect()} >= gone
+    assert marked.where("may").count() < 0.2 * len(pairs) and marked.count() == len(pairs)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
+
+
 def test_graph_round_trip(spark, small, tmp_path):
     nodes, edges = stored(spark, small)
     store.write_graph(nodes, edges, str(tmp_path / "g"))
