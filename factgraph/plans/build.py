@@ -11,13 +11,13 @@ from factgraph.operators.incremental import Graph
 from factgraph.operators.louvain import louvain
 from factgraph.operators.resolve import resolve_calls
 from factgraph.operators.subgraph import domain_projection
-from factgraph.sources.extract import explode_result, extract_facts
+from factgraph.sources.extract import explode_result, read_facts
 from factgraph.sources.tree import scan_tree
 
 
 def graph_of_files(files: DataFrame, strict: bool = False) -> Graph:
     """Facts of a files table with resolved names; every file is read once."""
-    results = Scratch(files.sparkSession, "facts").keep(extract_facts(files, strict), "results")
+    results = Scratch(files.sparkSession, "facts").keep(read_facts(files, strict), "results")
     nodes, edges, errors = explode_result(results)
     return Graph(nodes, resolve_calls(nodes, edges), errors)
 
