@@ -515,3 +515,14 @@ def test_packed_scratch(spark, tmp_path):
         size[packed] = sum(os.path.getsize(f.removeprefix("file://")) for f in files)
         scratch.drop_all_but()
     assert size[True] < size[False]
+
+
+def test_packed_tables_hold_differences(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from factgraph.functions.storage import Scratch
+    kept = Scratch(spark, "packed", packed=True)
+    df = kept.keep(spark.range(2000).selectExpr("concat('src/main/java/shop/Order', id, '.price') AS uid", "id"))
+    file = next(f for f in df.inputFiles() if f.endswith(".parquet"))
+    column = pq.ParquetFile(file.removeprefix("file://")).metadata.row_group(0).column(0)
+    assert "DELTA_BYTE_ARRAY" in column.encodings and column.compression == "ZSTD"
+    assert df.count() == 2000 and df.where("uid = 'src/main/java/shop/Order7.price'").count() == 1

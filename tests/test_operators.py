@@ -256,3 +256,53 @@ def test_search(spark, tmp_path):
     again = search.search_index(search.read_index(spark, str(tmp_path / "i")), "basket pay*")
     assert rows(again) == rows(search.search_index(index, "basket pay*"))
     assert len(search.search_index(index, "shop", 2).collect()) == 2
+
+
+def _written(monkeypatch):
+    """Names of the tables that are written from now on."""
+    from factgraph.functions.storage import Scratch
+    names, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": names.append(name) or keep(self, df, name))
+    return names
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_many_edges_are_resolved_without_a_shuffle_of_all(spark, small, monkeypatch, few):
+    nodes, edges = small
+    want = rows(resolve.resolve_calls(nodes, edges))
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    monkeypatch.setattr(resolve, "FEW_ANSWERS", few)
+    written = _written(monkeypatch)
+    done = resolve.resolve_calls(nodes, edges)
+    assert rows(done) == want and written == ["answers"]
+    if few:     # answers are sent to the edges
+        assert "SortMergeJoin" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_keys_that_may_come_again_are_merged(spark, monkeypatch):
+    old = edges_df(spark, [("a", "b", "calls", "f", 9), ("a", "c", "calls", "f", 1)])
+    new = edges_df(spark, [("a", "b", "calls", "g", 3), ("a", "b", "calls", "g", 5)] + [(f"x{i}", "b", "calls", "g", i) for i in range(50)]
+                   + [("x7", "b", "calls", "h", 7)])
+    nodes = nodes_df(spark, [("u", None, "Class"), ("u", "n", "Class"), ("v", "v", "Class")])
+    merge = lambda: (rows(store.upsert_edges(old, new)), sorted(map(repr, store.upsert_nodes(nodes.limit(0), nodes).collect())))
+    want = merge()
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    written = _written(monkeypatch)
+    assert merge() == want and len(want[0]) == 52 and written == ["again", "again"]
+    assert store.upsert_edges(old, new).schema.fieldNames() == S.EDGE_COLS
+
+
+def test_edges_of_strangers_stay_out_of_joins(spark, small, monkeypatch):
+    nodes, edges = stored(spark, small)
+    ask = lambda: [rows(df) for df in (
+        subgraph.induced_subgraph(lookups.nodes_of(nodes, S.CLASS, S.FUNCTION), edges), subgraph.domain_projection(nodes, edges)[1],
+        lookups.get_callers(nodes, edges), lookups.get_code_context(nodes, edges))]
+    want = ask()
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    assert ask() == want
+    many = spark.createDataFrame([("k1" if i == 5 else f"s{i}" if i % 9 else None,) for i in range(3000)], "k string")
+    left = skew.without_strangers(many, spark.createDataFrame([("k1",), ("k2",), (None,)], "uid string"), "uid", "k")
+    kept = [r.k for r in left.collect()]
+    assert "k1" in kept and len(kept) < 100 and None not in kept
+    monkeypatch.setattr(skew, "FILTER_KEYS", 0)
+    assert skew.without_strangers(many, many.withColumnRenamed("k", "uid"), "uid", "k") is many
